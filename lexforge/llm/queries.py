@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import simhash
+from lexforge.llm import chat, oracles, quality, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +21,29 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_simhash"] = op3_simhash
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality.verdict(quality.BASE)).alias("base_failed"), quality.verdict(quality.DEFAULT).alias("kept"),
+    )
+
+
+QUERIES["op4_quality"] = op4_quality
+ORACLES["op4_quality"] = oracles.QUALITY
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{0}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{0}'".format(said))
+    formatted = chat.format_conversations(rows.unionByName(extra), chat.text_part(F.col("text")))
+    return chat.digests(chat.read_back(formatted))
+
+
+QUERIES["op5_chat"] = op5_chat
+ORACLES["op5_chat"] = oracles.CHAT
