@@ -52,3 +52,12 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<|turn|>' || r || chr(10) || body || '<|end|>'))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS original, count(*) AS n FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN n > 1 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id <> original THEN original END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""

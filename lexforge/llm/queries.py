@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import chat, oracles, quality, simhash
+from lexforge.llm import _shared, chat, oracles, quality, simhash, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_chat"] = op5_chat
 ORACLES["op5_chat"] = oracles.CHAT
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared.new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.resolve(_shared.materialize(warc.read_archives(spark, path), "records"))
+
+
+QUERIES["op8_warc"] = op8_warc
+ORACLES["op8_warc"] = oracles.WARC
