@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, oracles, quality, simhash, warc
+from lexforge.llm import _shared, chat, oracles, packing, quality, simhash, warc
 
+#: The vocabulary file, found by the installed package of public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -57,3 +59,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_warc"] = op8_warc
 ORACLES["op8_warc"] = oracles.WARC
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, end_id=0)
+
+
+QUERIES["op2_packing"] = op2_packing
