@@ -61,3 +61,16 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN n > 1 AND page_id <> original THEN original END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+SUBSTRING = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+win AS (
+  SELECT rid, doc_id, i, md5(array_to_string(w[i:i+19], ' ')) AS h
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT rid, i, (doc_id, i) > first_value((doc_id, i)) OVER (PARTITION BY h ORDER BY doc_id, i) AS later FROM win),
+gone AS (SELECT rid, list_distinct(flatten(list(range(i, i + 20)))) AS g FROM f WHERE later GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ')
+              ELSE coalesce((SELECT string_agg(w[k], ' ' ORDER BY k) FROM (SELECT unnest(range(1, len(w) + 1)) AS k) WHERE NOT list_contains(g, k)), '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, oracles, packing, quality, simhash, warc
+from lexforge.llm import _shared, chat, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -72,3 +72,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_packing"] = op2_packing
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup(_table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op7_substring"] = op7_substring
+ORACLES["op7_substring"] = oracles.SUBSTRING
