@@ -74,3 +74,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
               ELSE coalesce((SELECT string_agg(w[k], ' ' ORDER BY k) FROM (SELECT unnest(range(1, len(w) + 1)) AS k) WHERE NOT list_contains(g, k)), '') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (rid)
 """
+
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS raw FROM d),
+c AS (SELECT rid, doc_id, line, raw, row_number() OVER (PARTITION BY rid ORDER BY raw) AS pos FROM u
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+win AS (
+  SELECT *, line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS run FROM c WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+f AS (SELECT rid, pos, (doc_id, pos) > first_value((doc_id, pos)) OVER (PARTITION BY run ORDER BY doc_id, pos) AS later FROM win WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT rid, pos + k AS pos FROM f, (VALUES (0), (1), (2)) t(k) WHERE later),
+marked AS (SELECT c.rid, c.raw, gone.pos IS NOT NULL AS g FROM c LEFT JOIN gone USING (rid, pos)),
+texts AS (
+  SELECT u.rid, string_agg(u.line, chr(10) ORDER BY u.raw) FILTER (NOT coalesce(g, false)) AS kept, count(g) AS n_lines, count(*) FILTER (g) AS n_removed
+  FROM u LEFT JOIN marked USING (rid, raw) GROUP BY u.rid)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM d LEFT JOIN texts USING (rid)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, chat, lines, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -81,3 +81,16 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_substring"] = op7_substring
 ORACLES["op7_substring"] = oracles.SUBSTRING
+
+
+#: Shortest run of lines that line dedup deletes.
+MIN_LINES = 3
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(_table(spark, sf_dir, "documents"), min_lines=MIN_LINES)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op10_lines"] = op10_lines
+ORACLES["op10_lines"] = oracles.LINES
