@@ -75,13 +75,21 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by differences of one prefix sum."""
-    up, down = _powers(base, len(body))
-    sums = np.zeros(len(body) + 1, dtype=U64)
-    np.cumsum((body.astype(U64) + U64(1)) * up[: len(body)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0x9FB21C651E98DF25))
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, step: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, by differences of prefix sums over about ``step`` bytes at a time."""
+    out = np.empty(len(starts), dtype=U64)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(starts, begin + step)))
+        last = int(ends[stop - 1])
+        up, down = _powers(base, last - begin)
+        sums = np.zeros(last - begin + 1, dtype=U64)
+        np.cumsum((body[begin:last].astype(U64) + U64(1)) * up[: last - begin], out=sums[1:])
+        s, e = starts[at:stop] - begin, ends[at:stop] - begin
+        out[at:stop] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(0x9FB21C651E98DF25))
+        at = stop
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -124,3 +132,17 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def places(column: pa.Array, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Word places, over all rows, of an array<struct<n_words, starts>> column; entries for another word count are left out."""
+    per_row = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    entries = column.flatten()
+    if not len(entries):
+        return np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    n, starts = entries.flatten()
+    fits = n.to_numpy(zero_copy_only=False) == words[row]
+    sizes = starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(first[row], sizes)
+    return at[np.repeat(fits, sizes)]

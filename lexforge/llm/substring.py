@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import _kernel, _shared
 from lexforge.llm._kernel import BASES, U64
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Entries that one bucket is to hold on average.
 BUCKET_ENTRIES = 1 << 20
 NULL_ID = -(1 << 63)
@@ -56,13 +57,14 @@ def _spans(flags: np.ndarray, ids: np.ndarray, first: np.ndarray, words: np.ndar
 
 
 def _rows(bucket, docs, entries, ids, words, starts) -> pa.RecordBatch:
-    n = max(len(bucket), len(ids))
+    """Packed entries (docs, entries) or finished answers (ids, words, starts), for the bucket's task."""
+    n = len(bucket)
     names = [f.split()[0] for f in PACKED.split(", ")]
-    if len(bucket):
-        columns = [pa.array(bucket, pa.int32()), pa.array(docs, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))]
+    if len(docs):
+        columns = [pa.array(docs, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))]
     else:
-        columns = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(ids), pa.array(words), starts]
-    return pa.RecordBatch.from_arrays(columns, names)
+        columns = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(ids), pa.array(words), starts if starts is not None else pa.nulls(n, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *columns], names)
 
 
 def _spread(buckets: int, tops: np.ndarray) -> np.ndarray:
@@ -98,7 +100,8 @@ def _prober(window: int, buckets: int, width: int):
                 aligned = np.logical_or.reduceat(place[use] % block == 0, heads)
                 flags = np.zeros(len(starts), dtype=bool)
                 flags[use[np.repeat(sizes > 1, sizes)]] = True
-                yield _rows([], [], [], *_spans(flags, ids, first[:-1], words))
+                known = _spans(flags, ids, first[:-1], words)
+                yield _rows((known[0] % buckets).astype(np.int32), [], [], *known)
                 docs = _kernel.pack(np.diff(ids, prepend=0), words.astype(np.int64))
                 keys, spot = hashes[heads], (use[heads] * 2 + aligned).astype(np.uint32)
                 cut = _spread(buckets, keys)
@@ -112,19 +115,22 @@ def _prober(window: int, buckets: int, width: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
-    """The (docs, entries) blobs of one bucket after the other; rows come sorted by bucket."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """The (docs, entries) blobs of one bucket after the other, as rows come sorted by bucket; finished answers go to ``passed``."""
     held: list[tuple[bytes, bytes]] = []
     now = None
     for batch in batches:
+        packed = batch.column("docs").is_valid()
+        if "starts" in batch.schema.names:
+            passed.append(batch.filter(pc.invert(packed)).select(["doc_id", "n_words", "starts"]))
+        batch = batch.filter(packed)
         for bucket, docs, entries in zip(*(batch.column(c).to_pylist() for c in ("bucket", "docs", "entries"))):
             if bucket != now and held:
                 yield held
                 held = []
             now = bucket
             held.append((docs, entries))
-    if held:
-        yield held
+    yield held
 
 
 def _answer(parts: list[tuple[bytes, bytes]], marked: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +147,12 @@ def _answer(parts: list[tuple[bytes, bytes]], marked: list[np.ndarray]) -> Itera
 
 def _matcher():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _by_bucket(batches):
+        passed: list[pa.RecordBatch] = []
+        for parts in _by_bucket(batches, passed):
+            yield from passed
+            passed.clear()
+            if not parts:
+                continue
             keys, spots = [], []
             for _, entries in parts:
                 step, spot = _kernel.unpack(entries, U64, np.uint32)
@@ -184,10 +195,7 @@ def _extender(window: int, buckets: int):
                 words = np.diff(first)
                 ids = _ids(batch.column("doc_id"))
                 flags = np.zeros(len(starts) + 1, dtype=np.int32)
-                for i, hits in enumerate(batch.column("hits").to_pylist()):
-                    for h in hits or []:
-                        if h["n_words"] == words[i]:
-                            flags[np.asarray(h["starts"]) + first[i]] = 1
+                flags[_kernel.places(batch.column("hits"), words, first)] = 1
                 met = np.cumsum(flags)
                 row = np.repeat(np.arange(len(words)), words)
                 place = np.arange(len(starts))
@@ -226,7 +234,12 @@ def _extender(window: int, buckets: int):
 
 def _earliest():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _by_bucket(batches):
+        passed: list[pa.RecordBatch] = []
+        for parts in _by_bucket(batches, passed):
+            yield from passed
+            passed.clear()
+            if not parts:
+                continue
             columns = []
             for i, (docs, entries) in enumerate(parts):
                 a, b, at = _kernel.unpack(entries, U64, U64, np.uint32)
@@ -250,25 +263,53 @@ def _remover(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _kernel.text_slices(whole, "text", BATCH_BYTES):
-                out = []
-                for doc, text, n, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n_words", "later"))):
-                    words = text.split()
-                    edge = np.zeros(n + window + 1, dtype=np.int32)
-                    for f in found or []:
-                        if f["n_words"] == n:
-                            at = np.unique(np.asarray(f["starts"], dtype=np.int64))
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + window, -1)
-                    gone = np.cumsum(edge)[:n] > 0
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if gone.any() else b" ".join(words)
-                    out.append((None if doc == NULL_ID else doc, n, int(gone.sum()), kept))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], ["doc_id", "n_words", "n_removed", "kept"])
+                words = batch.column("n_words").to_numpy()
+                first = np.r_[0, np.cumsum(words)]
+                edge = np.zeros(int(first[-1]) + 1, dtype=np.int32)
+                at = np.unique(_kernel.places(batch.column("later"), words, first[:-1]))
+                edge[at] += 1
+                edge[at + window] -= 1
+                gone = np.cumsum(edge)[:-1] > 0
+                total = np.r_[0, np.cumsum(gone)]
+                removed = total[first[1:]] - total[first[:-1]]
+                kept = []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    split = text.split()
+                    if removed[i]:
+                        split = [w for w, g in zip(split, gone[first[i] : first[i + 1]].tolist()) if not g]
+                    kept.append(b" ".join(split))
+                ids = batch.column("doc_id")
+                ids = pc.if_else(pc.equal(ids, NULL_ID), pa.scalar(None, pa.int64()), ids)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words), pa.array(removed), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
+ANSWER = "doc_id long, n_words long, starts array<int>"
+
+
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "starts")).alias(name))
+
+
+def _hits(own: DataFrame, window: int, buckets: int, width: int, spread: int) -> DataFrame:
+    packed = own.mapInArrow(_prober(window, buckets, width), PACKED)
+    dealt = packed.repartition(spread, "bucket").sortWithinPartitions("bucket")
+    return _shared.materialize(dealt.mapInArrow(_matcher(), ANSWER), "hits")
+
+
+def _extend(own: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
+    keyed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    joined = keyed.join(_gathered(hits, "hits"), "doc_id", "left")
+    return _shared.materialize(joined.mapInArrow(_extender(window, buckets), EXTENDED), "extended")
+
+
+def _later(extended: DataFrame, spread: int) -> DataFrame:
+    dealt = extended.filter("kind = 3").select("bucket", "docs", "entries").repartition(spread, "bucket").sortWithinPartitions("bucket")
+    known = extended.filter("kind = 2").select("doc_id", "n_words", "starts")
+    return _shared.materialize(dealt.mapInArrow(_earliest(), ANSWER).unionByName(known), "later")
+
+
 def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by one space, as UTF-8 bytes).
 
@@ -287,27 +328,14 @@ def dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: s
     width = min(8, max(3, math.ceil((math.log2(runs) + 7) / 8)))
     spread = max(buckets, _shared.partitions(spark))
 
-    packed = own.mapInArrow(_prober(window, buckets, width), PACKED)
-    probes = _shared.materialize(packed, "probes")
-    dealt = probes.filter("bucket IS NOT NULL").select("bucket", "docs", "entries").repartition(spread, "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(_matcher(), "doc_id long, n_words long, starts array<int>")
-    hits = _shared.materialize(met.unionByName(probes.filter("bucket IS NULL").select("doc_id", "n_words", "starts")), "hits")
-    _shared.drop(probes)
+    hits = _hits(own, window, buckets, width, spread)
     _shared.free_shuffles(spark)
-
-    def gathered(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "starts")).alias(name))
-
-    keyed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    joined = keyed.join(gathered(hits, "hits"), "doc_id", "left")
-    extended = _shared.materialize(joined.mapInArrow(_extender(window, buckets), EXTENDED), "extended")
+    extended = _extend(own, hits, window, buckets)
     _shared.drop(hits)
     _shared.free_shuffles(spark)
-    dealt = extended.filter("kind = 3").select("bucket", "docs", "entries").repartition(spread, "bucket").sortWithinPartitions("bucket")
-    last = dealt.mapInArrow(_earliest(), "doc_id long, n_words long, starts array<int>")
-    later = _shared.materialize(last.unionByName(extended.filter("kind = 2").select("doc_id", "n_words", "starts")), "later")
+    later = _later(extended, spread)
     _shared.free_shuffles(spark)
     left = extended.filter("kind <= 1").select("kind", "doc_id", "text", "n_words")
-    some = left.filter("kind = 1").join(gathered(later, "later"), "doc_id", "left").select("doc_id", "text", "n_words", "later")
+    some = left.filter("kind = 1").join(_gathered(later, "later"), "doc_id", "left").select("doc_id", "text", "n_words", "later")
     none = left.filter("kind = 0").select("doc_id", "text", "n_words", F.lit(None).cast("array<struct<n_words:bigint,starts:array<int>>>").alias("later"))
     return none.unionByName(some).mapInArrow(_remover(window), "doc_id long, n_words long, n_removed long, kept binary")
