@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, lines, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, chat, decontaminate, lines, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -94,3 +94,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_lines"] = op10_lines
 ORACLES["op10_lines"] = oracles.LINES
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op1_decontaminate"] = op1_decontaminate
