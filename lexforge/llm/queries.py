@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, decontaminate, lines, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, chat, decontaminate, lines, ngram, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -101,3 +101,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_decontaminate"] = op1_decontaminate
+
+
+def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram.scores(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.round("score", 4).alias("log_score"))
+
+
+QUERIES["op9_ngram"] = op9_ngram
