@@ -9,6 +9,7 @@ Records are cut by Content-Length, never by looking for marks in payloads.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 #: Payloads below this many bytes are never revisited.
 MIN_REVISIT_BYTES = 100
-#: Expected bytes of one archive file.
+#: Expected bytes of one archive file before gzip.
 ARCHIVE_BYTES = 16 << 20
 READ_SCHEMA = "page_id long, record_type string, target string, payload_digest string, payload_bytes long, refers_to_digest string, refers_to_id long, payload binary"
 
@@ -85,9 +86,9 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     Rows that repeat the smallest id of their payload are all responses. Other
     columns are not read.
     """
-    size = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    files = max(1, -(-size // ARCHIVE_BYTES))
-    records(pages, date).repartition(files).write.option("lineSep", CRLF * 2).text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 600)).first()[0] or 600
+    writer = records(pages, date).write.option("lineSep", CRLF * 2).option("compression", "gzip")
+    writer.option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / mean))).text(path)
 
 
 def parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -124,8 +125,7 @@ def _reader(with_payload: bool):
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                data = content.as_buffer()
-                for head, block in parse(memoryview(data.to_pybytes())):
+                for head, block in parse(memoryview(gzip.decompress(content.as_buffer()))):
                     kind = head["WARC-Type"]
                     split = bytes(block[:4096]).find(b"\r\n\r\n") + 4
                     payload = block[split:]
