@@ -7,9 +7,9 @@ begin mark, which counts as a word before its first; n words give n scores.
 Words and pairs are exploded in the tasks that read the text and dealt by hash,
 packed in blobs; the bucket of a pair holds its count, joins it to every
 occurrence and sums the logarithms for each document. What is frequent never
-meets in one bucket: words and pairs with at least a ``HEAVY``-th of all
-occurrences, so never more than ``HEAVY`` of each, are counted from sums that each
-batch has made and their counts are broadcast; their occurrences are scored where they are read.
+meets in one bucket: words and pairs among the ``HEAVY`` most frequent are
+counted from sums that each batch has made, and their counts are broadcast; their
+occurrences are scored where they are read. Others have at most a ``HEAVY``-th of all.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from lexforge.llm._kernel import BASES, U64
 from lexforge.llm.substring import _spread
 
 #: At most so many words and so many pairs are heavy.
-HEAVY = 1 << 15
+HEAVY = 1 << 16
 BATCH_BYTES = 4 << 20
 BUCKET_ENTRIES = 2 << 20
 NULL_ID = -(1 << 63)
 #: Codes of the marks around a document; hashes of words lie above all codes.
 BEGIN, END, FIRST_CODE = 0, 1, 2
-COUNTS = "bucket int, n long, entries binary"
+COUNTS = "bucket int, entries binary"
 SCORES = "doc_id long, n_tokens long, score double, bucket int, docs binary, entries binary"
 
 
@@ -79,8 +79,7 @@ def _sum_blobs(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordB
     cut = _spread(buckets, keys)
     some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
     blobs = [_kernel.pack(np.diff(keys[cut[b] : cut[b + 1]], prepend=U64(0)), counts[cut[b] : cut[b + 1]].astype(np.uint32)) for b in some]
-    total = [int(counts[cut[b] : cut[b + 1]].sum()) for b in some]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "n", "entries"])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
 
 def _word_counter(buckets: int):
@@ -107,8 +106,8 @@ def _pair_counter(buckets: int, heavy: np.ndarray):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch] | None = None) -> Iterator[list[tuple[bytes | None, bytes]]]:
-    """The (docs, entries) of one bucket after the other; rows come sorted. Rows of finished scores go to ``passed``."""
+def _numbered(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch] | None = None) -> Iterator[tuple[int, list[tuple[bytes | None, bytes]]]]:
+    """Each bucket with its (docs, entries); rows come sorted. Rows of finished scores go to ``passed``."""
     held: list[tuple[bytes | None, bytes]] = []
     now = None
     for batch in batches:
@@ -119,31 +118,54 @@ def _buckets(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch] | N
         docs = batch.column("docs").to_pylist() if "docs" in batch.schema.names else [None] * batch.num_rows
         for bucket, *rest in zip(batch.column("bucket").to_pylist(), docs, batch.column("entries").to_pylist()):
             if bucket != now and held:
-                yield held
+                yield now, held
                 held = []
             now = bucket
             held.append(tuple(rest))
-    yield held
+    if held or passed:
+        yield now, held
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One (bucket, hash, n) list pair a bucket."""
-    for parts in _buckets(batches):
-        if not parts:
-            continue
-        keys, counts = zip(*(_kernel.unpack(e, U64, np.uint32) for _, e in parts))
-        key, back = np.unique(np.concatenate([np.cumsum(k, dtype=U64) for k in keys]), return_inverse=True)
-        n = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+COUNTED = "bucket int, entries binary, h long, n long"
 
 
-def _counted(packed: DataFrame, spread: int) -> DataFrame:
-    return packed.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "h long, n long")
+def _summer(floor: int, keep_all: bool):
+    """The counts of a bucket: all of them packed (if asked for), and (h, n) rows of those of at least ``floor``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, parts in _numbered(batches):
+            keys, counts = zip(*(_kernel.unpack(e, U64, np.uint32) for _, e in parts))
+            key, back = np.unique(np.concatenate([np.cumsum(k, dtype=U64) for k in keys]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+            often = n >= floor
+            h, some = key[often].view(np.int64), n[often]
+            blob = [_kernel.pack(np.diff(key, prepend=U64(0)), n)] if keep_all else []
+            k, none = len(blob), len(h)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket] * k + [None] * none, pa.int32()), pa.array(blob + [None] * none, pa.binary()),
+                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(h)]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(some)]),
+                ],
+                ["bucket", "entries", "h", "n"],
+            )
+
+    return run
 
-def _heavy(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of what occurs at least ``least`` times; at most HEAVY rows, by the choice of ``least``."""
-    rows = counts.filter(F.col("n") >= least).collect()
+
+def _counted(packed: DataFrame, spread: int, total: int, least: int, keep_all: bool, label: str) -> DataFrame:
+    """Counts over all batches. What is listed by row has a 2^20th of all occurrences or more, so that is at most 2^20 rows."""
+    floor = max(total >> 20, least)
+    dealt = packed.repartition(spread, "bucket").sortWithinPartitions("bucket")
+    return _shared.materialize(dealt.mapInArrow(_summer(floor, keep_all), COUNTED), label)
+
+
+def _heavy(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the most frequent, at most HEAVY: all above the lowest step that leaves so few."""
+    steps = [int(2 ** (k / 4)) for k in range(4, 4 * 60)]
+    listed = counts.filter("h IS NOT NULL").select("h", "n")
+    many = listed.agg(*[F.count_if(F.col("n") >= t).alias(f"t{k}") for k, t in enumerate(steps)]).first()
+    least = next((t for k, t in enumerate(steps) if many[k] <= HEAVY), steps[-1])
+    rows = listed.filter(F.col("n") >= least).collect()
     h = np.array([r.h for r in rows], dtype=np.int64).view(U64)
     order = np.argsort(h)
     return h[order], np.array([r.n for r in rows], dtype=np.int64)[order]
@@ -169,10 +191,11 @@ def _asked(rows: np.ndarray, columns: tuple[np.ndarray, ...], place: np.ndarray,
     some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
     docs, blobs = [], []
     for b in some:
-        part = np.sort(order[cut[b] : cut[b + 1]])
+        part = order[cut[b] : cut[b + 1]]
+        part = part[np.argsort(rows[part], kind="stable")]
         own, back = np.unique(rows[part], return_inverse=True)
         docs.append(_kernel.pack(np.diff(ids[own], prepend=0)))
-        blobs.append(_kernel.pack(back.astype(np.uint32), *(c[part] for c in columns)))
+        blobs.append(_kernel.pack(np.diff(back, prepend=0).astype(np.uint32), *(c[part] for c in columns)))
     n = len(some)
     return pa.RecordBatch.from_arrays(
         [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(some, pa.int32()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())],
@@ -220,7 +243,7 @@ def _gather(parts: list[tuple[bytes, bytes]], *dtypes: type) -> tuple[np.ndarray
         own = np.cumsum(_kernel.unpack(docs, np.int64)[0])
         row, *rest = _kernel.unpack(entries, np.uint32, *dtypes)
         ids.append(own)
-        rows.append(row.astype(np.int64) + n)
+        rows.append(np.cumsum(row, dtype=np.int64) + n)
         columns.append(rest)
         n += len(own)
     return np.concatenate(ids), np.concatenate(rows), [np.concatenate(c) for c in zip(*columns)]
@@ -229,7 +252,7 @@ def _gather(parts: list[tuple[bytes, bytes]], *dtypes: type) -> tuple[np.ndarray
 def _pair_scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        for parts in _buckets(batches, passed):
+        for _, parts in _numbered(batches, passed):
             yield from (_scored([b.column(c) for c in ("doc_id", "n_tokens", "score")]) for b in passed)
             passed.clear()
             if not parts:
@@ -264,13 +287,12 @@ def _word_scorer(model: Model):
     """Joins a bucket of the word counts (rows without docs) to the occurrences that backed off to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _buckets(batches):
+        for _, parts in _numbered(batches):
             asked = [p for p in parts if p[0] is not None]
             if not asked:
                 continue
-            keys, counts = zip(*(_kernel.unpack(e, U64, np.uint32) for d, e in parts if d is None))
-            key, back = np.unique(np.concatenate([np.cumsum(k, dtype=U64) for k in keys]), return_inverse=True)
-            log_count = np.log(np.bincount(back, weights=np.concatenate(counts)))
+            step, count = next(_kernel.unpack(e, U64, np.int64) for d, e in parts if d is None)
+            key, log_count = np.cumsum(step, dtype=U64), np.log(count)
             ids, row, (word,) = _gather(asked, U64)
             score = model.floor + log_count[np.searchsorted(key, word)]
             yield pa.RecordBatch.from_arrays(_doc_sums(row, score, ids), ["doc_id", "n_tokens", "score"])
@@ -278,9 +300,10 @@ def _word_scorer(model: Model):
     return run
 
 
-def _sizes(own: DataFrame) -> tuple[int, int]:
-    row = own.agg(F.sum(F.octet_length("text")), F.sum(F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), 1))).first()
-    return row[0] or 0, row[1] or 0
+def _sizes(own: DataFrame) -> tuple[int, int, int]:
+    """Bytes, documents with a word, and words."""
+    n = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    return tuple(x or 0 for x in own.select(F.octet_length("text").alias("size"), n.alias("n")).agg(F.sum("size"), F.count_if(F.col("n") > 0), F.sum("n")).first())
 
 
 def scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,23 +315,22 @@ def scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, id_col: str
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size, n_docs = _sizes(own)
+    size, n_docs, n_words = _sizes(own)
     buckets = max(1, math.ceil(size / 6 / BUCKET_ENTRIES))
     spread = max(buckets, _shared.partitions(spark))
 
-    packed = _shared.materialize(own.mapInArrow(_word_counter(buckets), COUNTS), "word-sums")
-    n_words = packed.agg(F.sum("n")).first()[0] or 0
-    words, word_counts = _heavy(_counted(packed, spread), max(n_words // HEAVY + 1, 2))
-    pairs_of = own.mapInArrow(_pair_counter(buckets, words), COUNTS)
-    pairs, pair_counts = _heavy(_counted(pairs_of, spread), max(n_words // HEAVY + 1, min_count))
-    del pairs_of
+    counts = _counted(own.mapInArrow(_word_counter(buckets), COUNTS), spread, n_words, 2, True, "word-counts")
+    words, word_counts = _heavy(counts)
+    pair_sums = _counted(own.mapInArrow(_pair_counter(buckets, words), COUNTS), spread, n_words, min_count, False, "pair-counts")
+    pairs, pair_counts = _heavy(pair_sums)
+    _shared.drop(pair_sums)
     _shared.free_shuffles(spark)
     model = Model(words, word_counts, pairs, pair_counts, n_docs, n_words, alpha, min_count, buckets)
 
     first = _pair_scores(own, model, spread)
     _shared.free_shuffles(spark)
     asked = first.filter("bucket IS NOT NULL").select("bucket", "docs", "entries")
-    table = packed.select("bucket", F.lit(None).cast("binary").alias("docs"), "entries")
+    table = counts.filter("entries IS NOT NULL").select("bucket", F.lit(None).cast("binary").alias("docs"), "entries")
     last = table.unionByName(asked).repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_word_scorer(model), "doc_id long, n_tokens long, score double")
     every = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("score"))
     parts = first.filter("bucket IS NULL").select("doc_id", "n_tokens", "score").unionByName(last).unionByName(every)
