@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, decontaminate, lines, ngram, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, chat, decontaminate, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -109,3 +109,11 @@ def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_ngram"] = op9_ngram
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round("overlap", 4).alias("overlap"), "confirmed")
+
+
+QUERIES["op6_licenses"] = op6_licenses
