@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 NONE = "none"
 UNKNOWN = "unknown"
 #: Bounds of the model and of the corpus sample it is fitted on.
-MAX_FEATURES, SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 1500, 300, 3000
+MAX_FEATURES, SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS = 1500, 200, 1500
 #: Least probability of a family, and least share of a paragraph's word pairs that its templates must hold.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.6, 0.6
 NAMES = {
@@ -93,7 +93,7 @@ class Model:
     temperature: float
 
 
-def fit(negatives: list[list[str]], seed: int = 7, steps: int = 300) -> Model:
+def fit(negatives: list[list[str]], seed: int = 7, steps: int = 120) -> Model:
     """Softmax regression by gradient descent; the temperature is the one under which held-out examples are likeliest."""
     labelled = examples(seed) + [(w, NONE) for w in negatives]
     families = [*sorted(NAMES), NONE]
@@ -110,8 +110,8 @@ def fit(negatives: list[list[str]], seed: int = 7, steps: int = 300) -> Model:
     rare = 0.01 * max(1, len(negatives))
     usable = [g for g in counts if any(common.get(w, 0) <= rare for w in g.split(" "))]
     vocabulary = {g: k for k, g in enumerate(sorted(sorted(usable), key=lambda g: -counts[g])[:MAX_FEATURES])}
-    x = np.zeros((len(labelled), len(vocabulary)))
-    y = np.zeros((len(labelled), len(families)))
+    x = np.zeros((len(labelled), len(vocabulary)), dtype=np.float32)
+    y = np.zeros((len(labelled), len(families)), dtype=np.float32)
     for i, (words, family) in enumerate(labelled):
         for g in grams(words):
             if g in vocabulary:
@@ -120,14 +120,17 @@ def fit(negatives: list[list[str]], seed: int = 7, steps: int = 300) -> Model:
     held = np.arange(len(labelled)) % 5 == 0
     share = y[~held].mean(axis=0)
     weight = (y[~held] / share.clip(1e-9)).sum(axis=1, keepdims=True) / len(families)
-    w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+    w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
+    dw, db = np.zeros_like(w), np.zeros_like(b)
+    seen, want = x[~held], y[~held]
     for _ in range(steps):
-        z = x[~held] @ w + b
+        z = seen @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        slope = weight * (p - y[~held]) / held.size
-        w -= 8.0 * (x[~held].T @ slope + 1e-5 * w)
-        b -= 8.0 * slope.sum(axis=0)
+        slope = (weight * (p - want) / held.size).astype(np.float32)
+        dw = 0.9 * dw - 2.0 * (seen.T @ slope + np.float32(1e-5) * w)
+        db = 0.9 * db - 2.0 * slope.sum(axis=0)
+        w, b = w + dw, b + db
 
     def loss(t: float) -> float:
         z = (x[held] @ w + b) / t
@@ -155,6 +158,18 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))))
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that shares their beginnings, so a place is tried once and not once a word."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [c + _any_of(rest) for c, rest in sorted(heads.items()) if c]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)})" + ("?" if ends else "")
+
+
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table from a literal, so that no Python runs on the executors."""
     text = F.lit(json.dumps(rows))
@@ -179,7 +194,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
     # A line without any gram of the model scores as its bias, which is no licence. Pairs count too: their first words stand in for them.
     marks = sorted({g.split(" ")[0] for g in model.weights})
-    lines = lines.filter(F.col("line").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(marks) + r")(?![a-z0-9])"))
+    lines = lines.filter(F.lower("line").rlike(rf"(?<![a-z0-9]){_any_of(marks)}(?![a-z0-9])")) if marks else lines.limit(0)
     exploded = lines.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "paragraph", F.explode(_grams(_words(F.col("line")))).alias("gram"))
     met = exploded.join(F.broadcast(weights), "gram")
     sums = met.groupBy("doc_id", "row", "paragraph").agg(
