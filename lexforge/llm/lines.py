@@ -63,7 +63,8 @@ def repeated_starts(docs: DataFrame, min_lines: int, id_col: str = "doc_id", tex
     named = _shared.materialize(suffixes(docs, id_col, text_col, min_lines), "suffixes")
     length = 1
     while True:
-        shared = intervals(named)
+        # Written, so that both sides of the joins are plain exchanges and adaptive execution can split a name that many suffixes have.
+        shared = _shared.materialize(intervals(named), "intervals").hint("merge")
         if length == min_lines:
             found = named.join(shared, ["a", "b"]).filter(F.struct("doc_id", "pos") > F.col("first")).select(*KEY, "pos", "first")
             return _shared.materialize(found, "repeats")
@@ -111,7 +112,8 @@ def dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col:
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["row"].dataType.simpleString()
-    joined = own.join(by_doc, "doc_id", "left").select("row", "text", "later")
+    # The deletions grow with the corpus, so they are never broadcast.
+    joined = own.join(by_doc.hint("merge"), "doc_id", "left").select("row", "text", "later")
     done = joined.mapInArrow(_deleter(min_lines), f"row {kind}, n_lines long, n_removed long, kept string")
     return done.select("row.*", "n_lines", "n_removed", "kept")
 
