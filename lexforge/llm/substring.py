@@ -39,21 +39,18 @@ BATCH_BYTES = 4 << 20
 #: Entries that one bucket is to hold on average.
 BUCKET_ENTRIES = 1 << 20
 NULL_ID = -(1 << 63)
-PACKED = "bucket int, docs binary, entries binary, doc_id long, n_words long, starts array<int>"
+PACKED = "bucket int, docs binary, entries binary, doc_id long, n_words long, start int"
 
 
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def _spans(flags: np.ndarray, ids: np.ndarray, first: np.ndarray, words: np.ndarray):
-    """Arrow columns (doc_id, n_words, starts) of the flagged word places, for rows that have any."""
+def _spans(flags: np.ndarray, ids: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, n_words, start) of the flagged word places."""
     at = np.flatnonzero(flags)
     row = np.searchsorted(first, at, side="right") - 1
-    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, dtype=np.int64)
-    rows = row[heads]
-    sizes = np.diff(np.r_[heads, len(row)])
-    return ids[rows], words[rows], _kernel.lists((at - first[row]).astype(np.int32), sizes, pa.int32())
+    return ids[row], words[row], (at - first[row]).astype(np.int32)
 
 
 def _rows(bucket, docs, entries, ids, words, starts) -> pa.RecordBatch:
@@ -61,12 +58,25 @@ def _rows(bucket, docs, entries, ids, words, starts) -> pa.RecordBatch:
     n = len(bucket)
     names = [f.split()[0] for f in PACKED.split(", ")]
     if len(docs):
-        columns = [pa.array(docs, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))]
+        columns = [pa.array(docs, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
     else:
-        columns = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(ids), pa.array(words), starts if starts is not None else pa.nulls(n, pa.list_(pa.int32()))]
+        columns = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.array(starts, pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *columns], names)
 
 
+def _deal(buckets: int, tops: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray, words: np.ndarray, encode) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(bucket, docs, entries) blobs of entries in the order of their hashes ``tops``; a blob names only the documents that it has entries of."""
+    cut = _spread(buckets, tops)
+    some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+    docs, blobs = [], []
+    for b in some:
+        part = slice(int(cut[b]), int(cut[b + 1]))
+        own, back = np.unique(row[part], return_inverse=True)
+        docs.append(_kernel.pack(np.diff(ids[own], prepend=0), words[own].astype(np.int64)))
+        blobs.append(_kernel.pack(back.astype(np.uint32), place[part].astype(np.uint32), *encode(part)))
+    return some, docs, blobs
+
+
 def _spread(buckets: int, tops: np.ndarray) -> np.ndarray:
     """Bucket borders among ascending hashes: bucket k has the k-th part of the hash range."""
     borders = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=U64)
@@ -102,15 +112,10 @@ def _prober(window: int, buckets: int, width: int):
                 flags[use[np.repeat(sizes > 1, sizes)]] = True
                 known = _spans(flags, ids, first[:-1], words)
                 yield _rows((known[0] % buckets).astype(np.int32), [], [], *known)
-                docs = _kernel.pack(np.diff(ids, prepend=0), words.astype(np.int64))
-                keys, spot = hashes[heads], (use[heads] * 2 + aligned).astype(np.uint32)
-                cut = _spread(buckets, keys)
-                some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                blobs = []
-                for b in some:
-                    part = keys[cut[b] : cut[b + 1]] >> shift
-                    blobs.append(_kernel.pack(np.diff(part, prepend=U64(0)), spot[cut[b] : cut[b + 1]]))
-                yield _rows(some, [docs] * len(some), blobs, [], [], None)
+                keys, lead = hashes[heads], use[heads]
+                spot = place[lead] * 2 + aligned
+                made = _deal(buckets, keys, row[lead], spot, ids, words, lambda part: [np.diff(keys[part] >> shift, prepend=U64(0))])
+                yield _rows(*made, [], [], [])
 
     return run
 
@@ -121,8 +126,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch])
     now = None
     for batch in batches:
         packed = batch.column("docs").is_valid()
-        if "starts" in batch.schema.names:
-            passed.append(batch.filter(pc.invert(packed)).select(["doc_id", "n_words", "starts"]))
+        if "start" in batch.schema.names:
+            passed.append(batch.filter(pc.invert(packed)).select(["doc_id", "n_words", "start"]))
         batch = batch.filter(packed)
         for bucket, docs, entries in zip(*(batch.column(c).to_pylist() for c in ("bucket", "docs", "entries"))):
             if bucket != now and held:
@@ -133,16 +138,21 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch])
     yield held
 
 
-def _answer(parts: list[tuple[bytes, bytes]], marked: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """For each sender the marked word places, as (doc_id, n_words, starts) rows."""
-    for (docs, _), at in zip(parts, marked):
-        if len(at):
-            steps, words = _kernel.unpack(docs, np.int64, np.int64)
-            first = np.r_[0, np.cumsum(words)]
-            flags = np.zeros(int(first[-1]), dtype=bool)
-            flags[at] = True
-            ids, n, starts = _spans(flags, np.cumsum(steps), first[:-1], words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), starts], ["doc_id", "n_words", "starts"])
+def _answer(ids: np.ndarray, words: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words), pa.array(start.astype(np.int32))], ["doc_id", "n_words", "start"])
+
+
+def _opened(parts: list[tuple[bytes, bytes]], *dtypes: type) -> tuple[np.ndarray, ...]:
+    """(doc_id, n_words, place, columns...) of all entries of a bucket, as lists by sender for the columns."""
+    ids, words, places, columns = [], [], [], []
+    for docs, entries in parts:
+        steps, n = _kernel.unpack(docs, np.int64, np.int64)
+        back, place, *rest = _kernel.unpack(entries, np.uint32, np.uint32, *dtypes)
+        ids.append(np.cumsum(steps)[back])
+        words.append(n[back])
+        places.append(place.astype(np.int64))
+        columns.append(rest)
+    return np.concatenate(ids), np.concatenate(words), np.concatenate(places), list(zip(*columns))
 
 
 def _matcher():
@@ -153,30 +163,25 @@ def _matcher():
             passed.clear()
             if not parts:
                 continue
-            keys, spots = [], []
-            for _, entries in parts:
-                step, spot = _kernel.unpack(entries, U64, np.uint32)
-                keys.append(np.cumsum(step, dtype=U64))
-                spots.append(spot)
-            sender = np.repeat(np.arange(len(parts)), [len(k) for k in keys])
-            key, spot = np.concatenate(keys), np.concatenate(spots)
+            ids, words, spot, (steps,) = _opened(parts, U64)
+            key = np.concatenate([np.cumsum(k, dtype=U64) for k in steps])
             order = np.argsort(key, kind="stable")
-            key, spot, sender = key[order], spot[order], sender[order]
+            key, spot = key[order], spot[order]
             heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[heads, len(key)])
             hit = (sizes > 1) & (np.bitwise_or.reduceat(spot, heads) & 1).astype(bool)
             take = np.repeat(hit, sizes)
-            sender, spot = sender[take], spot[take] >> 1
-            yield from _answer(parts, [spot[sender == i] for i in range(len(parts))])
+            order = order[take]
+            yield _answer(ids[order], words[order], spot[take] >> 1)
 
     return run
 
 
-EXTENDED = "kind int, doc_id long, n_words long, text binary, starts array<int>, bucket int, docs binary, entries binary"
+EXTENDED = "kind int, doc_id long, n_words long, text binary, start int, bucket int, docs binary, entries binary"
 
 
 def _extended(n: int, kind: int, **columns) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     names = [f.split()[0] for f in EXTENDED.split(", ")]
     columns["kind"] = np.full(n, kind, dtype=np.int32)
     made = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], type=t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)]
@@ -219,15 +224,12 @@ def _extender(window: int, buckets: int):
                 later_flags = np.zeros(len(starts), dtype=bool)
                 later_flags[near[later]] = True
                 got_ids, got_words, got = _spans(later_flags, ids, first[:-1], words)
-                yield _extended(len(got_ids), 2, doc_id=got_ids, n_words=got_words, starts=got)
+                yield _extended(len(got_ids), 2, doc_id=got_ids, n_words=got_words, start=got)
                 # Every start that ties with the earliest is sent, so rows that repeat an id fare alike.
                 send = np.flatnonzero(~later)
                 a, b, near = a[send], b[send], near[send]
-                docs = _kernel.pack(np.diff(ids, prepend=0), words.astype(np.int64))
-                cut = _spread(buckets, a)
-                some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-                blobs = [_kernel.pack(a[cut[k] : cut[k + 1]], b[cut[k] : cut[k + 1]], near[cut[k] : cut[k + 1]].astype(np.uint32)) for k in some]
-                yield _extended(len(some), 3, bucket=some, docs=[docs] * len(some), entries=blobs)
+                made = _deal(buckets, a, row[near], near - first[row[near]], ids, words, lambda part: [a[part], b[part]])
+                yield _extended(len(made[0]), 3, bucket=made[0], docs=made[1], entries=made[2])
 
     return run
 
@@ -240,21 +242,14 @@ def _earliest():
             passed.clear()
             if not parts:
                 continue
-            columns = []
-            for i, (docs, entries) in enumerate(parts):
-                a, b, at = _kernel.unpack(entries, U64, U64, np.uint32)
-                steps, words = _kernel.unpack(docs, np.int64, np.int64)
-                first = np.r_[0, np.cumsum(words)]
-                row = np.searchsorted(first, at, side="right") - 1
-                columns.append((a, b, np.cumsum(steps)[row], at - first[row], np.full(len(a), i), at))
-            a, b, doc, where, sender, at = map(np.concatenate, zip(*columns))
+            doc, words, where, (low, high) = _opened(parts, U64, U64)
+            a, b = np.concatenate(low), np.concatenate(high)
             order = np.lexsort((where, doc, b, a))
-            a, b, doc, where, sender, at = (x[order] for x in (a, b, doc, where, sender, at))
+            a, b, doc, words, where = (x[order] for x in (a, b, doc, words, where))
             fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
             lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             later = (doc != doc[lead]) | (where != where[lead])
-            sender, at = sender[later], at[later]
-            yield from _answer(parts, [at[sender == i] for i in range(len(parts))])
+            yield _answer(doc[later], words[later], where[later])
 
     return run
 
@@ -285,11 +280,12 @@ def _remover(window: int):
     return run
 
 
-ANSWER = "doc_id long, n_words long, starts array<int>"
+ANSWER = "doc_id long, n_words long, start int"
 
 
 def _gathered(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "starts")).alias(name))
+    each = rows.groupBy("doc_id", "n_words").agg(F.collect_list("start").alias("starts"))
+    return each.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "starts")).alias(name))
 
 
 def _hits(own: DataFrame, window: int, buckets: int, width: int, spread: int) -> DataFrame:
@@ -306,7 +302,7 @@ def _extend(own: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataF
 
 def _later(extended: DataFrame, spread: int) -> DataFrame:
     dealt = extended.filter("kind = 3").select("bucket", "docs", "entries").repartition(spread, "bucket").sortWithinPartitions("bucket")
-    known = extended.filter("kind = 2").select("doc_id", "n_words", "starts")
+    known = extended.filter("kind = 2").select("doc_id", "n_words", "start")
     return _shared.materialize(dealt.mapInArrow(_earliest(), ANSWER).unionByName(known), "later")
 
 
