@@ -35,7 +35,11 @@ NULL_ID = -(1 << 63)
 #: Codes of the marks around a document; hashes of words lie above all codes.
 BEGIN, END, FIRST_CODE = 0, 1, 2
 COUNTS = "bucket int, entries binary"
-SCORES = "doc_id long, n_tokens long, score double, bucket int, docs binary, entries binary"
+SCORES = "kind int, bucket int, docs binary, entries binary"
+#: Kinds of packed rows: occurrences that ask a bucket, and sums that a bucket has finished.
+ASKED, FINISHED = 0, 1
+#: Documents whose sums meet in one task.
+DOCS_PER_TASK = 1 << 18
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,9 +116,9 @@ def _numbered(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch] |
     now = None
     for batch in batches:
         if passed is not None:
-            packed = batch.column("entries").is_valid()
-            passed.append(batch.filter(pc.invert(packed)))
-            batch = batch.filter(packed)
+            asked = pc.equal(batch.column("kind"), ASKED)
+            passed.append(batch.filter(pc.invert(asked)))
+            batch = batch.filter(asked)
         docs = batch.column("docs").to_pylist() if "docs" in batch.schema.names else [None] * batch.num_rows
         for bucket, *rest in zip(batch.column("bucket").to_pylist(), docs, batch.column("entries").to_pylist()):
             if bucket != now and held:
@@ -171,17 +175,24 @@ def _heavy(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.array([r.n for r in rows], dtype=np.int64)[order]
 
 
-def _doc_sums(row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
-    """(doc_id, n_tokens, score) of the rows that have any."""
-    n = np.bincount(row, minlength=len(ids))
-    total = np.bincount(row, weights=score, minlength=len(ids))
-    some = np.flatnonzero(n)
-    return [pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(total[some])]
+def _packed(kind: int, buckets: list[int], docs: list[bytes], entries: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array([kind] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), pa.array(docs, pa.binary()), pa.array(entries, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "docs", "entries"])
 
 
-def _scored(columns: list[pa.Array]) -> pa.RecordBatch:
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], [f.split()[0] for f in SCORES.split(", ")])
+def _sums(row: np.ndarray, score: np.ndarray, ids: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """Sums by document of what has been scored, packed by the task that will put the document together."""
+    own, back = np.unique(ids[row], return_inverse=True)
+    n = np.bincount(back, minlength=len(own))
+    total = np.bincount(back, weights=score, minlength=len(own))
+    task = (_kernel.mix(own.view(U64)) % U64(tasks)).astype(np.int64)
+    order = np.argsort(task, kind="stable")
+    some, starts = np.unique(task[order], return_index=True)
+    docs, entries = [], []
+    for part in np.split(order, starts[1:]) if len(order) else []:
+        docs.append(_kernel.pack(np.diff(own[part], prepend=0)))
+        entries.append(_kernel.pack(n[part].astype(np.uint32), total[part]))
+    return _packed(FINISHED, some.tolist(), docs, entries)
 
 
 def _asked(rows: np.ndarray, columns: tuple[np.ndarray, ...], place: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -196,18 +207,14 @@ def _asked(rows: np.ndarray, columns: tuple[np.ndarray, ...], place: np.ndarray,
         own, back = np.unique(rows[part], return_inverse=True)
         docs.append(_kernel.pack(np.diff(ids[own], prepend=0)))
         blobs.append(_kernel.pack(np.diff(back, prepend=0).astype(np.uint32), *(c[part] for c in columns)))
-    n = len(some)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(some, pa.int32()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())],
-        [f.split()[0] for f in SCORES.split(", ")],
-    )
+    return _packed(ASKED, some, docs, blobs)
 
 
 class Model:
     """What every task knows: heavy words and pairs with their counts, and the totals."""
 
-    def __init__(self, words, word_counts, pairs, pair_counts, n_docs: int, n_words: int, alpha: float, min_count: int, buckets: int):
-        self.words, self.pairs, self.buckets, self.min_count = words, pairs, buckets, min_count
+    def __init__(self, words, word_counts, pairs, pair_counts, n_docs: int, n_words: int, alpha: float, min_count: int, buckets: int, tasks: int):
+        self.words, self.pairs, self.buckets, self.tasks, self.min_count = words, pairs, buckets, tasks, min_count
         self.log_words = np.log(np.r_[max(n_docs, 1), 1, word_counts].astype(np.float64))  # by code
         self.pair_counts = pair_counts
         self.floor = math.log(alpha) - math.log(max(n_words, 1))
@@ -226,7 +233,7 @@ def _occurrences(model: Model):
                     at = np.minimum(np.searchsorted(model.pairs, both), len(model.pairs) - 1)
                     known = (model.pairs[at] == both) & ~light & (right < U64(1 << 32)) & (right != U64(END))
                     here = np.log(model.pair_counts[at[known]]) - model.log_words[left[known].astype(np.int64)]
-                    yield _scored(_doc_sums(row[known], here, ids))
+                    yield _sums(row[known], here, ids, model.tasks)
                 else:
                     known = np.zeros(len(row), dtype=bool)
                 rest = ~known & (light | (right != U64(END)))
@@ -253,7 +260,7 @@ def _pair_scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
         for _, parts in _numbered(batches, passed):
-            yield from (_scored([b.column(c) for c in ("doc_id", "n_tokens", "score")]) for b in passed)
+            yield from passed
             passed.clear()
             if not parts:
                 continue
@@ -275,7 +282,7 @@ def _pair_scorer(model: Model):
             score = np.log(count) - base
             score[plain] = model.floor + model.log_words[right[plain].astype(np.int64)]
             done = seen | plain
-            yield _scored(_doc_sums(row[done], score[done], ids))
+            yield _sums(row[done], score[done], ids, model.tasks)
             back = word & ~seen & ~plain
             if back.any():
                 yield _asked(row[back], (right[back],), right[back], ids, model.buckets)
@@ -295,7 +302,7 @@ def _word_scorer(model: Model):
             key, log_count = np.cumsum(step, dtype=U64), np.log(count)
             ids, row, (word,) = _gather(asked, U64)
             score = model.floor + log_count[np.searchsorted(key, word)]
-            yield pa.RecordBatch.from_arrays(_doc_sums(row, score, ids), ["doc_id", "n_tokens", "score"])
+            yield _sums(row, score, ids, model.tasks)
 
     return run
 
@@ -325,21 +332,34 @@ def scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, id_col: str
     pairs, pair_counts = _heavy(pair_sums)
     _shared.drop(pair_sums)
     _shared.free_shuffles(spark)
-    model = Model(words, word_counts, pairs, pair_counts, n_docs, n_words, alpha, min_count, buckets)
+    model = Model(words, word_counts, pairs, pair_counts, n_docs, n_words, alpha, min_count, buckets, max(1, -(-n_docs // DOCS_PER_TASK) * 4))
 
     first = _pair_scores(own, model, spread)
     _shared.free_shuffles(spark)
-    asked = first.filter("bucket IS NOT NULL").select("bucket", "docs", "entries")
+    asked = first.filter(F.col("kind") == ASKED).select("bucket", "docs", "entries")
     table = counts.filter("entries IS NOT NULL").select("bucket", F.lit(None).cast("binary").alias("docs"), "entries")
-    last = table.unionByName(asked).repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_word_scorer(model), "doc_id long, n_tokens long, score double")
-    every = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("score"))
-    parts = first.filter("bucket IS NULL").select("doc_id", "n_tokens", "score").unionByName(last).unionByName(every)
-    total = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
-    return total.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    last = table.unionByName(asked).repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_word_scorer(model), SCORES)
+    sums = first.filter(F.col("kind") == FINISHED).unionByName(last).select("bucket", "docs", "entries")
+    done = sums.repartition(model.tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_adder, "doc_id long, n_tokens long, score double")
+    every = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id")).distinct()
+    total = every.join(done, "doc_id", "left").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return total
+
+
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each document over all buckets."""
+    for _, parts in _numbered(batches):
+        if not parts:
+            continue
+        ids = np.concatenate([np.cumsum(_kernel.unpack(d, np.int64)[0]) for d, _ in parts])
+        n, total = (np.concatenate(x) for x in zip(*(_kernel.unpack(e, np.uint32, np.float64) for _, e in parts)))
+        own, back = np.unique(ids, return_inverse=True)
+        columns = [pa.array(own), pa.array(np.bincount(back, weights=n).astype(np.int64)), pa.array(np.bincount(back, weights=total))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score"])
 
 
 def _pair_scores(own: DataFrame, model: Model, spread: int) -> DataFrame:
-    # Finished sums ride along, spread by their ids, so the texts are read once.
-    made = own.mapInArrow(_occurrences(model), SCORES).withColumn("bucket", F.coalesce("bucket", F.pmod("doc_id", F.lit(model.buckets)).cast("int")))
+    # Finished sums keep their own bucket number and ride along, so the texts are read once.
+    made = own.mapInArrow(_occurrences(model), SCORES)
     scored = made.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_scorer(model), SCORES)
     return _shared.materialize(scored, "pair-scores")
