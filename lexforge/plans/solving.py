@@ -1,6 +1,198 @@
-"""Queries of the solvers."""
+"""Queries of the solvers. Puzzles are made from table columns; where the rule is known, so is the answer."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexforge.solve import bit, cipher, formula, numeric, symbol
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- formulas ---------------------------------------------------------------------
+
+
+@query("SELECT user_id, round(sum(value) / sum((event_id % 9 + 1) * (event_id % 9 + 1)), 6) AS k FROM events GROUP BY user_id")
+def gravity_fit(spark, sf_dir):
+    time = (F.col("event_id") % 9 + 1).cast("double")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(formula.gravity(F.col("value"), time), 6).alias("k"))
+
+
+@query("SELECT p_brand, round(sum(p_retailprice) / sum(p_size), 6) AS factor FROM part GROUP BY p_brand")
+def unit_factor(spark, sf_dir):
+    made = formula.factor(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(made, 6).alias("factor"))
+
+
+_DIGITS = [["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"], ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"], ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"], ["", "M", "MM", "MMM"]]
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey BETWEEN 1 AND 3999 THEN " + " || ".join(f"{_DIGITS[k]}[(p_partkey // {10**k}) % 10 + 1]" for k in (3, 2, 1, 0)) + " END AS roman FROM part")
+def roman_numeral(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", formula.roman(F.col("p_partkey")).alias("roman"))
+
+
+# --- ciphers ----------------------------------------------------------------------
+
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations"
+
+
+@query(f"""SELECT word, array_to_string(list_transform(string_split(word, ''), lambda c: list_position(list_distinct_in_order, c)), ',') AS pattern FROM (
+  SELECT word, list_filter(string_split(word, ''), lambda c, i: list_position(string_split(word, ''), c) = i) AS list_distinct_in_order FROM ({_WORDS}))""")
+def word_pattern(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", F.array_join(F.transform(cipher.pattern(F.col("word")), lambda x: x.cast("string")), ",").alias("pattern"))
+
+
+_PLAIN, _CIPHER = "abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"
+_SAMPLES = "alice discovers the hidden garden near castle", "curious rabbit follows magical key", "wise wizard imagines a story of turtle"
+
+
+def _puzzles(spark, sf_dir):
+    """A puzzle for each customer: three sentences whose letters are known, and a query of vocabulary words."""
+    words = F.array(*map(F.lit, cipher.VOCABULARY))
+    n = len(cipher.VOCABULARY)
+    plain = F.concat_ws(" ", *[F.get(words, ((F.col("c_custkey") * k + k) % n).cast("int")) for k in (1, 5, 7, 11)])
+    told = F.concat(*[x for s in _SAMPLES for x in (F.translate(F.lit(s), _PLAIN, _CIPHER), F.lit(f" -> {s}\n"))])
+    prompt = F.concat(F.lit("Examples:\n"), told, F.lit("Now, decrypt the following text: "), F.translate(plain, _PLAIN, _CIPHER))
+    return table(spark, sf_dir, "customer").select("c_custkey", plain.alias("plain"), prompt.alias("prompt"))
+
+
+_VOCABULARY = "[" + ", ".join(f"'{w}'" for w in cipher.VOCABULARY) + "]"
+_PLAIN_SQL = " || ' ' || ".join(f"({_VOCABULARY})[(c_custkey * {k} + {k}) % {len(cipher.VOCABULARY)} + 1]" for k in (1, 5, 7, 11))
+
+
+@query(f"SELECT c_custkey, {_PLAIN_SQL} AS decoded, translate({_PLAIN_SQL}, '{_PLAIN}', '{_CIPHER}') AS query FROM customer")
+def cipher_decode(spark, sf_dir):
+    return cipher.solve(_puzzles(spark, sf_dir)).select("c_custkey", "decoded", "query")
+
+
+@query(f"SELECT c_custkey, '{' '.join(sorted({c + p for c, p in ((_CIPHER[_PLAIN.index(x)], x) for s in _SAMPLES for x in s if x != ' ')}))}' AS mapping FROM customer")
+def cipher_mapping(spark, sf_dir):
+    pairs = F.transform(F.array_sort(F.map_entries(cipher.mapping(cipher.examples(F.col("prompt"))))), lambda e: F.concat(e["key"], e["value"]))
+    return _puzzles(spark, sf_dir).select("c_custkey", F.array_join(pairs, " ").alias("mapping"))
+
+
+# --- bits -------------------------------------------------------------------------
+
+#: The examples' inputs, by place.
+_N = 6
+
+
+def _bits(spark, sf_dir, name="customer", key="c_custkey"):
+    """A puzzle for each row: six bytes, each turned left by one and its top bits flipped; the query is a seventh."""
+    x = [f"(({key} * {37 + 10 * r} + {r * 91 + 5}) % 256)" for r in range(_N + 1)]
+    binary = [f"lpad(bin({v}), 8, '0')" for v in x]
+    y = [f"lpad(bin((({v} * 2) % 256 + {v} DIV 128) ^ 192), 8, '0')" for v in x]
+    pairs = ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in zip(binary[:_N], y))
+    return table(spark, sf_dir, name).selectExpr(f"{key} AS id", f"array({pairs}) AS examples", f"{binary[_N]} AS query")
+
+
+def _bit_sql(key: str) -> str:
+    x = [f"(({key} * {37 + 10 * r} + {r * 91 + 5}) % 256)" for r in range(_N + 1)]
+    y = [f"xor((({v} * 2) % 256 + {v} // 128), 192)" for v in x]
+    col = lambda v, i, r: f"((({v} >> {7 - i}) & 1) << {r})"
+    ins = "[" + ", ".join(" + ".join(col(v, i, r) for r, v in enumerate(x)) for i in range(8)) + "]"
+    outs = "[" + ", ".join(" + ".join(col(v, i, r) for r, v in enumerate(y[:_N])) for i in range(8)) + "]"
+    return f"SELECT {key} AS id, {ins} AS ins, {outs} AS outs"
+
+
+_FULL, _MASK = (1 << (_N + 1)) - 1, (1 << _N) - 1
+_GATE_SQL = {
+    "AND": "a & b", "XOR": "xor(a, b)", "XNOR": f"xor(xor(a, b), {_FULL})", "OR": "a | b", "NOR": f"xor(a | b, {_FULL})", "NAND": f"xor(a & b, {_FULL})",
+    "INHIB": f"a & xor(b, {_FULL})", "IMPL": f"xor(a, {_FULL}) | b",
+}
+
+
+@query(f"""WITH p AS ({_bit_sql('c_custkey')} FROM customer), i AS (SELECT unnest(range(8)) AS i), ij AS (SELECT x.i AS i, y.i AS j FROM i x, i y WHERE x.i <> y.i),
+  rule AS (SELECT id, outs, 'C0' AS gate, 0 AS arity, 0 AS v FROM p UNION ALL SELECT id, outs, 'C1', 0, {_FULL} FROM p
+    UNION ALL SELECT id, outs, 'ID', 1, ins[i + 1] FROM p, i UNION ALL SELECT id, outs, 'NOT', 1, xor(ins[i + 1], {_FULL}) FROM p, i
+    """ + " ".join(f"UNION ALL SELECT id, outs, '{g}', 2, {e} FROM (SELECT id, outs, i, j, ins[i + 1] AS a, ins[j + 1] AS b FROM p, ij) WHERE {'true' if g in ('INHIB', 'IMPL') else 'i < j'}" for g, e in _GATE_SQL.items()) + f"""),
+  hit AS (SELECT id, b AS output_bit, gate, arity, (v >> {_N}) & 1 AS value FROM rule, (SELECT unnest(range(8)) AS b) WHERE (v & {_MASK}) = outs[b + 1]),
+  kept AS (SELECT *, min(arity) OVER (PARTITION BY id, output_bit) AS least FROM hit)
+  SELECT id, output_bit, count(*) AS n_candidates, min(arity) AS least_arity, sum(value)::BIGINT AS ones, count(DISTINCT gate) AS n_gates FROM kept WHERE arity <= least + 1 GROUP BY id, output_bit""")
+def bit_candidates(spark, sf_dir):
+    found = bit.candidates(_bits(spark, sf_dir), max_arity=2)
+    return found.groupBy("id", "output_bit").agg(F.count("*").alias("n_candidates"), F.min("arity").alias("least_arity"), F.sum("query_value").alias("ones"), F.count_distinct("gate").alias("n_gates"))
+
+
+@query()
+def bit_solve(spark, sf_dir):
+    made = bit.solve(_bits(spark, sf_dir))
+    return made.select("id", "prediction", "confidence", F.array_join(F.transform("ambiguous_bits", lambda b: b.cast("string")), ",").alias("ambiguous"))
+
+
+# --- equations --------------------------------------------------------------------
+
+
+def _equations(spark, sf_dir):
+    """A puzzle for each order: sums and products of two numbers, reversed where the key is odd."""
+    key = "o_orderkey"
+    a, b = ([f"({key} * {m} + {k * 13}) % 90 + 10" for k in range(4)] for m in (7, 11))
+    turn = lambda v: f"if({key} % 2 = 1, reverse(CAST({v} AS STRING)), CAST({v} AS STRING))"
+    rows = [f"concat({x}, ' + ', {y}, ' = ', {turn(f'({x}) + ({y})')})" for x, y in zip(a[:2], b)] + [f"concat({a[2]}, ' * ', {b[2]}, ' = ', {turn(f'({a[2]}) * ({b[2]})')})"]
+    prompt = f"concat_ws('\\n', 'Examples', {', '.join(rows)}, concat('Now, determine the result for: ', {a[3]}, ' + ', {b[3]}))"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{prompt} AS prompt")
+
+
+def _parsed(spark, sf_dir):
+    return _equations(spark, sf_dir).withColumn("p", numeric.parse(F.col("prompt"))).filter("p IS NOT NULL").select("id", "p.examples", "p.query")
+
+
+_AB = [f"((o_orderkey * {m} + {k * 13}) % 90 + 10)" for m in (7, 11) for k in range(4)]
+
+
+@query("SELECT o_orderkey AS id, op FROM orders, (VALUES ('+'), ('*')) t(op)")
+def numeric_parse(spark, sf_dir):
+    return numeric.by_operator(_parsed(spark, sf_dir)).select("id", "op")
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 1 THEN reverse((({_AB[3]}) + ({_AB[7]}))::VARCHAR) ELSE (({_AB[3]}) + ({_AB[7]}))::VARCHAR END AS prediction FROM orders")
+def numeric_render(spark, sf_dir):
+    """The known rule, through the same expressions that the search uses."""
+    rule = [F.lit("id"), F.lit("id"), F.lit("x + y"), F.when(F.col("id") % 2 == 1, "rev").otherwise("plain"), F.lit(None).cast("int")]
+    return _parsed(spark, sf_dir).select("id", numeric.predict(F.col("query"), *rule).alias("prediction"))
+
+
+@query()
+def numeric_candidates(spark, sf_dir):
+    found = numeric.candidates(_parsed(spark, sf_dir))
+    return found.groupBy("id", "op").agg(F.count("*").alias("n_candidates"), F.min("complexity").alias("least"))
+
+
+@query()
+def numeric_solve(spark, sf_dir):
+    return numeric.solve(_parsed(spark, sf_dir)).select("id", "prediction", "n_candidates", "confidence")
+
+
+@query()
+def digit_scan(spark, sf_dir):
+    return numeric.scan(_parsed(spark, sf_dir)).select("id", "rank", "rule", "mode", "prediction")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '0134' ELSE '3401' END AS template,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'p' || chr(97 + (o_orderkey % 26)::INT) || 'rs' ELSE 'rsp' || chr(97 + (o_orderkey % 26)::INT) END AS prediction,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM orders""")
+def symbol_direct_template(spark, sf_dir):
+    made = """concat('Rules\\nab+cd = ', if(o_orderkey % 3 = 0, 'abcd', 'cdab'), '\\nab*cd = x\\nabc = d\\n', if(o_orderkey % 2 = 0, concat('xy+zw = ', if(o_orderkey % 3 = 0, 'xyzw', 'zwxy'), '\\n'), ''),
+      'Now, determine the result for: p', char(97 + o_orderkey % 26), '+rs') AS prompt"""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", made).withColumn("p", symbol.parse(F.col("prompt")))
+    return symbol.direct(rows.select("id", "p.examples", "p.query"))
