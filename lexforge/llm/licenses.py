@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.llm.quality import let
+
 NONE = "none"
 UNKNOWN = "unknown"
 #: Bounds of the model and of the corpus sample it is fitted on.
@@ -154,8 +156,11 @@ def _words(text: Column) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.array_distinct(F.concat(words, F.slice(pairs, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))))
+    def of(w: Column) -> Column:
+        pairs = F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+        return F.array_distinct(F.concat(w, F.slice(pairs, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))))
+
+    return let(words, of)
 
 
 def _any_of(words: list[str]) -> str:
