@@ -6,8 +6,6 @@ each operator's examples of a puzzle; widths come from the examples.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,27 +78,25 @@ def apply_rule(x: Column, y: Column, rule: Column) -> Column:
     return out
 
 
-def render(value: Column, mode: Column, op: Column, width: Column) -> Column:
+def written(v: Column, mode: Column, op: Column, width: Column) -> Column:
     """A value as the mode writes it; digits are filled with zeros to the width, reversed modes keep a sign in front."""
-    def of(v: Column) -> Column:
-        size = F.abs(v).cast("string")
-        wide = F.when(width.isNull(), size).otherwise(F.lpad(size, F.greatest(F.length(size), width), F.lit("0")))
-        sign = F.when(v < 0, "-").otherwise("")
-        plain, back = F.concat(sign, wide), F.concat(sign, F.reverse(wide))
-        return (
-            F.when(mode == "plain", plain).when(mode == "rev", back)
-            .when(mode == "neg", F.concat(F.lit("-"), wide)).when(mode == "neg_rev", F.concat(F.lit("-"), F.reverse(wide)))
-            .when(mode == "op_prefix", F.concat(op, plain)).when(mode == "op_suffix", F.concat(plain, op))
-            .when(mode == "op_prefix_rev", F.concat(op, back)).when(mode == "op_suffix_rev", F.concat(back, op))
-            .when(mode == "op_prefix_if_neg", F.when(v < 0, F.concat(op, size)).otherwise(size))
-            .when(mode == "op_suffix_rev_if_neg", F.when(v < 0, F.concat(F.reverse(size), op)).otherwise(size))
-        )
-
-    return let(value, of)
+    size = F.abs(v).cast("string")
+    wide = F.when(width.isNull(), size).otherwise(F.lpad(size, F.greatest(F.length(size), width), F.lit("0")))
+    sign = F.when(v < 0, "-").otherwise("")
+    plain, back = F.concat(sign, wide), F.concat(sign, F.reverse(wide))
+    return (
+        F.when(mode == "plain", plain).when(mode == "rev", back)
+        .when(mode == "neg", F.concat(F.lit("-"), wide)).when(mode == "neg_rev", F.concat(F.lit("-"), F.reverse(wide)))
+        .when(mode == "op_prefix", F.concat(op, plain)).when(mode == "op_suffix", F.concat(plain, op))
+        .when(mode == "op_prefix_rev", F.concat(op, back)).when(mode == "op_suffix_rev", F.concat(back, op))
+        .when(mode == "op_prefix_if_neg", F.when(v < 0, F.concat(op, size)).otherwise(size))
+        .when(mode == "op_suffix_rev_if_neg", F.when(v < 0, F.concat(F.reverse(size), op)).otherwise(size))
+    )
 
 
 def predict(example: Column, lt: Column, rt: Column, rule: Column, mode: Column, width: Column) -> Column:
-    return render(apply_rule(operand(example["left"], lt), operand(example["right"], rt), rule), mode, example["op"], width)
+    value = apply_rule(operand(example["left"], lt), operand(example["right"], rt), rule)
+    return let(value, lambda v: written(v, mode, example["op"], width))
 
 
 def widths(examples: Column) -> Column:
@@ -114,10 +110,8 @@ def widths(examples: Column) -> Column:
     return F.concat(F.array(F.lit(None).cast("int")), F.array_sort(F.array_distinct(F.array_compact(F.transform(examples, digits)))))
 
 
-def value_table(spark: SparkSession) -> DataFrame:
-    """60 rows of (lt, rt, rule, complexity)."""
-    rows = [(a, b, r, TRANSFORMS[a] + TRANSFORMS[b] + BASE_RULES[r]) for a, b, r in product(TRANSFORMS, TRANSFORMS, BASE_RULES)]
-    return spark.createDataFrame(rows, "lt string, rt string, rule string, complexity int")
+def _dimension(spark: SparkSession, column: str, values: dict[str, int], cost: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(list(values.items()), f"{column} string, {cost} int"))
 
 
 def by_operator(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
@@ -129,17 +123,21 @@ def by_operator(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
 
 def candidates(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
     """One row per puzzle, operator and rule that gives every example of the operator exactly."""
-    values = F.broadcast(value_table(puzzles.sparkSession))
+    spark = puzzles.sparkSession
+    # Operands are made once for each transform and values once for each rule: the joins keep the expressions apart and small.
     own = by_operator(puzzles, id_col).withColumn("first", F.get("examples", F.lit(0)))
-    value = apply_rule(operand(F.col("first.left"), F.col("lt")), operand(F.col("first.right"), F.col("rt")), F.col("rule"))
-    met = own.crossJoin(values).withColumn("size", F.abs(value).cast("string"))
+    left = own.crossJoin(_dimension(spark, "lt", TRANSFORMS, "c1")).withColumn("x", operand(F.col("first.left"), F.col("lt")))
+    right = left.crossJoin(_dimension(spark, "rt", TRANSFORMS, "c2")).withColumn("y", operand(F.col("first.right"), F.col("rt")))
+    met = right.crossJoin(_dimension(spark, "rule", BASE_RULES, "c3")).withColumn("value", apply_rule(F.col("x"), F.col("y"), F.col("rule")))
+    met = met.withColumn("size", F.abs("value").cast("string")).withColumn("complexity", F.col("c1") + F.col("c2") + F.col("c3"))
     # Every mode writes the digits of the value, in order or reversed, so most rules go before modes and widths come in.
     met = met.filter(F.col("first.rhs").contains(F.col("size")) | F.col("first.rhs").contains(F.reverse("size")))
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(c).alias("c")) for m, c in MODES.items()])
     met = met.select("*", F.explode(modes).alias("m")).select("*", F.explode(widths(F.col("examples"))).alias("width"))
+    met = met.filter(written(F.col("value"), F.col("m.mode"), F.col("op"), F.col("width")) == F.col("first.rhs"))
     met = met.select("id", "op", "examples", "lt", "rt", "rule", "m.mode", "width", (F.col("complexity") + F.col("m.c")).alias("complexity"))
     rule = [F.col(c) for c in ("lt", "rt", "rule", "mode", "width")]
-    fits = met.filter(F.forall("examples", lambda e: predict(e, *rule) == e["rhs"]))
+    fits = met.filter(F.forall(F.slice("examples", F.lit(2), F.size("examples")), lambda e: predict(e, *rule) == e["rhs"]))
     text = F.concat(F.col("mode"), F.lit("("), "rule", F.lit(" on "), "lt", F.lit(","), "rt", F.when(F.col("width").isNotNull(), F.concat(F.lit(", width="), F.col("width").cast("string"))).otherwise(""), F.lit(")"))
     return fits.withColumn("complexity", F.col("complexity") + F.col("width").isNotNull().cast("int")).withColumn("description", text)
 
