@@ -275,6 +275,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = place_table(plan(histogram, capacity, rounds))
     before = counted.selectExpr("length", "part", "coalesce(sum(n) OVER (PARTITION BY length ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
-    ranked = made.join(before, ["length", "part"])
+    # The table of offsets grows with the number of tasks, so it is not broadcast.
+    ranked = made.join(before.hint("merge"), ["length", "part"])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.mapInArrow(_placer(table), schema)
