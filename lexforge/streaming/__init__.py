@@ -1 +1 @@
-
+"""Structured Streaming: no operator of the engine needs a stream, so none is built."""
