@@ -145,7 +145,10 @@ def fit(negatives: list[list[str]], seed: int = 7, steps: int = 120) -> Model:
 
 def sample_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[str]]:
     """Paragraphs of the SAMPLE_DOCUMENTS documents with the smallest id hashes, without those that speak of licences."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.substring(F.col(text_col).cast("string"), 1, 20000).alias("t")).filter("t IS NOT NULL").orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()
+    own = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
+    # Only hashes are ranked; the texts of the few documents up to the last of them are then read.
+    last = own.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
+    rows = own.filter(F.col("h") <= F.lit(last)).select("t").limit(SAMPLE_DOCUMENTS).collect() if last is not None else []
     marked = re.compile(r"licen[cs]|copyright|public domain|warrant|\bcc\b|\bgnu\b", re.I)
     found = [tokens(line) for r in rows for line in r.t.split("\n") if not marked.search(line)]
     return [w for w in found if w][:SAMPLE_PARAGRAPHS]
