@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm import _kernel
+from lexforge.llm import _kernel, near
 
 K1, B = 1.2, 0.75
 #: Share of an item's self score from which a passage is retrieved.
@@ -36,7 +36,8 @@ BLOCK = 16
 #: Bytes of item text in one index.
 INDEX_BYTES = 32 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+FOUND = "item_id long, score double, question_overlap double, answer_overlap double"
+SCHEMA = f"doc_id long, {FOUND}"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -187,7 +188,7 @@ def _possible(index: Index, passage: np.ndarray, terms: np.ndarray, n_passages:
     return np.unique(keys[total >= threshold - 1e-9] // len(index.ids))
 
 
-def _searcher(index: Index, threshold: float):
+def _searcher(index: Index, threshold: float, carried: list[str]):
     size = max(2 * index.longest, 2)
     step = size // 2
 
@@ -218,10 +219,10 @@ def _searcher(index: Index, threshold: float):
                         question, answer = (overlap(part, text) for part in index.parts[i])
                         if question >= OVERLAP and answer >= OVERLAP:
                             best[d, i] = max(best.get((d, i), (0.0, 0.0, 0.0)), (score, question, answer))
-                rows = [(batch.column("doc_id")[d].as_py(), index.ids[i], *x) for (d, i), x in best.items()]
+                rows = [(*(batch.column(c)[d].as_py() for c in carried), index.ids[i], *x) for (d, i), x in best.items()]
                 if rows:
-                    types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in SCHEMA.split(", ")])
+                    types = [*[pa.int64()] * (len(carried) + 1), *[pa.float64()] * 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], [*carried, *(f.split()[0] for f in FOUND.split(", "))])
 
     return run
 
@@ -248,18 +249,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, i
     either side, match nothing; repeated rows are rows of their own; ids may be
     null. Other columns are not read.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string").alias("text")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    return _search(own, ["doc_id"], benchmark, threshold, item_col, item_text_col)
+
+
+def _search(own: DataFrame, carried: list[str], benchmark: DataFrame, threshold: float, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each item that a text of ``own`` holds, with the long columns ``carried`` of its row."""
+    schema = ", ".join([*(f"{c} long" for c in carried), FOUND])
     found = None
     for block in _blocks(benchmark, item_col, item_text_col):
         index = build_index(block, threshold)
         if index.ids:
-            part = own.mapInArrow(_searcher(index, threshold), SCHEMA)
+            part = own.mapInArrow(_searcher(index, threshold, carried), schema)
             found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], SCHEMA)
+    return found if found is not None else own.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no test item."""
-    leaked = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")
+    """The rows of ``docs`` whose text holds no test item; ids need be neither unique nor there."""
+    own = docs.select(*near.row_key(), F.col("text").cast("string").alias("text"))
+    leaked = _search(own, near.ROW_KEY, benchmark, threshold).select(*near.ROW_KEY).distinct()
+    return near.only_keyed(docs, leaked, "left_anti").select(docs.columns)

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from lexforge.llm import near
+from lexforge.llm import decontaminate, near
 
 SCHEMA = "doc_id long, text string"
 
@@ -70,3 +70,22 @@ def test_band_keys_follow_the_set_only():
     sets, counts = near.distinct_shingles(h, np.array([3, 0, 4]))
     assert counts.tolist() == [2, 0, 3] and sets.tolist() == [3, 5, 3, 5, 9]
     assert (near.band_keys(np.tile(sets[2:], 2), np.array([3, 3])) == near.band_keys(sets[2:], np.array([3]))).all()
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_decided_by_their_texts(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choices([f"w{k}" for k in range(300)], k=n))
+    alone, twin = [(None, say(30)) for _ in range(6)], say(40)
+    rows = [*alone, alone[0], (1, twin), (2, twin), (2, say(50)), (None, twin), (3, say(20)), (3, say(20))]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    want = [*alone, rows[7], rows[9], rows[11], rows[12]]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_a_leak_takes_only_its_own_row(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices([f"w{k}" for k in range(300)], k=n))
+    items = spark.createDataFrame([(0, item := say(20) + ". " + say(8))], "item_id long, text string")
+    rows = [(None, say(40)), (None, say(9) + " " + item), (None, None), (7, item), (7, say(30))]
+    got = decontaminate.drop_leaked(spark.createDataFrame(rows, SCHEMA), items).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
