@@ -12,7 +12,9 @@ interval holds nobody else are discarded before each round; most go in the first
 At ``min_lines`` the intervals hold exactly the starts of repeated runs at least
 that long. The member with the smallest (doc_id, line) is the original; all
 others are later copies, and the lines that their overlapping starts cover, the
-maximal repeated runs, are deleted.
+maximal repeated runs, are deleted. Where ``min_words`` is given, shorter runs of
+that many words count too; names then grow by one line a round, so that every
+length below ``min_lines`` is looked at.
 """
 
 from __future__ import annotations
@@ -32,13 +34,19 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]")
 KEY = ["doc_id", "n"]
 
 
-def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
-    """(doc_id, n, pos, a, b): every line with a word, its place among the ``n`` such lines and its 128-bit name."""
+def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, words: bool = False) -> DataFrame:
+    """(doc_id, n, pos, a, b): every line with a word, its place among the ``n`` such lines and its 128-bit name.
+
+    With ``words`` also the number of words of the run that is named (``w``) and of its last line (``v``).
+    """
     lines = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike(_WORD.pattern))
-    names = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")))
+    count = lambda x: F.size(F.filter(F.split(F.regexp_replace(x, r"[\x09-\x0D]", " "), " "), lambda y: y != ""))
+    name = lambda x: [F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), *([count(x).alias("w")] if words else [])]
+    names = F.transform(lines, lambda x: F.struct(*name(x)))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), names.alias("names"))
     rows = own.select("doc_id", F.size("names").alias("n"), F.posexplode("names").alias("pos", "name"))
-    return rows.filter(F.col("n") >= min_lines).select("doc_id", "n", "pos", "name.a", "name.b")
+    more = [F.col("name.w"), F.col("name.w").alias("v")] if words else []
+    return rows.filter(F.col("n") >= min_lines).select("doc_id", "n", "pos", "name.a", "name.b", *more)
 
 
 def intervals(named: DataFrame) -> DataFrame:
@@ -49,34 +57,49 @@ def intervals(named: DataFrame) -> DataFrame:
 
 def _paired(left: DataFrame, step: int) -> DataFrame:
     """Names of twice the length (or of ``step`` more lines): each suffix with the one ``step`` lines further on."""
-    right = left.select("doc_id", "n", (F.col("pos") - step).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    words = "w" in left.columns
+    right = left.select("doc_id", "n", (F.col("pos") - step).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), *([F.col("v").alias("v2")] if words else []))
 
     def name(c: str) -> Column:
         return F.xxhash64(c, f"{c}2").alias(c)
 
     # Rows that share an id and a line count meet themselves and each other here; distinct leaves one of each name.
-    return left.join(right, [*KEY, "pos"]).select(*KEY, "pos", name("a"), name("b")).distinct()
+    # Only names that grow by one line carry words, so the last line's are what is added.
+    more = [(F.col("w") + F.col("v2")).alias("w"), F.col("v2").alias("v")] if words else []
+    return left.join(right, [*KEY, "pos"]).select(*KEY, "pos", name("a"), name("b"), *more).distinct()
+
+
+def repeated_starts(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """(doc_id, n, pos, len, first): starts of runs of ``min_lines`` lines that also start earlier, at ``first``.
+
+    With ``min_words`` also of shorter runs that hold so many words.
+    """
+    words = min_words is not None
+    named = _shared.materialize(suffixes(docs, id_col, text_col, 1 if words else min_lines, words), "suffixes")
+    length, shorter = 1, None
 
+    def later(some: DataFrame, shared: DataFrame) -> DataFrame:
+        found = some.join(shared, ["a", "b"]).filter(F.struct("doc_id", "pos") > F.col("first"))
+        return found.select(*KEY, "pos", F.lit(length).alias("len"), "first")
 
-def repeated_starts(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, pos, first): starts of runs of ``min_lines`` lines that also start earlier, at ``first``."""
-    named = _shared.materialize(suffixes(docs, id_col, text_col, min_lines), "suffixes")
-    length = 1
     while True:
         # Written, so that both sides of the joins are plain exchanges and adaptive execution can split a name that many suffixes have.
         shared = _shared.materialize(intervals(named), "intervals").hint("merge")
         if length == min_lines:
-            found = named.join(shared, ["a", "b"]).filter(F.struct("doc_id", "pos") > F.col("first")).select(*KEY, "pos", "first")
-            return _shared.materialize(found, "repeats")
+            found = later(named, shared)
+            return _shared.materialize(found if shorter is None else found.unionByName(shorter), "repeats")
+        if words:
+            own = _shared.materialize(later(named.filter(F.col("w") >= min_words), shared), "repeats")
+            shorter = own if shorter is None else shorter.unionByName(own)
         alive = _shared.materialize(named.join(shared.select("a", "b"), ["a", "b"], "left_semi"), "suffixes")
         _shared.drop(named)
-        step = min(length, min_lines - length)
+        step = 1 if words else min(length, min_lines - length)
         named = _shared.materialize(_paired(alive, step), "suffixes")
         _shared.drop(alive)
         length += step
 
 
-def _deleter(min_lines: int):
+def _deleter():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -86,9 +109,9 @@ def _deleter(min_lines: int):
                 edge = np.zeros(len(content) + 1, dtype=np.int32)
                 for f in found or []:
                     if f["n"] == len(content):
-                        at = np.unique(np.asarray(f["starts"], dtype=np.int64))
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + min_lines, -1)
+                        at = np.array([(x["pos"], x["len"]) for x in f["starts"]], dtype=np.int64)
+                        np.add.at(edge, at[:, 0], 1)
+                        np.add.at(edge, at.sum(axis=1), -1)
                 gone = {content[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] > 0).tolist()}
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
                 out.append((len(content), len(gone), kept))
@@ -99,30 +122,33 @@ def _deleter(min_lines: int):
     return run
 
 
-def dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def dedup(
+    docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), min_words: int | None = None
+) -> DataFrame:
     """The columns ``keep`` of every row, with n_lines, n_removed and kept (the text without later copies).
 
     Lines are cut at ``\\n`` and compared exactly; lines without a word are not
     part of runs and stay. Null text stays null and has no lines. A null id is the
     smallest. Rows that share an id stand at the same place, so neither is a later
     copy of the other; of rows with one id and one number of lines a deletion holds for all.
+    A run is deleted from ``min_lines`` lines on or, if given, from ``min_words`` words on.
     """
-    starts = repeated_starts(docs, min_lines, id_col, text_col)
-    by_doc = starts.groupBy(*KEY).agg(F.collect_list("pos").alias("starts")).groupBy("doc_id").agg(F.collect_list(F.struct("n", "starts")).alias("later"))
+    starts = repeated_starts(docs, min_lines, id_col, text_col, min_words)
+    by_doc = starts.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "len")).alias("starts")).groupBy("doc_id").agg(F.collect_list(F.struct("n", "starts")).alias("later"))
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["row"].dataType.simpleString()
     # The deletions grow with the corpus, so they are never broadcast.
     joined = own.join(by_doc.hint("merge"), "doc_id", "left").select("row", "text", "later")
-    done = joined.mapInArrow(_deleter(min_lines), f"row {kind}, n_lines long, n_removed long, kept string")
+    done = joined.mapInArrow(_deleter(), f"row {kind}, n_lines long, n_removed long, kept string")
     return done.select("row.*", "n_lines", "n_removed", "kept")
 
 
-def dedup_documents(docs: DataFrame, min_lines: int = 3, text_col: str = "text") -> DataFrame:
+def dedup_documents(docs: DataFrame, min_lines: int = 3, text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of line runs gone; documents that lose all their lines go with them."""
     names = docs.columns
     packed = docs.select(F.col("doc_id"), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    done = dedup(packed, min_lines, text_col=text_col, keep=("_row",))
+    done = dedup(packed, min_lines, text_col=text_col, keep=("_row",), min_words=min_words)
     left = done.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     columns = [F.col("kept").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in names]
     if "n_chars" in names:

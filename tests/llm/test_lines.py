@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from lexforge.llm import lines
 
 
@@ -47,3 +48,42 @@ def test_documents_keep_their_columns(spark):
 
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_words(rows, size, words):
+    """The text of every row without later copies of runs of ``size`` lines or of ``words`` words."""
+    docs = [(i, (t or "").split("\n")) for i, t in rows]
+    content = [[k for k, x in enumerate(ls) if x.split()] for _, ls in docs]
+    gone = [set() for _ in docs]
+    for length in range(1, size + 1):
+        first = {}
+        runs = []
+        for d, (i, ls) in enumerate(docs):
+            for s in range(len(content[d]) - length + 1):
+                run = tuple(ls[k] for k in content[d][s : s + length])
+                if length == size or sum(len(x.split()) for x in run) >= words:
+                    first[run] = min(first.get(run, (i, s)), (i, s))
+                    runs.append((d, (i, s), run))
+        for d, at, run in runs:
+            if at > first[run]:
+                gone[d] |= set(content[d][at[1] : at[1] + length])
+    return sorted((i, len(g), "\n".join(x for k, x in enumerate(ls) if k not in g) if g else t) for (i, t), (_, ls), g in zip(rows, docs, gone))
+
+
+def test_short_runs_of_many_words(spark):
+    rng = random.Random(6)
+    say = lambda n: (" " if n % 2 else " \t").join(rng.choices(["a", "bc", "d"], k=n))
+    pool = [say(n) for n in (60, 50, 49, 30, 25, 24, 20, 3, 1)] + ["", " "]
+    rows = [(i, "\n".join([f"own {i}", *rng.choices(pool, k=rng.randint(0, 4)), f"end {i}"])) for i in range(60)]
+    rows += [(100, pool[0]), (101, pool[2]), (102, pool[3] + "\n\n" + pool[4]), (103, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (3, 4):
+        got = sorted((r.doc_id, r.n_removed, r.kept) for r in lines.dedup(df, size, min_words=50).collect())
+        assert got == plain_words(rows, size, 50), size
+
+
+def test_the_pipeline_deletes_a_long_passage_of_one_or_two_lines(spark):
+    one, two = " ".join(f"w{k}" for k in range(64)), "\n".join(" ".join(f"{c}{k}" for k in range(30)) for c in "xy")
+    rows = [(1, one + "\nmine"), (2, "here\n" + one), (3, two), (4, two + "\nthere"), (5, "short one\nfive"), (6, "short one\nsix")]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(tuple(r) for r in got) == [rows[0], (2, "here"), rows[2], (4, "there"), *rows[4:]]
