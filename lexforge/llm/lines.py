@@ -1,15 +1,15 @@
-"""Line dedup over a suffix array of line ids.
+"""Line dedup over hashed windows of line ids.
 
 Documents are sequences of line ids (128-bit hashes of the lines that hold a
-word). Prefix doubling names, for every suffix, its first 1, 2, 4, ... lines: a
-round pairs the name of a suffix with that of the suffix as many lines further
-on. Names are hashes of what they name, so equal prefixes get equal names on
-every machine without a global numbering pass, and sorting suffixes by their
-names of growing length gives the suffix array, where the suffixes of one name
-are neighbours: an interval of common prefix at least that long. Suffixes whose
-interval holds nobody else are discarded before each round; most go in the first.
-
-At ``min_lines`` the intervals hold exactly the starts of repeated runs at least
+word). Doubling names, for every place, its first 1, 2, ... up to ``min_lines``
+lines: a round pairs the name of a place with that of the place as many lines
+further on. Names are hashes of what they name, so equal windows get equal names
+on every machine without a global numbering pass. There is no suffix array: no
+suffixes are sorted and no common prefix beyond ``min_lines`` is measured, as
+the union of the windows covers the same lines. Places whose name nobody else
+has are discarded before each round; most go in the first.
+
+At ``min_lines`` the shared names hold exactly the starts of repeated runs at least
 that long. The member with the smallest (doc_id, line) is the original; all
 others are later copies, and the lines that their overlapping starts cover, the
 maximal repeated runs, are deleted. Where ``min_words`` is given, shorter runs of
@@ -41,7 +41,7 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """
     lines = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike(_WORD.pattern))
     count = lambda x: F.size(F.filter(F.split(F.regexp_replace(x, r"[\x09-\x0D]", " "), " "), lambda y: y != ""))
-    name = lambda x: [F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), *([count(x).alias("w")] if words else [])]
+    name = lambda x: [F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), *([count(x).alias("w")] if words else [])]
     names = F.transform(lines, lambda x: F.struct(*name(x)))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), names.alias("names"))
     rows = own.select("doc_id", F.size("names").alias("n"), F.posexplode("names").alias("pos", "name"))

@@ -87,3 +87,9 @@ def test_the_pipeline_deletes_a_long_passage_of_one_or_two_lines(spark):
     rows = [(1, one + "\nmine"), (2, "here\n" + one), (3, two), (4, two + "\nthere"), (5, "short one\nfive"), (6, "short one\nsix")]
     got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(tuple(r) for r in got) == [rows[0], (2, "here"), rows[2], (4, "there"), *rows[4:]]
+
+
+def test_the_halves_of_a_line_name_do_not_follow_from_each_other(spark):
+    df = spark.createDataFrame([(1, "one line\nanother"), (2, "third")], "doc_id long, text string")
+    rows = lines.suffixes(df).selectExpr("b", "xxhash64('one line') = a AS one", "xxhash64('one line', 1) AS chained").filter("one").collect()
+    assert len(rows) == 1 and rows[0].b != rows[0].chained
