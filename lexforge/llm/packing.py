@@ -12,19 +12,23 @@ offset; ranks are given to pieces without gathering a length anywhere.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import _kernel, _shared
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
-#: Words whose ids a Python worker remembers at once.
+#: Words, and parts of words, whose ids a generation of a Python worker's memory holds.
 CACHE_WORDS = 1 << 19
+# The vocabulary's pattern, for lower-cased ASCII.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -37,38 +41,84 @@ def _tokenizer(path: str) -> tuple:
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True
-        _TOKENIZERS[path] = made, {}
+        _TOKENIZERS[path] = made, _Generations(), _Generations()
     return _TOKENIZERS[path]
 
 
-def _learn(words: list[str], tokenizer, known: dict[str, bytes]) -> None:
-    """Encode words as one text; the tokens' places in it say whose they are."""
-    code = tokenizer.encode(" ".join(words), add_special_tokens=False)
-    begins = np.zeros(len(words), dtype=np.int64)
-    np.cumsum([len(w) + 1 for w in words[:-1]], out=begins[1:])
+class _Generations(dict):
+    """Remembered ids in two generations: what is asked for again outlives the next clearing, so frequent words stay."""
+
+    def __init__(self) -> None:
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.older[key]
+        return found
+
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        older = self.older
+        return [k for k in keys if k not in self and k not in older]
+
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
+def _parts(word: str) -> list[str]:
+    """Pieces of a word that the pre-tokenizer separates anyway, so their ids follow one another.
+
+    ASCII words are cut as the vocabulary's pattern cuts them, and folded as it folds
+    them; of others only stops at the end are cut off.
+    """
+    if word.isascii() and word.isprintable():
+        return _PIECES.findall(word.lower())
+    core = word.rstrip(".,;:!?")
+    return [core, word[len(core) :]] if core != word and core.lower().isalpha() else [word]
+
+
+def _learn(parts: list[str], tokenizer, known: dict[str, bytes]) -> None:
+    """Encode parts as one text; the tokens' places in it say whose they are."""
+    code = tokenizer.encode(" ".join(parts), add_special_tokens=False)
+    begins = np.zeros(len(parts), dtype=np.int64)
+    np.cumsum([len(w) + 1 for w in parts[:-1]], out=begins[1:])
     places = np.fromiter((a for a, _ in code.offsets), dtype=np.int64, count=len(code.ids))
-    cuts = (4 * np.searchsorted(places, np.r_[begins, begins[-1] + len(words[-1]) + 1])).tolist()
+    cuts = (4 * np.searchsorted(places, np.r_[begins, begins[-1] + len(parts[-1]) + 1])).tolist()
     data = np.asarray(code.ids, dtype="<u4").tobytes()
-    for word, a, b in zip(words, cuts, cuts[1:]):
-        known[word] = data[a:b]
+    known.update(zip(parts, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
 
-def word_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Token ids of each text as little-endian 32-bit words.
+def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """Token ids of each text (none null) as little-endian 32-bit words.
 
-    This vocabulary's pre-tokenizer ends every token at a space or newline, so
-    texts are cut there and the ids of each distinct word are computed once.
+    This vocabulary's pre-tokenizer ends every token at a space or newline, and
+    between letters, digits and other signs, so the ids of each distinct word
+    are put together once from those of its distinct parts; the texts' ids are
+    then gathered by word numbers.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    if len(known) + len(fresh) > CACHE_WORDS:
-        known.clear()
-        fresh = list({w for words in split for w in words})
-    for at in range(0, len(fresh), 2048):
-        _learn(fresh[at : at + 2048], tokenizer, known)
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
+    tokenizer, words_known, parts_known = _tokenizer(path)
+    words_known.turn()
+    parts_known.turn()
+    split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    fresh = words_known.unknown(words)
+    cut = list(map(_parts, fresh))
+    new = parts_known.unknown(set().union(*cut))
+    for at in range(0, len(new), 512):
+        _learn(new[at : at + 512], tokenizer, parts_known)
+    words_known.update((w, parts_known[p[0]] if len(p) == 1 else b"".join(map(parts_known.__getitem__, p))) for w, p in zip(fresh, cut))
+    ids = list(map(words_known.__getitem__, words))
+    table = np.frombuffer(b"".join(ids), dtype="<u4")
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    n = sizes[code]
+    ends = np.r_[0, np.cumsum(n)]
+    begins = (np.cumsum(sizes) - sizes)[code] - ends[:-1]
+    out = table[np.repeat(begins, n) + np.arange(ends[-1])].tobytes()
+    rows = np.r_[0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]
+    cuts = (4 * ends[rows]).tolist()
+    yield from map(out.__getitem__, map(slice, cuts[:-1], cuts[1:]))
 
 
 def _cutter(path: str, capacity: int, end_id: int):
@@ -82,7 +132,7 @@ def _cutter(path: str, capacity: int, end_id: int):
         for whole in batches:
             for batch in _kernel.text_slices(whole, "text", 2 << 20):
                 rows = []
-                texts = batch.column("text").cast(pa.large_string()).fill_null("").to_pylist()
+                texts = batch.column("text").fill_null("")
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids(texts, path)):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
