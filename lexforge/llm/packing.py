@@ -3,10 +3,10 @@
 Only the histogram of piece lengths reaches the driver, at most ``capacity``
 counts whatever the corpus. There a covering program over configurations
 (multisets of lengths that fit one sequence) is solved by multiplicative weights:
-each round a knapsack dynamic program prices the best configuration under the
-current weights, and weights of lengths that it covers shrink. The fractional
-solution is rounded down; what is left is packed best-fit decreasing, again on
-the histogram. The plan says which ranks of each length go to which sequence and
+each round a knapsack dynamic program prices configurations under the current
+weights, and weights of lengths that they cover shrink. The fractional uses are
+rounded and what rounding leaves is solved again; best fit places the last
+percent. The plan says which ranks of each length go to which sequence and
 offset; ranks are given to pieces without gathering a length anywhere.
 """
 
@@ -156,66 +156,100 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
 # --- the configuration program --------------------------------------------
 
 
-def price(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """How often to take each length for the most value in one sequence, at most ``counts`` times (knapsack, dynamic programme)."""
-    items = []
-    for i in np.flatnonzero((values > 0) & (counts > 0)).tolist():
-        most, k = int(min(counts[i], capacity // lengths[i])), 1
-        while most > 0:  # binary splitting of the multiplicity
-            take = min(k, most)
-            items.append((i, take, int(lengths[i]) * take, float(values[i]) * take))
-            most -= take
-            k *= 2
-    best = np.zeros(capacity + 1)
-    took = np.zeros((len(items), capacity + 1), dtype=bool)
-    for j, (_, _, size, value) in enumerate(items):
-        other = best[:-size] + value if size else best + value
-        better = other > best[size:]
-        took[j, size:] = better
-        best[size:][better] = other[better]
-    config = np.zeros(len(lengths), dtype=np.int64)
-    room = capacity
-    for j in reversed(range(len(items))):
-        i, take, size, _ = items[j]
-        if took[j, room]:
-            config[i] += take
-            room -= size
-    return config
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eta: float = 0.5, share: int = 12) -> tuple[list[np.ndarray], np.ndarray]:
-    """Configurations and their fractional multiplicities, by multiplicative weights.
-
-    A round prices the best configuration under the weights and uses it for one
-    ``share``-th of the sequences that the uncovered tokens need; a length is
-    taken at most as often as it then lasts, which keeps the width of the program
-    at one. Weights fall with the share of a length that is covered. A
-    configuration that wastes over 1 % is tried again for half as many sequences.
+class Prices:
+    """A knapsack dynamic programme over the current prices: the best filling of every room up to ``capacity``."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int):
+        #: (length's place, times) of the items; a multiplicity is split in powers of two.
+        self.items: list[tuple[int, int]] = []
+        for i in np.flatnonzero((values > 0) & (most > 0)).tolist():
+            left, k = int(min(most[i], capacity // lengths[i])), 1
+            while left > 0:
+                self.items.append((i, min(k, left)))
+                left -= k
+                k *= 2
+        self.lengths, self.values = lengths, values
+        self.best = best = np.zeros(capacity + 1)
+        took = np.zeros((len(self.items) + 1, capacity + 1), dtype=bool)
+        for j, (i, times) in enumerate(self.items):
+            size = int(lengths[i]) * times
+            other = best[: capacity + 1 - size] + values[i] * times
+            np.greater(other, best[size:], out=took[j + 1, size:])
+            np.maximum(other, best[size:], out=best[size:])
+        #: For each room and item, the last item up to it that its best filling takes; 0 for none.
+        steps = np.arange(len(self.items) + 1, dtype=np.int16 if len(self.items) < 1 << 15 else np.int32)[:, None]
+        self.last = took * steps
+        np.maximum.accumulate(self.last, axis=0, out=self.last)
+
+    def fill(self, room: int) -> dict[int, int]:
+        """The best filling of a room as {length's place: times}."""
+        found: dict[int, int] = {}
+        j = len(self.items)
+        while j and (j := int(self.last[j, room])):
+            i, times = self.items[j - 1]
+            found[i] = found.get(i, 0) + times
+            room -= int(self.lengths[i]) * times
+            j -= 1
+        return found
+
+
+Config = tuple[tuple[int, int], ...]
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eta: float = 0.04, share: float = 0.5, slack: float = 0.002) -> dict[Config, float]:
+    """Configurations ((length's place, times), ...) and their fractional uses, by multiplicative weights.
+
+    The covering program asks for the least total use under which every length is
+    covered as often as it occurs. A round prices fillings under the current
+    weights; for each length it takes the best configuration that holds it, and
+    those within ``slack`` of the best of all are used, each for a ``share`` of what
+    its scarcest length still lacks. A length's weight falls with the part of
+    it that has been covered, so configurations turn to what is left. The sum of
+    the steps is the average of the rounds' answers, scaled to cover.
     """
-    # Weights start so that a single item is worth its length.
-    weights = np.ones(len(lengths))
     rest = counts.astype(np.float64)
-    found: dict[bytes, int] = {}
-    configs: list[np.ndarray] = []
-    uses: list[float] = []
-    slower = 1
+    weights = np.ones(len(lengths))
+    uses: dict[Config, float] = {}
     for _ in range(rounds):
-        step = float(rest @ lengths) / capacity / share / slower
-        if step < 1:
+        lacking = rest > 0.02 * counts
+        if not lacking.any():
             break
-        config = price(weights * lengths, lengths, np.floor(rest / step), capacity)
-        if config @ lengths < 0.99 * capacity:
-            slower *= 2
-            continue
-        key = config.tobytes()
-        if key not in found:
-            found[key] = len(configs)
-            configs.append(config)
-            uses.append(0.0)
-        uses[found[key]] += step
-        rest = np.maximum(rest - step * config, 0)
-        weights *= np.exp(-eta * step * config / counts)
-    return configs, np.array(uses)
+        values = weights * lengths
+        prices = Prices(np.where(lacking, values, 0.0), lengths, counts, capacity)
+        columns = []
+        for i in np.flatnonzero(lacking)[::-1].tolist():
+            held = prices.fill(capacity - int(lengths[i]))
+            held[i] = min(held.get(i, 0) + 1, int(counts[i]))
+            columns.append((sum(k * values[j] for j, k in held.items()), held))
+        least = (1 - slack) * max(value for value, _ in columns)
+        before = rest.copy()
+        for value, held in columns:
+            step = share * min(rest[j] / k for j, k in held.items()) if value >= least else 0.0
+            if step > 0:
+                config = tuple(sorted(held.items()))
+                uses[config] = uses.get(config, 0.0) + step
+                for j, k in config:
+                    rest[j] = max(0.0, rest[j] - k * step)
+        weights *= np.exp(-eta * (before - rest) / counts)
+    return uses
+
+
+def rounded(uses: dict[Config, float], rest: np.ndarray) -> list[tuple[int, Config]]:
+    """Whole uses of the configurations, taken off ``rest``: first the whole parts, then one more by the largest remainders while pieces last."""
+    taken: dict[Config, int] = {}
+
+    def take(config: Config, wanted: int) -> None:
+        n = min(wanted, *(int(rest[j]) // k for j, k in config))
+        if n > 0:
+            taken[config] = taken.get(config, 0) + n
+            for j, k in config:
+                rest[j] -= n * k
+
+    for config, x in sorted(uses.items(), key=lambda u: -u[1]):
+        take(config, int(x))
+    for config, x in sorted(uses.items(), key=lambda u: -(u[1] % 1)):
+        take(config, 1)
+    return [(n, config) for config, n in taken.items()]
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -249,8 +283,32 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[in
     return kinds
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 100) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Rows (sequences, [(length, times)]) that hold every piece exactly once."""
+def program(counts: np.ndarray, capacity: int, rounds: int = 12, passes: int = 20, enough: float = 0.01) -> tuple[list[tuple[int, list[tuple[int, int]]]], np.ndarray]:
+    """Rows (sequences, [(length, times)]) from rounded configurations, and the counts that they leave over.
+
+    What rounding leaves is a program of the same kind, which is solved and
+    rounded again until less than ``enough`` of the tokens are left.
+    """
+    lengths = np.flatnonzero(counts)
+    rest = counts[lengths].copy()
+    out: list[tuple[int, list[tuple[int, int]]]] = []
+    for _ in range(passes):
+        some = np.flatnonzero(rest)
+        if int(rest @ lengths) <= enough * int(counts[lengths] @ lengths) or not len(some):
+            break
+        left = rest[some]
+        made = rounded(solve(lengths[some], left, capacity, rounds), left)
+        rest[some] = left
+        out += [(n, [(int(lengths[some[j]]), k) for j, k in config]) for n, config in made]
+        if not made:
+            break
+    over = np.zeros_like(counts)
+    over[lengths] = rest
+    return out, over
+
+
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 12) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Rows (sequences, [(length, times)]) that hold every piece exactly once: full pieces, the program's configurations, and best fit for its few leftovers."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] += n
@@ -258,21 +316,8 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 100) -> list[tu
     if counts[capacity]:
         out.append((int(counts[capacity]), [(capacity, 1)]))
         counts[capacity] = 0
-    lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return out
-    rest = counts.copy()
-    rounded = []
-    configs, uses = solve(lengths, counts[lengths], capacity, rounds)
-    for c in np.argsort(-uses, kind="stable").tolist():
-        config = configs[c]
-        most = int(np.min(rest[lengths][config > 0] // config[config > 0]))
-        n = min(int(uses[c]), most)
-        if n > 0:
-            rest[lengths] -= n * config
-            rounded.append((n, [(int(x), int(k)) for x, k in zip(lengths, config) if k]))
-    tries = [rounded + best_fit(rest, capacity), best_fit(counts, capacity)]
-    return out + min(tries, key=lambda t: sum(n for n, _ in t))
+    made, over = program(counts, capacity, rounds)
+    return out + made + best_fit(over, capacity)
 
 
 def place_table(rows: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
@@ -310,7 +355,7 @@ def _placer(table: dict[str, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rounds: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document ends with ``end_id``; null and empty texts are that id alone.
