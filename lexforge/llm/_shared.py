@@ -48,7 +48,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return back
 
 
-def drop(df: DataFrame) -> None:
+def drop(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote, once nothing lazy reads it any more."""
     if path := getattr(df, "shared_path", None):
         delete(df.sparkSession, path)

@@ -5,12 +5,17 @@ buckets, each named by ``ROWS`` minima of its shingles under random orders; two
 nodes of similarity s share no bucket with probability (1 - s^5)^32, three in a
 million at 0.8. What shares a bucket is compared by the exact sets.
 
-A bucket's members stand in a random order. Each round takes the next stretch
-of them, eight times as long as all before, as centres and compares each with
-all members behind it, but only across components found so far. After the last
-round every pair of a bucket has been compared or was already connected, so the
-components are exact, and a large group of near copies costs about its size:
-most of it is connected after the first centres.
+Before sets meet, their sizes say what can't be similar: a partner of similarity
+s shares s / (1 + s) of both sizes added up, and no node shares more shingles
+than it has in common with any other node of a bucket. Nodes and pairs that fall
+short of that are left out, which loses none.
+
+A bucket's members stand at random places between 0 and its size. Each round
+takes the next stretch of them, eight times as long as all before, as centres and
+compares each with all members behind it, but only across components found so
+far. After the last round every pair of a bucket has been compared, ruled out or
+was already connected, so the components are exact, and a large group of near
+copies costs about its size: most of it is connected after the first centres.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import _kernel, _shared
@@ -109,23 +114,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return joined.filter(both >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b")
 
 
+def _crowded(dealt: DataFrame) -> DataFrame:
+    """The rows of buckets ``k`` that hold two or more, with that ``size``."""
+    # A merge of plain exchanges, so adaptive execution can split a bucket that many rows are in.
+    shared = _shared.materialize(dealt.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1"), "crowds")
+    return dealt.join(shared.hint("merge"), "k")
+
+
+def _supported(sets: DataFrame, similarity: float) -> DataFrame:
+    """(c, n, held): the size of each set and how many of its shingles another set has too, where that is enough for a partner."""
+    alone = sets.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("c").alias("c"))
+    alone = alone.filter("sets = 1").groupBy("c").agg(F.count("*").alias("alone"))
+    counted = sets.select("c", F.size("shingles").alias("n")).join(alone.hint("merge"), "c", "left")
+    return counted.select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") >= F.lit(similarity) * F.col("n") - 1e-9)
+
+
 def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | None:
     """(a, b): each node with the smallest of its component, where that is another one; None if no bucket is shared.
 
     classes: (c, bands), one row per node; sets_of gives (c, shingles) for the nodes asked for.
     """
     dealt = _shared.materialize(classes.select("c", F.explode("bands").alias("k")), "buckets")
-    shared = dealt.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1").hint("merge")
-    order = Window.partitionBy("k").orderBy(F.xxhash64("k", "c"), "c")
-    members = _shared.materialize(dealt.join(shared, "k").withColumn("rank", F.row_number().over(order) - 1), "members")
+    met = _shared.materialize(_crowded(dealt), "crowded")
     _shared.drop(dealt)
+    sets = _shared.materialize(sets_of(met.select("c").distinct()), "sets")
+    facts = _shared.materialize(_supported(sets, similarity), "facts")
+    placed = _shared.materialize(met.select("k", "c").join(facts.hint("merge"), "c"), "placed")
+    _shared.drop(met)
+    unit = F.xxhash64("k", "c").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    members = _shared.materialize(_crowded(placed).withColumn("place", unit * F.col("size")), "members")
+    _shared.drop(placed)
     largest = members.agg(F.max("size")).first()[0]
     if largest is None:
         return None
-    sets = _shared.materialize(sets_of(members.select("c").distinct()), "sets")
+    overlap = F.lit(similarity / (1 + similarity))
     roots, begin, end = None, 0, CENTRES
     while begin < largest:
-        behind = members.filter(F.col("size") > begin + 1).select("k", "c", "size", "rank")
+        behind = members.filter(F.col("size") > begin)
         if roots is None:
             behind = behind.withColumn("root", F.col("c"))
         else:
@@ -134,15 +159,24 @@ def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | No
             # Buckets of one component have nothing left to compare.
             behind = _shared.materialize(behind, "behind")
             mixed = behind.groupBy("k").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("k").hint("merge")
-            behind = _shared.materialize(behind.join(mixed, "k", "left_semi"), "behind")
-        centres = behind.filter((F.col("rank") >= begin) & (F.col("rank") < end))
-        centres = centres.select("k", F.col("c").alias("centre"), F.col("rank").alias("at"), F.col("root").alias("of")).hint("merge")
-        met = behind.join(centres, "k").filter((F.col("rank") > F.col("at")) & (F.col("root") != F.col("of")))
-        pairs = met.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct()
+            rest = _shared.materialize(behind.join(mixed, "k", "left_semi"), "behind")
+            _shared.drop(behind)
+            behind = rest
+        centres = behind.filter((F.col("place") >= begin) & (F.col("place") < end))
+        centres = centres.select("k", *[F.col(c).alias(f"its_{c}") for c in ("c", "n", "held", "place", "root")]).hint("merge")
+        after = (F.col("place") > F.col("its_place")) | ((F.col("place") == F.col("its_place")) & (F.col("c") > F.col("its_c")))
+        can = F.least("held", "its_held") >= overlap * (F.col("n") + F.col("its_n")) - 1e-9
+        near = behind.join(centres, "k").filter(after & (F.col("root") != F.col("its_root")) & can)
+        pairs = near.select(F.least("c", "its_c").alias("a"), F.greatest("c", "its_c").alias("b")).distinct()
         links = _shared.materialize(_confirmed(pairs, sets, similarity), "links")
         if links.head(1):
             roots = connected_components(links if roots is None else links.unionByName(roots))
+        _shared.drop(links)
+        if begin:
+            _shared.drop(behind)
         begin, end = end, end * GROWTH
+    _shared.drop(members)
+    _shared.drop(sets)
     return roots
 
 
@@ -170,6 +204,8 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
         named = roots.select(F.col("a").alias("c"), F.col("b").alias("root")).hint("merge")
         lows = lows.join(named, "c", "left").groupBy(F.coalesce("root", "c").alias("c")).agg(F.min("low").alias("low"))
     kept = _shared.materialize(lows.select("low.*").select(*ROW_KEY), "survivors")
+    for done in (found, classes, roots):
+        _shared.drop(done)
     _shared.free_shuffles(docs.sparkSession)
     return kept
 
