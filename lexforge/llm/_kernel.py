@@ -11,9 +11,8 @@ import zstandard
 U64 = np.uint64
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
-#: Odd multipliers of the polynomial hashes; two, for 128 bits where equality must hold.
+#: Keys of the word hashes and odd multipliers of the window hashes; two, for 128 bits where equality must hold.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -63,32 +62,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        up, down = np.full(size, base, dtype=U64), np.full(size, pow(base, -1, 1 << 64), dtype=U64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 24:
-            _POWERS[base] = have
-    return have
-
-
-def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, step: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by differences of prefix sums over about ``step`` bytes at a time."""
-    out = np.empty(len(starts), dtype=U64)
-    at = 0
-    while at < len(starts):
-        begin = int(starts[at])
-        stop = max(at + 1, int(np.searchsorted(starts, begin + step)))
-        last = int(ends[stop - 1])
-        up, down = _powers(base, last - begin)
-        sums = np.zeros(last - begin + 1, dtype=U64)
-        np.cumsum((body[begin:last].astype(U64) + U64(1)) * up[: last - begin], out=sums[1:])
-        s, e = starts[at:stop] - begin, ends[at:stop] - begin
-        out[at:stop] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(0x9FB21C651E98DF25))
-        at = stop
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
+
+
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word's bytes under a key, eight bytes a round, each round through the finaliser.
+
+    A round is a bijection of its eight bytes, so words of up to eight bytes never
+    collide with others of their length; two keys give two independent halves.
+    """
+    sizes = ends - starts
+    padded = np.zeros(len(body) + 8, dtype=np.uint8)
+    padded[: len(body)] = body
+    eights = np.ndarray((len(body) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(sizes.astype(U64) * U64(0x9FB21C651E98DF25) + U64(seed))
+    at, live = starts, np.arange(len(starts))
+    left = sizes
+    while len(live):
+        eight = eights[at] & _TAIL[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ eight) * U64(seed | 1))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
     return out
 
 

@@ -290,7 +290,7 @@ def _gathered(rows: DataFrame, name: str) -> DataFrame:
 
 def _hits(own: DataFrame, window: int, buckets: int, width: int, spread: int) -> DataFrame:
     packed = own.mapInArrow(_prober(window, buckets, width), PACKED)
-    dealt = packed.repartition(spread, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartitionById(spread, F.col("bucket") % spread).sortWithinPartitions("bucket")
     return _shared.materialize(dealt.mapInArrow(_matcher(), ANSWER), "hits")
 
 
@@ -301,7 +301,7 @@ def _extend(own: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataF
 
 
 def _later(extended: DataFrame, spread: int) -> DataFrame:
-    dealt = extended.filter("kind = 3").select("bucket", "docs", "entries").repartition(spread, "bucket").sortWithinPartitions("bucket")
+    dealt = extended.filter("kind = 3").select("bucket", "docs", "entries").repartitionById(spread, F.col("bucket") % spread).sortWithinPartitions("bucket")
     known = extended.filter("kind = 2").select("doc_id", "n_words", "start")
     return _shared.materialize(dealt.mapInArrow(_earliest(), ANSWER).unionByName(known), "later")
 

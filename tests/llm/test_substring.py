@@ -41,7 +41,25 @@ def test_against_brute_force(spark):
     check(spark, rows, 20)
 
 
-def test_small_alphabet_and_batches(spark, monkeypatch):
+def test_many_buckets_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET_ENTRIES", 200)
+    monkeypatch.setattr(substring, "BATCH_BYTES", 2000)
+    rng = random.Random(9)
+    passages = [" ".join(f"q{k}w{j}" for j in range(30)) for k in range(4)]
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=30)) + " " + rng.choice(passages) + " tail" * (i % 3)) for i in range(80)]
+    rows += [(90, " ".join(f"n{k}" for k in range(30000)) + " " + passages[0]), (91, " ".join(f"n{k}" for k in range(15000, 30000)))]
+    check(spark, rows, 20)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{k}" for k in range(19))
+    check(spark, [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], 20)
+
+
+def test_small_alphabet(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choices("ab", k=rng.randint(1, 40)))) for i in range(60)]
     check(spark, rows, 4)
