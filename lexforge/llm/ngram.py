@@ -38,8 +38,8 @@ COUNTS = "bucket int, entries binary"
 SCORES = "kind int, bucket int, docs binary, entries binary"
 #: Kinds of packed rows: occurrences that ask a bucket, and sums that a bucket has finished.
 ASKED, FINISHED = 0, 1
-#: Documents whose sums meet in one task.
-DOCS_PER_TASK = 1 << 18
+#: Sums that meet in one task, at most one for each word of a document.
+SUMS_PER_TASK = 1 << 22
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +159,7 @@ def _summer(floor: int, keep_all: bool):
 def _counted(packed: DataFrame, spread: int, total: int, least: int, keep_all: bool, label: str) -> DataFrame:
     """Counts over all batches. What is listed by row has a 2^20th of all occurrences or more, so that is at most 2^20 rows."""
     floor = max(total >> 20, least)
-    dealt = packed.repartition(spread, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartitionById(spread, F.col("bucket") % spread).sortWithinPartitions("bucket")
     return _shared.materialize(dealt.mapInArrow(_summer(floor, keep_all), COUNTED), label)
 
 
@@ -332,15 +332,15 @@ def scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, id_col: str
     pairs, pair_counts = _heavy(pair_sums)
     _shared.drop(pair_sums)
     _shared.free_shuffles(spark)
-    model = Model(words, word_counts, pairs, pair_counts, n_docs, n_words, alpha, min_count, buckets, max(1, -(-n_docs // DOCS_PER_TASK) * 4))
+    model = Model(words, word_counts, pairs, pair_counts, n_docs, n_words, alpha, min_count, buckets, max(1, -(-min(n_words, n_docs * 3 * buckets) // SUMS_PER_TASK)))
 
     first = _pair_scores(own, model, spread)
     _shared.free_shuffles(spark)
     asked = first.filter(F.col("kind") == ASKED).select("bucket", "docs", "entries")
     table = counts.filter("entries IS NOT NULL").select("bucket", F.lit(None).cast("binary").alias("docs"), "entries")
-    last = table.unionByName(asked).repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_word_scorer(model), SCORES)
+    last = table.unionByName(asked).repartitionById(spread, F.col("bucket") % spread).sortWithinPartitions("bucket").mapInArrow(_word_scorer(model), SCORES)
     sums = first.filter(F.col("kind") == FINISHED).unionByName(last).select("bucket", "docs", "entries")
-    done = sums.repartition(model.tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_adder, "doc_id long, n_tokens long, score double")
+    done = sums.repartitionById(model.tasks, F.col("bucket") % model.tasks).sortWithinPartitions("bucket").mapInArrow(_adder, "doc_id long, n_tokens long, score double")
     every = own.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id")).distinct()
     total = every.join(done, "doc_id", "left").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return total
@@ -361,5 +361,5 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pair_scores(own: DataFrame, model: Model, spread: int) -> DataFrame:
     # Finished sums keep their own bucket number and ride along, so the texts are read once.
     made = own.mapInArrow(_occurrences(model), SCORES)
-    scored = made.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_scorer(model), SCORES)
+    scored = made.repartitionById(spread, F.col("bucket") % spread).sortWithinPartitions("bucket").mapInArrow(_pair_scorer(model), SCORES)
     return _shared.materialize(scored, "pair-scores")
