@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from lexforge.llm.chat import _TAIL
-from lexforge.llm.quality import BLOCKED_WORDS, RULES
+from lexforge.llm.quality import BLOCKED_WORDS
 
 _W = r"[^\x20\x09-\x0D]+"
 
-_RULE_SQL = " OR ".join(f"({cond})" for _, cond in RULES)
-
 QUALITY = rf"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -33,10 +30,14 @@ d AS (SELECT *, n_lines - n_distinct_lines AS n_dup_lines FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT ({_RULE_SQL}) AS kept
+       n_words >= 10 AND n_repeat_words <= n_words / 5.0 AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND n_symbols <= n_words / 10.0
+         AND (n_dup_lines <= 2 OR n_dup_lines <= 0.3 * n_lines) AND n_upper <= 0.3 * word_chars AND n_distinct_words >= sqrt(n_words) AND has_blocked = 0 AS kept
 FROM d
 """
 
+#: What follows the first character of the template's control strings.
+_TAIL = r"\|(?:turn|end|im_start|im_end|endoftext|system|user|assistant)\|>|\|(?:image|audio|document):[0-9]+\|>|/?s>|</?SYS>>|(?:start|end)_of_turn>|/?INST\]"
+
 CHAT = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -8,17 +8,21 @@ and never the texts. Everything here is DataFrame expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Insults whose presence fails the ``blocked_words`` rule.
+#: Abusive words whose presence fails the ``blocked_words`` rule, unless the caller brings a list of its own.
 BLOCKED_WORDS = (
-    "asshole", "bastard", "clown", "cretin", "disgusting", "dumbass", "filth", "idiot", "imbecile", "loser",
-    "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless",
+    "asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "dimwit", "dipshit", "disgusting", "douchebag", "dumbass", "dunce",
+    "fathead", "filth", "fool", "freak", "fuckface", "fucker", "halfwit", "hypocrite", "idiot", "idiotic", "ignoramus", "imbecile", "jackass",
+    "jerk", "loser", "lowlife", "maggot", "moron", "moronic", "nitwit", "numbskull", "parasite", "pathetic", "pig", "prick", "retard",
+    "savage", "scoundrel", "scum", "scumbag", "shithead", "simpleton", "sleazebag", "slob", "slut", "stupid", "subhuman", "swine",
+    "trash", "twat", "twit", "vermin", "wanker", "weasel", "whore", "worthless", "wretch",
 )
 
 
@@ -72,10 +76,10 @@ def _windows_repeat(words: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0).cast("long")).otherwise(let(hashes, by_hash))
 
 
-def measurements(text: Column) -> Column:
+def measurements(text: Column, blocked_words: Sequence[str] = BLOCKED_WORDS) -> Column:
     """A struct of what the rules look at; null text measures as empty."""
     text = F.coalesce(text, F.lit(""))
-    blocked = rf"(?i)(?:^|[^\p{{L}}])(?:{'|'.join(BLOCKED_WORDS)})(?:$|[^\p{{L}}])"
+    blocked = rf"(?i)(?:^|[^\p{{L}}])(?:{'|'.join(map(re.escape, blocked_words))})(?:$|[^\p{{L}}])"
 
     def left(pattern: str) -> Column:
         return F.char_length(F.regexp_replace(text, pattern, "")).cast("long")
@@ -100,7 +104,7 @@ def measurements(text: Column) -> Column:
         lines.alias("lines"),
         left(r"[^#*$%&|<>]+").alias("n_symbols"),
         left(r"[^\p{Lu}]+").alias("n_upper"),
-        text.rlike(blocked).cast("long").alias("has_blocked"),
+        (text.rlike(blocked) if blocked_words else F.lit(False)).cast("long").alias("has_blocked"),
     )
 
 
@@ -118,7 +122,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("symbols", "10 * n_symbols > n_words"),
     ("repeated_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     ("shouting", "10 * n_upper > 3 * word_chars"),
-    ("few_distinct_words", "20 * n_distinct_words < n_words AND n_words < 2000"),
+    ("few_distinct_words", "n_distinct_words * n_distinct_words < n_words"),
     ("blocked_words", "has_blocked > 0"),
 )
 BASE_MASK = 0b11
@@ -141,14 +145,14 @@ DEFAULT = Policy("default", 1, tuple(name for name, _ in RULES))
 BASE = Policy("base", 1, ("too_few_words", "repeated_windows"))
 
 
-def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), blocked_words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep``, the measurements and ``fail_bits``.
 
     Null, empty and blank texts have no words: they fail ``too_few_words`` and no
     rule divides by anything. Repeated rows stay as they are. Columns of ``docs``
     other than ``keep`` and the text are not read, so their names can't clash.
     """
-    measured = docs.select(*keep, measurements(F.col(text_col).cast("string")).alias("_m"))
+    measured = docs.select(*keep, measurements(F.col(text_col).cast("string"), blocked_words).alias("_m"))
     flat = measured.select(*keep, *[F.col(f"_m.{path}").alias(name) for name, path in MEASURES.items()])
     bits = sum((F.when(F.expr(cond), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, cond) in enumerate(RULES)), F.lit(0).cast("long"))
     return flat.withColumn("fail_bits", bits)
@@ -177,8 +181,12 @@ def ablation(ledger_df: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
 
 
-def filter_documents(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their own columns."""
+def filter_documents(docs: DataFrame, policy: Policy = DEFAULT, text_col: str = "text", blocked_words: Sequence[str] = BLOCKED_WORDS) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their own columns.
+
+    Decided row by row, so repeated ids and rows fare as their texts do; null and
+    empty texts go; very long texts are measured whole.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
-    return ledger(packed, "_text", ("_row",)).filter(verdict(policy)).select("_row.*")
+    return ledger(packed, "_text", ("_row",), blocked_words).filter(verdict(policy)).select("_row.*")

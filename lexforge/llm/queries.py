@@ -105,7 +105,8 @@ QUERIES["op1_decontaminate"] = op1_decontaminate
 
 def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram.scores(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_tokens", F.round("score", 4).alias("log_score"))
+    mean = F.round(F.col("score") / F.nullif("n_tokens", F.lit(0)), 6)
+    return found.select("doc_id", "n_tokens", F.round("score", 4).alias("log_score"), mean.alias("mean_log_score"))
 
 
 QUERIES["op9_ngram"] = op9_ngram
