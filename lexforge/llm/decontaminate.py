@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, then overlap.
 
-Test items are the indexed side, so the index has the size of the benchmark; it is
-built for blocks of items of bounded size, and each block is held against all
-documents. Every passage of every document is a query. Impacts are BM25 weights
+Test items are the indexed side, so the index has the size of the benchmark. Document
+frequencies and lengths are taken over all items at once; the index is then built
+for blocks of items of bounded size, and each block is held against all documents. Every passage of every document is a query. Impacts are BM25 weights
 divided by the item's score against itself, so one threshold serves all items
 and a passage is retrieved for an item if it reaches that share of a perfect match.
 
@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm import _kernel, near
+from lexforge.llm import _kernel, _shared, near
 
 K1, B = 1.2, 0.75
 #: Share of an item's self score from which a passage is retrieved.
 THRESHOLD = 0.6
-#: Words in a shingle and share of shingles that verify a question or an answer.
-SHINGLE, OVERLAP = 5, 0.8
+#: Share of the words of a question or an answer that must lie in runs which the passage holds too.
+OVERLAP = 0.7
 BLOCK = 16
 #: Bytes of item text in one index.
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 FOUND = "item_id long, score double, question_overlap double, answer_overlap double"
 SCHEMA = f"doc_id long, {FOUND}"
@@ -56,17 +56,31 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words_of(text), words_of(text)
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    if not words:
-        return set()
-    return set(zip(*(words[k:] for k in range(SHINGLE)))) or {tuple(words)}
+def run_length(words: int) -> int:
+    """Words in a run that counts as held: three, two in parts of under ten, so that one changed word costs little more than itself."""
+    return min(words, 3 if words >= 10 else 2)
 
 
 def overlap(part: list[bytes], passage: list[bytes]) -> float:
-    """Share of the part's shingles that the passage holds; a part under five words is one shingle of its own length."""
-    want = shingles(part)
-    size = min(SHINGLE, len(part))
-    return len(want & set(zip(*(passage[k:] for k in range(size))))) / len(want) if want else 0.0
+    """Share of the part's words that lie in a run which the passage holds."""
+    if not part:
+        return 0.0
+    size = run_length(len(part))
+    there = set(zip(*(passage[k:] for k in range(size))))
+    covered = bytearray(len(part))
+    for i, run in enumerate(zip(*(part[k:] for k in range(size)))):
+        if run in there:
+            covered[i : i + size] = b"\x01" * size
+    return sum(covered) / len(part)
+
+
+@dataclass
+class Statistics:
+    """What BM25 and the passages take from the whole benchmark: items with a word, their mean and greatest length."""
+
+    items: int
+    mean: float
+    longest: int
 
 
 @dataclass
@@ -84,27 +98,26 @@ class Index:
     light: np.ndarray | None = None
 
 
-def build_index(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index:
-    texts = [(i, t, words_of(t)) for i, t in items]
-    texts = [x for x in texts if x[2]]
-    index = Index([i for i, _, _ in texts], [question_and_answer(t) for _, t, _ in texts], max((len(w) for _, _, w in texts), default=0))
+def build_index(items: list[tuple[int, str, dict[bytes, int]]], statistics: Statistics, threshold: float = THRESHOLD) -> Index:
+    """The index of (id, text, document frequency of each of its words) under the statistics of all items."""
+    texts = [(i, t, words_of(t), df) for i, t, df in items]
+    index = Index([i for i, *_ in texts], [question_and_answer(t) for _, t, *_ in texts], statistics.longest)
     counts: list[dict[bytes, int]] = []
     df: dict[bytes, int] = {}
-    for _, _, words in texts:
+    for _, _, words, of_all in texts:
         tf: dict[bytes, int] = {}
         for w in words:
             tf[w] = tf.get(w, 0) + 1
         counts.append(tf)
-        for w in tf:
-            df[w] = df.get(w, 0) + 1
-    mean = sum(len(w) for _, _, w in texts) / max(1, len(texts))
+        df.update(of_all)
+    n, mean = statistics.items, statistics.mean
     per_term: dict[bytes, list[tuple[int, float]]] = {}
     heavy: list[tuple[int, int, float]] = []
     light = np.zeros(len(texts))
     index.vocabulary = {w: k for k, w in enumerate(df)}
-    for i, (_, _, words) in enumerate(texts):
+    for i, (_, _, words, _) in enumerate(texts):
         norm = K1 * (1 - B + B * len(words) / mean)
-        impact = {w: np.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in counts[i].items()}
+        impact = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in counts[i].items()}
         whole = sum(impact.values())
         for w, x in sorted(impact.items(), key=lambda p: p[1]):
             per_term.setdefault(w, []).append((i, x / whole))
@@ -227,16 +240,35 @@ def _searcher(index: Index, threshold: float, carried: list[str]):
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, i, text in zip(*(batch.column(c).to_pylist() for c in ("row", "item_id", "text"))):
+            words = words_of(text)
+            own = sorted(set(words))
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([len(words)] * n, pa.int64()), pa.array(own, pa.binary())], ["row", "length", "word"])
+
+
+def with_frequencies(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, Statistics]:
+    """(row, item_id, text, frequencies) of the items with a word, and the statistics, both over the whole benchmark."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    rows = _shared.materialize(rows.withColumn("row", F.monotonically_increasing_id()), "items")
+    terms = _shared.materialize(rows.mapInArrow(_words_of_items, "row long, length long, word binary"), "terms")
+    sizes = terms.groupBy("row").agg(F.first("length").alias("length")).agg(F.count("*"), F.avg("length"), F.max("length")).first()
+    often = _shared.materialize(terms.groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+    each = terms.join(often.hint("merge"), "word").groupBy("row").agg(F.collect_list(F.struct("word", "df")).alias("frequencies"))
+    return rows.join(each.hint("merge"), "row"), Statistics(sizes[0], sizes[1] or 1.0, sizes[2] or 0)
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str, dict[bytes, int]]]]:
     """Items in blocks of at most INDEX_BYTES of text (or one item), one block on the driver at a time."""
-    rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull())
     held, size = [], 0
-    for i, text in rows.toLocalIterator():
-        if held and size + len(text) > INDEX_BYTES:
+    for r in items.toLocalIterator():
+        if held and size + len(r.text) > INDEX_BYTES:
             yield held
             held, size = [], 0
-        held.append((i, text))
-        size += len(text)
+        held.append((r.item_id, r.text, {bytes(f.word): f.df for f in r.frequencies}))
+        size += len(r.text)
     if held:
         yield held
 
@@ -244,10 +276,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each item that a document holds, best passage.
 
-    Passages are twice as long as the block's longest item and half overlap, so a
-    copy of an item always lies whole inside one. Null and wordless texts, on
-    either side, match nothing; repeated rows are rows of their own; ids may be
-    null. Other columns are not read.
+    Passages are twice as long as the benchmark's longest item and half overlap, so
+    a copy of an item always lies whole inside one, in texts of any length. Scores
+    rest on all items, in however many blocks and whatever order they are searched.
+    Null and wordless texts, on either side, match nothing; repeated rows are rows
+    of their own, equal items are all found; ids may be null. Other columns are not read.
     """
     text = F.col(text_col).cast("string").alias("text")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
@@ -258,8 +291,9 @@ def _search(own: DataFrame, carried: list[str], benchmark: DataFrame, threshold:
     """A row for each item that a text of ``own`` holds, with the long columns ``carried`` of its row."""
     schema = ", ".join([*(f"{c} long" for c in carried), FOUND])
     found = None
-    for block in _blocks(benchmark, item_col, item_text_col):
-        index = build_index(block, threshold)
+    items, statistics = with_frequencies(benchmark, item_col, item_text_col)
+    for block in _blocks(items):
+        index = build_index(block, statistics, threshold)
         if index.ids:
             part = own.mapInArrow(_searcher(index, threshold, carried), schema)
             found = part if found is None else found.unionByName(part)
