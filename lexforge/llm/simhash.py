@@ -289,8 +289,12 @@ def near_duplicates(
     rooted = classes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written, so that adaptive execution can split a component that most fingerprints are in.
+    rooted = _shared.materialize(rooted, "rooted")
+    named = _shared.materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "named")
     of_print = _shared.materialize(rooted.join(named, "root").select("fp", "component_id"), "components")
+    for done in (classes, stars, rooted, named):
+        _shared.drop(done)
     _shared.free_shuffles(spark)
     return prints.join(of_print, "fp").select(
         "doc_id", "fp", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("is_kept")
