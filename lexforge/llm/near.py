@@ -5,10 +5,11 @@ buckets, each named by ``ROWS`` minima of its shingles under random orders; two
 nodes of similarity s share no bucket with probability (1 - s^5)^32, three in a
 million at 0.8. What shares a bucket is compared by the exact sets.
 
-Before sets meet, their sizes say what can't be similar: a partner of similarity
+Before sets meet, short facts say what can't be similar. A partner of similarity
 s shares s / (1 + s) of both sizes added up, and no node shares more shingles
-than it has in common with any other node of a bucket. Nodes and pairs that fall
-short of that are left out, which loses none.
+than it has in common with any other node of a bucket; and two sets differ in at
+least as many shingles as their parity sketches differ in bits, counted without
+carry by exclusive or. Nodes and pairs that fall short are left out, which loses none.
 
 A bucket's members stand at random places between 0 and its size. Each round
 takes the next stretch of them, eight times as long as all before, as centres and
@@ -38,6 +39,8 @@ SEED = 42
 #: Centres of the first round, and the growth of the stretch by rounds.
 CENTRES, GROWTH = 1, 8
 ROW_KEY = ["doc_id", "t1", "t2"]
+#: Words of the parity sketch, a power of two.
+SKETCH = [f"p{k}" for k in range(8)]
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list:
@@ -80,29 +83,45 @@ def band_keys(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    body, rows = _kernel.text_bytes(batch.column("text"))
+    body = body + ((body >= 65) & (body <= 90)).astype(np.uint8) * np.uint8(32)
+    starts, ends, first = _kernel.word_bounds(body, rows)
+    return distinct_shingles(*shingle_hashes(body, starts, ends, first, shingle))
+
+
 def _printer(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _kernel.text_slices(whole, "text", 2 << 20):
-                body, rows = _kernel.text_bytes(batch.column("text"))
-                body = body + ((body >= 65) & (body <= 90)).astype(np.uint8) * np.uint8(32)
-                starts, ends, first = _kernel.word_bounds(body, rows)
-                sets, counts = distinct_shingles(*shingle_hashes(body, starts, ends, first, shingle))
+                sets, counts = _sets(batch, shingle)
                 bounds = np.r_[0, np.cumsum(counts)]
                 names = np.fromiter((xxhash.xxh3_64_intdigest(sets[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:])), dtype=U64, count=len(counts))
                 full = np.flatnonzero(counts)
                 keys = band_keys(sets, counts[full]).view(np.int64).reshape(-1) if len(full) else np.zeros(0, dtype=np.int64)
-                columns = [*(batch.column(c) for c in ROW_KEY), pa.array(names.view(np.int64))]
-                columns += [_kernel.lists(keys, np.where(counts > 0, BANDS, 0), pa.int64()), _kernel.lists(sets.view(np.int64), counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*ROW_KEY, "c", "bands", "shingles"])
+                columns = [*(batch.column(c) for c in ROW_KEY), pa.array(names.view(np.int64)), _kernel.lists(keys, np.where(counts > 0, BANDS, 0), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*ROW_KEY, "c", "bands"])
 
     return run
 
 
+def _teller(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _kernel.text_slices(whole, "text", 2 << 20):
+                sets, counts = _sets(batch, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column("c"), _kernel.lists(sets.view(np.int64), counts, pa.int64())], ["c", "shingles"])
+
+    return run
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+
+
 def prints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row key, the name ``c`` of the set of shingles, its buckets and the set; a wordless text has the empty set and no bucket."""
-    own = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_printer(shingle), "doc_id long, t1 long, t2 long, c long, bands array<long>, shingles array<long>")
+    """The row key, the name ``c`` of the set of shingles and its buckets; a wordless text has the empty set and no bucket."""
+    return _keyed(docs, id_col, text_col).mapInArrow(_printer(shingle), "doc_id long, t1 long, t2 long, c long, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -122,11 +141,15 @@ def _crowded(dealt: DataFrame) -> DataFrame:
 
 
 def _supported(sets: DataFrame, similarity: float) -> DataFrame:
-    """(c, n, held): the size of each set and how many of its shingles another set has too, where that is enough for a partner."""
-    alone = sets.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("c").alias("c"))
+    """(c, n, held, sketch): the size of each set, how many of its shingles another set has too, where that is enough for a partner, and its parity sketch."""
+    each = sets.select("c", F.explode("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count("*").alias("sets"), F.min("c").alias("c"))
     alone = alone.filter("sets = 1").groupBy("c").agg(F.count("*").alias("alone"))
-    counted = sets.select("c", F.size("shingles").alias("n")).join(alone.hint("merge"), "c", "left")
-    return counted.select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") >= F.lit(similarity) * F.col("n") - 1e-9)
+    word = F.call_function("shiftright", F.col("s"), F.lit(6)).bitwiseAND(F.lit(len(SKETCH) - 1).cast("long"))
+    spot = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    sketch = [F.bit_xor(F.when(word == k, spot).otherwise(F.lit(0).cast("long"))).alias(c) for k, c in enumerate(SKETCH)]
+    counted = each.groupBy("c").agg(F.count("*").alias("n"), *sketch).join(alone.hint("merge"), "c", "left")
+    return counted.select("c", "n", *SKETCH, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") >= F.lit(similarity) * F.col("n") - 1e-9)
 
 
 def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | None:
@@ -163,9 +186,11 @@ def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | No
             _shared.drop(behind)
             behind = rest
         centres = behind.filter((F.col("place") >= begin) & (F.col("place") < end))
-        centres = centres.select("k", *[F.col(c).alias(f"its_{c}") for c in ("c", "n", "held", "place", "root")]).hint("merge")
+        centres = centres.select("k", *[F.col(c).alias(f"its_{c}") for c in ("c", "n", "held", "place", "root", *SKETCH)]).hint("merge")
         after = (F.col("place") > F.col("its_place")) | ((F.col("place") == F.col("its_place")) & (F.col("c") > F.col("its_c")))
-        can = F.least("held", "its_held") >= overlap * (F.col("n") + F.col("its_n")) - 1e-9
+        both = F.col("n") + F.col("its_n")
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"its_{c}"))) for c in SKETCH), F.lit(0))
+        can = (F.least("held", "its_held") >= overlap * both - 1e-9) & (apart <= (1 - 2 * overlap) * both + 1e-9)
         near = behind.join(centres, "k").filter(after & (F.col("root") != F.col("its_root")) & can)
         pairs = near.select(F.least("c", "its_c").alias("a"), F.greatest("c", "its_c").alias("b")).distinct()
         links = _shared.materialize(_confirmed(pairs, sets, similarity), "links")
@@ -193,10 +218,12 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     classes = _shared.materialize(found.groupBy("c").agg(low, F.first("bands").alias("bands")), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        # One row of each node holds its set; rows that share even the key are equal.
+        # One row of each node tells its set again from its text; rows that share even the key are equal.
         heads = classes.join(nodes.hint("merge"), "c", "left_semi").select("c", *[F.col(f"low.{c}").alias(f"_{c}") for c in ROW_KEY]).hint("merge")
+        own = _keyed(docs, id_col, text_col)
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ROW_KEY]
-        return found.drop("c", "bands").join(heads, same[0] & same[1] & same[2]).groupBy("c").agg(F.first("shingles").alias("shingles"))
+        told = own.join(heads, same[0] & same[1] & same[2]).dropDuplicates(["c"])
+        return told.select("c", "text").mapInArrow(_teller(shingle), "c long, shingles array<long>")
 
     roots = components(classes.select("c", "bands"), sets_of, similarity)
     lows = classes.select("c", "low")
