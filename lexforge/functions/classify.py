@@ -54,7 +54,7 @@ def first_sentence(prompt: Column) -> Column:
 def category(prompt: Column, strict: bool = True) -> Column:
     """The category of a prompt; of an unknown template an error, or null where not strict."""
     found = map_lookup(first_sentence(prompt), CATEGORY_OF_SENTENCE)
-    return F.coalesce(found, F.raise_error(F.concat(F.lit("Unrecognized prompt template: "), first_sentence(prompt)))) if strict else found
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no category for a prompt that begins: "), first_sentence(prompt)))) if strict else found
 
 
 def question_type(name: Column) -> Column:
@@ -86,7 +86,10 @@ def source_key(source: Column) -> Column:
         return F.when(at > 0, F.coalesce(F.nullif(F.array_join(named, "/"), F.lit("")), F.lit(marker)))
 
     whole = F.when(source.contains("#"), F.substr(source, F.instr(source, "#") + 1)).otherwise(F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown")))
-    return let(F.split(F.regexp_replace(source, r"\\", "/"), "[#/]"), lambda parts: F.coalesce(*[after(parts, m) for m in SOURCE_MARKERS], whole))
+    # Only what stands before the first # is a path; every fragment after it is one part.
+    pieces = F.split(F.regexp_replace(source, r"\\", "/"), "#")
+    parts = let(pieces, lambda x: F.concat(F.split(F.get(x, F.lit(0)), "/"), F.slice(x, F.lit(2), F.size(x))))
+    return let(parts, lambda parts: F.coalesce(*[after(parts, m) for m in SOURCE_MARKERS], whole))
 
 
 def template_pass(text: Column) -> Column:

@@ -26,11 +26,11 @@ def _hash(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
 
 
-def ranked(rows: DataFrame, strata: list[str], id_col: str, seed: int, ranges: int = 16) -> DataFrame:
+def ranked(rows: DataFrame, strata: list[str], id_col: str, seed: int, ranges: int = 4096) -> DataFrame:
     """rows with ``n`` (rows of the stratum) and ``rank`` from 1 by the seeded hash.
 
     Hash ranges share a stratum out: a row's rank is its rank in the range plus the
-    rows of the ranges before, so the largest sort is a ``ranges``-th of a stratum.
+    rows of the ranges before, so the largest sort is about a ``ranges``-th of a stratum.
     """
     keyed = rows.withColumn("_h", _hash(F.col(id_col), seed)).withColumn("_r", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int"))
     counts = keyed.groupBy(*strata, "_r").agg(F.count("*").alias("_c"))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import classify, render, scoring
 from lexforge.operators import checks, reports, splits, traces
-from lexforge.plans import solving
+from lexforge.plans import runs, solving
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(solving.QUERIES)
-ORACLES: dict[str, str] = dict(solving.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = solving.QUERIES | runs.QUERIES
+ORACLES: dict[str, str] = solving.ORACLES | runs.ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,12 @@ PREDICTIONS = r"""
 SELECT conv_id, turn, role, CASE conv_id % 4 WHEN 0 THEN 'Gravity' WHEN 1 THEN 'Text Cipher' WHEN 2 THEN 'Bit Manipulation' ELSE 'Numeral System' END AS category,
        CASE turn % 6
          WHEN 0 THEN concat('First \boxed{', conv_id, '} then \boxed{ ', conv_id * 10 + turn, '} end')
-         WHEN 1 THEN concat(substr(text, 1, 40), ' Final answer: ', conv_id * 10 + turn)
+         WHEN 1 THEN concat(text, ' Final answer: ', conv_id * 10 + turn)
          WHEN 2 THEN concat('so x is ', conv_id * 10 + turn, ' or ', (conv_id * 10 + turn) * 1.001)
-         WHEN 3 THEN concat('\boxed{', substr(text, 1, 5), '}}\boxed{}')
-         WHEN 4 THEN concat('  ', upper(substr(text, 1, 9)), '  ')
+         WHEN 3 THEN concat('\boxed{', text, '}}\boxed{}')
+         WHEN 4 THEN concat('  ', upper(text), '  ')
          ELSE concat('<think>because</think>', chr(10), '\boxed{', conv_id * 10 + turn + (conv_id % 3), '}') END AS raw_prediction,
-       CASE turn % 6 WHEN 3 THEN substr(text, 1, 5) WHEN 4 THEN lower(substr(text, 1, 9)) ELSE cast(conv_id * 10 + turn AS VARCHAR(20)) END AS answer
+       CASE turn % 6 WHEN 3 THEN text WHEN 4 THEN lower(text) ELSE cast(conv_id * 10 + turn AS VARCHAR(20)) END AS answer
 FROM conversations WHERE role = 'assistant'
 """
 
@@ -182,11 +182,11 @@ def safe_label(spark, sf_dir):
 
 
 _PATHS = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'a/work_on/ba_dc_addition/len' || lang || '/x.txt' WHEN 1 THEN 'a#b/' || source WHEN 2 THEN 'synthetic' || chr(92) || 'modular/x.y'
-  WHEN 3 THEN '' WHEN 4 THEN 'symbol_transform/' || source WHEN 5 THEN 'z/synthetic/direct_template/' || lang WHEN 6 THEN 'x/synthetic/work_on/low_confidence/q' ELSE source END AS source FROM documents"""
+  WHEN 3 THEN '' WHEN 4 THEN 'symbol_transform/' || source WHEN 5 THEN 'z/synthetic/direct_template/' || lang WHEN 6 THEN 'x/synthetic/work_on/low_confidence/q' ELSE CASE doc_id % 3 WHEN 0 THEN 'x/work_on#a/b.txt' WHEN 1 THEN 'x#a/synthetic/y' ELSE source END END AS source FROM documents"""
 
 
 @query(f"""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'ba_dc_addition/len' || lang WHEN 1 THEN 'b/' || source WHEN 2 THEN 'modular' WHEN 3 THEN 'unknown' WHEN 4 THEN source
-  WHEN 5 THEN 'direct_template/' || lang WHEN 6 THEN 'low_confidence/q' ELSE source END AS source_key FROM documents""")
+  WHEN 5 THEN 'direct_template/' || lang WHEN 6 THEN 'low_confidence/q' ELSE CASE doc_id % 3 WHEN 0 THEN 'work_on' WHEN 1 THEN 'a/synthetic/y' ELSE source END END AS source_key FROM documents""")
 def source_key(spark, sf_dir):
     rows = spark.sql(_PATHS.replace("chr(92)", "char(92)").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
     return rows.select("doc_id", classify.source_key(F.col("source")).alias("source_key"))
@@ -194,7 +194,7 @@ def source_key(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'ba_dc_addition_len' || lang WHEN 1 THEN 'b_' || source WHEN 2 THEN 'modular' WHEN 3 THEN 'unknown' WHEN 4 THEN source
   WHEN 5 THEN CASE doc_id % 3 WHEN 0 THEN 'direct_template_template0134' WHEN 1 THEN 'direct_template_unknown' ELSE 'direct_template_template3401' END
-  WHEN 6 THEN 'low_confidence_q' ELSE source END AS subtype FROM documents""")
+  WHEN 6 THEN 'low_confidence_q' ELSE CASE doc_id % 3 WHEN 0 THEN 'work_on' WHEN 1 THEN 'a_synthetic_y' ELSE source END END AS subtype FROM documents""")
 def classify_subtype(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = spark.sql(_PATHS.replace("chr(92)", "char(92)").replace("FROM documents", "FROM {documents}"), documents=docs)

@@ -24,7 +24,7 @@ GATES = (
 )
 CONSTANT_PRIOR = 0.3
 SYMMETRIC = ("AND", "OR", "XOR", "XNOR", "NAND", "NOR")
-#: Examples of a puzzle; they and the query share a long.
+#: Examples of a chunk; they and the query share a long.
 MOST_EXAMPLES = 62
 
 
@@ -53,17 +53,27 @@ def _column(examples: Column, side: str, bit: int) -> Column:
 
 
 def packed(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, n, in: 8 longs with the query on top, out: 8 longs) of puzzles (id, examples, query)."""
-    n = F.size("examples")
-    fits = F.when(n <= MOST_EXAMPLES, n).otherwise(F.raise_error(F.lit(f"a puzzle has over {MOST_EXAMPLES} examples")))
+    """(id, chunk, chunks, n, in0..in7 with the query on top, out0..out7) of puzzles (id, examples, query).
+
+    A chunk holds up to MOST_EXAMPLES examples; nearly every puzzle has one.
+    """
+    cut = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((F.size("examples") - 1) / MOST_EXAMPLES), F.lit(0)).cast("int")),
+        lambda c: F.slice("examples", c * MOST_EXAMPLES + 1, F.lit(MOST_EXAMPLES)),
+    )
+    own = puzzles.select(F.col(id_col).alias("id"), "query", F.size(cut).alias("chunks"), F.posexplode(cut).alias("chunk", "some"))
+    n = F.size("some")
     top = [F.when(F.substring("query", i + 1, 1) == "1", F.call_function("shiftleft", F.lit(1).cast("long"), n)).otherwise(F.lit(0).cast("long")) for i in range(8)]
-    ins = F.array(*[_column(F.col("examples"), "x", i).bitwiseOR(top[i]) for i in range(8)])
-    outs = F.array(*[_column(F.col("examples"), "y", i) for i in range(8)])
-    return puzzles.select(F.col(id_col).alias("id"), fits.alias("n"), ins.alias("ins"), outs.alias("outs"))
+    ins = [_column(F.col("some"), "x", i).bitwiseOR(top[i]).alias(f"in{i}") for i in range(8)]
+    outs = [_column(F.col("some"), "y", i).alias(f"out{i}") for i in range(8)]
+    return own.select("id", "chunk", "chunks", n.alias("n"), *ins, *outs)
 
 
 def _value() -> Column:
-    a, b, c, d = (F.get("ins", F.col(f"i{k}")) for k in range(4))
+    def bit(k: int) -> Column:
+        return F.coalesce(*[F.when(F.col(f"i{k}") == i, F.col(f"in{i}")) for i in range(8)])
+
+    a, b, c, d = map(bit, range(4))
     both, either, odd = a.bitwiseAND(b), a.bitwiseOR(b), a.bitwiseXOR(b)
     forms = {
         "C0": F.lit(0).cast("long"), "C1": F.lit(-1).cast("long"), "ID": a, "NOT": F.bitwise_not(a),
@@ -89,17 +99,30 @@ def candidates(puzzles: DataFrame, max_arity: int = 4, id_col: str = "id", inclu
     spark = puzzles.sparkSession
     met = packed(puzzles, id_col).crossJoin(F.broadcast(rules(spark, max_arity))).withColumn("v", _value())
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
-    hits = F.filter(F.transform("outs", lambda o, b: F.when(F.col("v").bitwiseAND(mask) == o, b)), lambda b: b.isNotNull())
+    met = met.withColumn("told", F.col("v").bitwiseAND(mask))
+    # Most gates give no output bit at all; only the others come to the arrays.
+    met = met.filter(F.col("told").isin(*[F.col(f"out{b}") for b in range(8)]))
+    hits = F.array_compact(F.array(*[F.when(F.col("told") == F.col(f"out{b}"), F.lit(b)) for b in range(8)]))
     rows = met.withColumn("output_bit", F.explode(hits)).select(
-        "id", "output_bit", "ordinal", "gate", "arity", "prior", F.array_compact(F.array("i0", "i1", "i2", "i3")).alias("inputs"),
+        "id", "chunk", "chunks", "output_bit", "ordinal", "gate", "arity", "prior", F.array_compact(F.array("i0", "i1", "i2", "i3")).alias("inputs"),
         F.call_function("shiftright", F.col("v"), F.col("n")).bitwiseAND(F.lit(1).cast("long")).cast("int").alias("query_value"),
     )
+    # A gate fits a puzzle of several chunks if it fits each of them.
+    many = rows.filter("chunks > 1").groupBy("id", "output_bit", "ordinal").agg(*[F.first(c).alias(c) for c in ("gate", "arity", "prior", "inputs", "query_value", "chunks")], F.count("*").alias("met"))
+    columns = ["id", "output_bit", "ordinal", "gate", "arity", "prior", "inputs", "query_value"]
+    rows = rows.filter("chunks = 1").select(columns).unionByName(many.filter("met = chunks").select(columns))
     if include_higher:
         return rows
     fewest = F.min("arity").over(Window.partitionBy("id", "output_bit"))
     return rows.withColumn("_f", fewest).filter(F.col("arity") <= F.col("_f") + 1).drop("_f")
 
 
+def expression(gate: Column, inputs: Column) -> Column:
+    """A candidate as text: the gate over its inputs, b0 leftmost; constants are 0 and 1."""
+    names = F.array_join(F.transform(inputs, lambda i: F.concat(F.lit("b"), i.cast("string"))), ", ")
+    return F.when(gate == "C0", "0").when(gate == "C1", "1").otherwise(F.concat(gate, F.lit("("), names, F.lit(")")))
+
+
 def _shifts() -> Column:
     plain = F.transform("inputs", lambda i: F.pmod(i - F.col("output_bit"), F.lit(8)))
     return F.when(F.col("gate").isin(*SYMMETRIC), F.array_sort(plain)).otherwise(plain)

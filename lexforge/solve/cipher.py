@@ -48,16 +48,17 @@ def mapping(pairs: Column) -> Column:
 
 
 def vocabulary_words(words: list[str] = VOCABULARY) -> Column:
-    """The words, sorted, with their letters and patterns, as a constant."""
-    def numbers(w: str) -> list[int]:
+    """The words with their letters, in order, by their pattern, as a constant map."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words):
         own = list(dict.fromkeys(w))
-        return [own.index(c) + 1 for c in w]
-
-    return F.array(*[F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, w)).alias("cs"), F.array(*map(F.lit, numbers(w))).alias("pattern")) for w in sorted(words)])
+        groups.setdefault(",".join(str(own.index(c) + 1) for c in w), []).append(w)
+    entry = lambda w: F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, w)).alias("cs"))
+    return F.create_map(*[x for key, held in groups.items() for x in (F.lit(key), F.array(*map(entry, held)))])
 
 
 def fitting(word: Column, known: Column, vocabulary: Column, one_to_one: bool) -> Column:
-    """Vocabulary words that a cipher word may stand for under the known letters."""
+    """Vocabulary words that a cipher word may stand for under the known letters: those of its pattern, looked up, that agree."""
     def of(w: Column) -> Column:
         def may(v: Column) -> Column:
             def fits(z: Column) -> Column:
@@ -65,11 +66,12 @@ def fitting(word: Column, known: Column, vocabulary: Column, one_to_one: bool) -
                 free = ~F.array_contains(F.map_values(known), z["p"]) if one_to_one else F.lit(True)
                 return F.when(plain.isNotNull(), plain == z["p"]).otherwise(free)
 
-            return (v["pattern"] == w["pattern"]) & F.forall(F.arrays_zip(w["cs"].alias("c"), v["cs"].alias("p")), fits)
+            return F.forall(F.arrays_zip(w["cs"].alias("c"), v["cs"].alias("p")), fits)
 
-        return F.transform(F.filter(vocabulary, may), lambda v: v["word"])
+        return F.coalesce(F.transform(F.filter(F.try_element_at(vocabulary, w["key"]), may), lambda v: v["word"]), F.array().cast("array<string>"))
 
-    return let(F.struct(chars(word).alias("cs"), pattern(word).alias("pattern")), of)
+    key = F.array_join(F.transform(pattern(word), lambda x: x.cast("string")), ",")
+    return let(F.struct(chars(word).alias("cs"), key.alias("key")), of)
 
 
 def decode(known: Column, text: Column, vocabulary: Column) -> Column:

@@ -15,17 +15,30 @@ from lexforge.functions.text import let, strip
 TRANSFORMS = {"id": 0, "rev": 1}
 BASE_RULES = {
     "x + y": 1, "x + y + 1": 1, "x + y - 1": 1, "x - y": 1, "y - x": 1, "|x - y|": 1, "x * y": 2, "x * y + 1": 2, "x * y - 1": 2,
-    "concat(x,y)": 2, "concat(y,x)": 2, "x + y^2": 3, "(x + y)^2": 3, "(x - y)^2": 3, "gcd(x,y)": 3,
+    "concat(x, y)": 2, "concat(y, x)": 2, "x + y^2": 3, "(x + y)^2": 3, "(x - y)^2": 3, "gcd(x, y)": 3,
 }
 MODES = {
     "plain": 0, "rev": 1, "neg": 1, "neg_rev": 2, "op_prefix": 1, "op_suffix": 1, "op_prefix_if_neg": 1,
     "op_suffix_rev_if_neg": 2, "op_prefix_rev": 2, "op_suffix_rev": 2,
 }
+# The order in which rules are tried for an operator without an example, and what goes before it.
+ABSENT_ORDER = (
+    "x + y", "x + y + 1", "x + y - 1", "x * y", "x * y + 1", "x * y - 1", "concat(x, y)", "concat(y, x)",
+    "x - y", "y - x", "|x - y|", "x + y^2", "(x + y)^2", "(x - y)^2", "gcd(x, y)",
+)
+UNSIGNED_MINUS = ("|x - y|", "y - x", "x - y")
+SUBTRACTIONS = ("x - y", "y - x", "|x - y|")
+PRODUCTS_AFTER_SUMS = {
+    "x + y + 1": ("x * y + 1", "x * y", "x * y - 1"), "x + y": ("x * y", "x * y + 1", "x * y - 1"), "x + y - 1": ("x * y - 1", "x * y", "x * y + 1"),
+}
+# Rules beside which an unseen operator is taken for a subtraction, and those that allow the sign override.
+BESIDE_SUBTRACTION = ABSENT_ORDER[:8]
+BESIDE_OVERRIDE = (*ABSENT_ORDER[:8], "gcd(x, y)")
 # The order in which the short scan tries (transform, rule, mode).
 SCAN = (
-    ("rev", "x * y", "rev"), ("id", "concat(x,y)", "plain"), ("rev", "x + y", "rev"), ("rev", "x + y + 1", "rev"), ("rev", "x + y - 1", "rev"),
-    ("rev", "x * y - 1", "rev"), ("rev", "x * y + 1", "rev"), ("id", "x * y", "plain"), ("id", "concat(y,x)", "plain"), ("id", "x * y + 1", "plain"),
-    ("rev", "x - y", "rev"), ("rev", "y - x", "op_suffix_rev_if_neg"), ("id", "x - y", "plain"), ("rev", "concat(x,y)", "rev"), ("id", "x * y - 1", "plain"),
+    ("rev", "x * y", "rev"), ("id", "concat(x, y)", "plain"), ("rev", "x + y", "rev"), ("rev", "x + y + 1", "rev"), ("rev", "x + y - 1", "rev"),
+    ("rev", "x * y - 1", "rev"), ("rev", "x * y + 1", "rev"), ("id", "x * y", "plain"), ("id", "concat(y, x)", "plain"), ("id", "x * y + 1", "plain"),
+    ("rev", "x - y", "rev"), ("rev", "y - x", "op_suffix_rev_if_neg"), ("id", "x - y", "plain"), ("rev", "concat(x, y)", "rev"), ("id", "x * y - 1", "plain"),
     ("id", "x + y", "plain"), ("id", "x + y + 1", "plain"), ("id", "x + y - 1", "plain"), ("id", "|x - y|", "plain"), ("id", "y - x", "plain"),
     ("rev", "y - x", "op_prefix_rev"), ("rev", "x - y", "neg_rev"), ("rev", "|x - y|", "rev"), ("id", "|x - y|", "op_prefix"), ("id", "x - y", "op_prefix"),
 )
@@ -69,8 +82,8 @@ def apply_rule(x: Column, y: Column, rule: Column) -> Column:
     glue = lambda a, b: F.concat(F.abs(a).cast("string"), F.abs(b).cast("string")).try_cast("long")
     forms = {
         "x + y": add, "x + y + 1": F.try_add(add, F.lit(1)), "x + y - 1": F.try_subtract(add, F.lit(1)), "x - y": sub, "y - x": F.try_subtract(y, x), "|x - y|": F.abs(sub),
-        "x * y": mul, "x * y + 1": F.try_add(mul, F.lit(1)), "x * y - 1": F.try_subtract(mul, F.lit(1)), "concat(x,y)": glue(x, y), "concat(y,x)": glue(y, x),
-        "x + y^2": F.try_add(x, F.try_multiply(y, y)), "(x + y)^2": F.try_multiply(add, add), "(x - y)^2": F.try_multiply(sub, sub), "gcd(x,y)": gcd(x, y),
+        "x * y": mul, "x * y + 1": F.try_add(mul, F.lit(1)), "x * y - 1": F.try_subtract(mul, F.lit(1)), "concat(x, y)": glue(x, y), "concat(y, x)": glue(y, x),
+        "x + y^2": F.try_add(x, F.try_multiply(y, y)), "(x + y)^2": F.try_multiply(add, add), "(x - y)^2": F.try_multiply(sub, sub), "gcd(x, y)": gcd(x, y),
     }
     out = None
     for name, form in forms.items():
@@ -89,8 +102,8 @@ def written(v: Column, mode: Column, op: Column, width: Column) -> Column:
         .when(mode == "neg", F.concat(F.lit("-"), wide)).when(mode == "neg_rev", F.concat(F.lit("-"), F.reverse(wide)))
         .when(mode == "op_prefix", F.concat(op, plain)).when(mode == "op_suffix", F.concat(plain, op))
         .when(mode == "op_prefix_rev", F.concat(op, back)).when(mode == "op_suffix_rev", F.concat(back, op))
-        .when(mode == "op_prefix_if_neg", F.when(v < 0, F.concat(op, size)).otherwise(size))
-        .when(mode == "op_suffix_rev_if_neg", F.when(v < 0, F.concat(F.reverse(size), op)).otherwise(size))
+        .when(mode == "op_prefix_if_neg", F.when(v < 0, F.concat(op, wide)).otherwise(size))
+        .when(mode == "op_suffix_rev_if_neg", F.when(v < 0, F.concat(F.reverse(wide), op)).otherwise(size))
     )
 
 
@@ -115,10 +128,10 @@ def _dimension(spark: SparkSession, column: str, values: dict[str, int], cost: s
 
 
 def by_operator(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, op, examples in order) of puzzles (id, examples, query)."""
+    """(id, op, examples in order, place of the first of them) of puzzles (id, examples, query)."""
     each = puzzles.select(F.col(id_col).alias("id"), F.posexplode("examples").alias("k", "e"))
     grouped = each.groupBy("id", F.col("e.op").alias("op")).agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("s"))
-    return grouped.select("id", "op", F.transform("s", lambda s: s["e"]).alias("examples"))
+    return grouped.select("id", "op", F.transform("s", lambda s: s["e"]).alias("examples"), F.get("s", F.lit(0))["k"].alias("op_place"))
 
 
 def candidates(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
@@ -135,15 +148,15 @@ def candidates(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(c).alias("c")) for m, c in MODES.items()])
     met = met.select("*", F.explode(modes).alias("m")).select("*", F.explode(widths(F.col("examples"))).alias("width"))
     met = met.filter(written(F.col("value"), F.col("m.mode"), F.col("op"), F.col("width")) == F.col("first.rhs"))
-    met = met.select("id", "op", "examples", "lt", "rt", "rule", "m.mode", "width", (F.col("complexity") + F.col("m.c")).alias("complexity"))
+    met = met.select("id", "op", "examples", "op_place", "lt", "rt", "rule", "m.mode", "width", (F.col("complexity") + F.col("m.c")).alias("complexity"))
     rule = [F.col(c) for c in ("lt", "rt", "rule", "mode", "width")]
     fits = met.filter(F.forall(F.slice("examples", F.lit(2), F.size("examples")), lambda e: predict(e, *rule) == e["rhs"]))
     text = F.concat(F.col("mode"), F.lit("("), "rule", F.lit(" on "), "lt", F.lit(","), "rt", F.when(F.col("width").isNotNull(), F.concat(F.lit(", width="), F.col("width").cast("string"))).otherwise(""), F.lit(")"))
     return fits.withColumn("complexity", F.col("complexity") + F.col("width").isNotNull().cast("int")).withColumn("description", text)
 
 
-def chosen(found: DataFrame) -> DataFrame:
-    """Per puzzle and operator the best candidate, with support from operators whose two or more examples leave one signature."""
+def ranked(found: DataFrame) -> DataFrame:
+    """The candidates with their place among those of their puzzle and operator, 1 the best, with support from operators whose two or more examples leave one signature."""
     sure = found.filter(F.size("examples") >= 2)
     signatures = {"family": F.struct("lt", "rt", "mode", "width"), "transform": F.struct("lt", "rt", "mode"), "output": F.col("mode")}
     ranked = found
@@ -156,21 +169,156 @@ def chosen(found: DataFrame) -> DataFrame:
     signed = F.when(F.col("mode") == "op_prefix_if_neg", F.exists("examples", lambda e: e["rhs"].startswith("-") | e["rhs"].startswith(e["op"]))).otherwise(F.exists("examples", lambda e: e["rhs"].contains("-")))
     absolute = (F.col("rule") == "|x - y|") & F.col("mode").isin("plain", "op_prefix", "op_prefix_rev", "op_prefix_if_neg") & ~signed & sibling
     order = Window.partitionBy("id", "op").orderBy(F.desc(absolute.cast("int")), F.desc("family"), F.desc("transform"), F.desc("output"), "complexity", "description")
-    return ranked.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    return ranked.withColumn("place", F.row_number().over(order))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def _signature(c: Column) -> Column:
+    return F.struct(c["lt"].alias("lt"), c["rt"].alias("rt"), c["mode"].alias("mode"))
+
+
+def _is(signature: Column, lt: str, rt: str, mode: str) -> Column:
+    return (signature["lt"] == lt) & (signature["rt"] == rt) & (signature["mode"] == mode)
+
+
+def _rule(lt: Column, rt: Column, rule: Column, mode: Column, width: Column, basis: Column) -> Column:
+    return F.struct(lt.alias("lt"), rt.alias("rt"), rule.alias("rule"), mode.alias("mode"), width.cast("int").alias("width"), basis.alias("basis"))
+
+
+def _only_in(values: Column, allowed: tuple[str, ...]) -> Column:
+    return F.size(F.array_except(values, F.array(*map(F.lit, allowed)))) == 0
+
+
+def _absent(cands: Column, seen: Column, examples: Column, query: Column) -> Column:
+    """The rule for an operator without an example: a marked subtraction beside plain sums and products, else
+    the first unused rule under the motif that most examples support; null where the motif is tied or too thin."""
+    signatures = F.array_distinct(F.transform(seen, _signature))
+    rules = F.array_distinct(F.transform(seen, lambda c: c["rule"]))
+    one = F.get(signatures, F.lit(0))
+    beside = (F.size(signatures) == 1) & _only_in(rules, BESIDE_SUBTRACTION)
+    none, minus = F.lit(None).cast("int"), F.lit("|x - y|")
+    marked = F.when(beside & _is(one, "id", "id", "plain"), _rule(F.lit("id"), F.lit("id"), minus, F.lit("op_prefix"), none, F.lit("subtraction"))).when(
+        beside & _is(one, "rev", "rev", "rev"), _rule(F.lit("rev"), F.lit("rev"), minus, F.lit("op_prefix_rev"), none, F.lit("subtraction"))
+    )
+
+    def of_motif(scored: Column) -> Column:
+        best, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
+        clear = best.isNotNull() & (second.isNull() | (best["n"] != second["n"]))
+        return F.when(clear, let(F.filter(cands, lambda c: _signature(c) == best["s"]), of_candidates))
+
+    def of_candidates(some: Column) -> Column:
+        used = F.array_distinct(F.transform(some, lambda c: c["rule"]))
+        return F.when(F.exists(some, lambda c: c["k"] >= 2), let(F.struct(some.alias("some"), used.alias("used"), F.transform(some, lambda c: c["width"]).alias("widths")), of_used))
+
+    def of_used(m: Column) -> Column:
+        counts = F.transform(F.array_distinct(m["widths"]), lambda w: F.struct(_sum(F.transform(m["widths"], lambda x: (x == w).cast("long"))).alias("n"), (-F.array_position(m["widths"], w)).alias("first"), w.alias("w")))
+        width = F.when(F.exists(m["widths"], lambda w: w.isNull()), none).otherwise(F.array_max(counts)["w"])
+        unsigned = (F.size(examples) > 0) & F.forall(examples, lambda e: ~e["rhs"].startswith("-"))
+        head = F.when((query["op"] == "-") & unsigned, F.array(*map(F.lit, UNSIGNED_MINUS))).otherwise(F.array().cast("array<string>"))
+        sums = F.concat(*[F.when(F.array_contains(m["used"], s), F.array(*map(F.lit, p))).otherwise(F.array().cast("array<string>")) for s, p in PRODUCTS_AFTER_SUMS.items()])
+        products = F.when(F.arrays_overlap(m["used"], F.array(*map(F.lit, SUBTRACTIONS))), sums).otherwise(F.array().cast("array<string>"))
+        order = F.array_distinct(F.concat(head, products, F.array(*map(F.lit, ABSENT_ORDER))))
+        rule, lead = F.get(F.array_except(order, m["used"]), F.lit(0)), F.get(m["some"], F.lit(0))
+        return F.when(rule.isNotNull(), _rule(lead["lt"], lead["rt"], rule, lead["mode"], width, F.lit("motif")))
+
+    # An operator counts once for a signature, with its number of examples.
+    per = F.array_distinct(F.transform(cands, lambda c: F.struct(_signature(c).alias("s"), c["op"].alias("op"), F.greatest(F.lit(1), c["k"]).cast("long").alias("k"))))
+    votes = let(per, lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["s"])), lambda s: F.struct(_sum(F.transform(F.filter(p, lambda x: x["s"] == s), lambda x: x["k"])).alias("n"), s.alias("s"))))
+    return F.when(F.size(cands) > 0, F.coalesce(marked, let(F.sort_array(votes, asc=False), of_motif)))
+
+
+def _answered(query: Column, r: Column) -> Column:
+    return F.when(r.isNotNull(), predict(query, r["lt"], r["rt"], r["rule"], r["mode"], r["width"]))
+
+
+def described(r: Column) -> Column:
+    width = F.when(r["width"].isNotNull(), F.concat(F.lit(", width="), r["width"].cast("string"))).otherwise("")
+    return F.when(r.isNotNull(), F.concat(r["mode"], F.lit("("), r["rule"], F.lit(" on "), r["lt"], F.lit(","), r["rt"], width, F.lit(")")))
+
+
+def considered(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, examples, query, cands): each puzzle with its candidates as one array, by operator, complexity and description."""
+    fields = ["op_place", "complexity", "description", "op", "lt", "rt", "rule", "mode", "width", "place", "family", "transform", "output"]
+    listed = ranked(candidates(puzzles, id_col)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*fields, F.size("examples").alias("k")))).alias("cands"))
+    own = puzzles.select(F.col(id_col).alias("id"), "examples", "query")
+    none = F.array().cast(listed.schema["cands"].dataType)
+    return own.join(listed, "id", "left").withColumn("cands", F.coalesce("cands", none))
+
+
+def _solved(cands: Column, examples: Column, query: Column) -> Column:
+    """(prediction, confidence, n_candidates, n_examples, rule) of a puzzle."""
+    own = F.filter(cands, lambda c: c["op"] == query["op"])
+    seen = F.filter(cands, lambda c: (c["place"] == 1) & (c["op"] != query["op"]))
+    k = F.size(F.filter(examples, lambda e: e["op"] == query["op"]))
+
+    def of(m: Column) -> Column:
+        best = F.get(F.filter(m["own"], lambda c: c["place"] == 1), F.lit(0))
+        told = F.when(best.isNotNull(), _rule(best["lt"], best["rt"], best["rule"], best["mode"], best["width"], F.lit("examples")))
+        guess = F.when(m["k"] == 0, _absent(cands, m["seen"], examples, query))
+        n_values = F.size(F.array_distinct(F.transform(m["own"], lambda c: predict(query, c["lt"], c["rt"], c["rule"], c["mode"], c["width"]))))
+        support = F.when((best["family"] > 0) | (best["transform"] > 0), "high").when(best["output"] > 0, "medium").otherwise("low")
+        rule = F.coalesce(told, guess)
+
+        def ended(r: Column) -> Column:
+            level = (
+                F.when(r.isNull(), F.when(m["k"] == 0, "none").otherwise("low")).when(r["basis"] != "examples", "medium")
+                .when(n_values == 1, "high").when(m["k"] == 1, support).otherwise("low")
+            )
+            return F.struct(_answered(query, r).alias("prediction"), level.alias("confidence"), F.size(m["own"]).alias("n_candidates"), m["k"].alias("n_examples"), r.alias("rule"), m["seen"].alias("seen"))
+
+        return let(rule, ended)
+
+    return let(F.struct(own.alias("own"), seen.alias("seen"), k.alias("k")), of)
 
 
 def solve(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, prediction, description, n_candidates, confidence) for the query; null prediction where its operator has no example or rule."""
-    found = candidates(puzzles, id_col)
-    asked = puzzles.select(F.col(id_col).alias("id"), F.col("query").alias("query"))
-    rule = [F.col(c) for c in ("lt", "rt", "rule", "mode", "width")]
-    told = found.join(asked, "id").filter(F.col("op") == F.col("query.op"))
-    spread = told.groupBy("id").agg(F.count("*").alias("n_candidates"), F.count_distinct(predict(F.col("query"), *rule)).alias("n_values"))
-    best = chosen(found).join(asked, "id").filter(F.col("op") == F.col("query.op")).select("id", predict(F.col("query"), *rule).alias("prediction"), "description", F.size("examples").alias("k"), "family", "transform", "output")
-    support = F.when((F.col("family") > 0) | (F.col("transform") > 0), "high").when(F.col("output") > 0, "medium").otherwise("low")
-    level = F.when(F.col("prediction").isNull(), F.when(F.col("k").isNull(), "none").otherwise("low")).when(F.col("n_values") == 1, "high").when(F.col("k") == 1, support).otherwise("low")
-    joined = asked.select("id").join(best, "id", "left").join(spread, "id", "left")
-    return joined.select("id", "prediction", "description", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), level.alias("confidence"))
+    """(id, prediction, description, n_candidates, n_examples, confidence, basis) for the query.
+
+    ``basis`` tells whether the rule comes from the operator's examples, from a
+    motif of the others or is a marked subtraction; null where there is no rule.
+    """
+    done = considered(puzzles, id_col).withColumn("r", _solved(F.col("cands"), F.col("examples"), F.col("query")))
+    return done.select("id", "r.prediction", described(F.col("r.rule")).alias("description"), "r.n_candidates", "r.n_examples", "r.confidence", F.col("r.rule.basis").alias("basis"))
+
+
+def solve_by_scan(puzzles: DataFrame, id_col: str = "id", fallback: bool = True) -> DataFrame:
+    """(id, prediction, confidence, rank, description, used_fallback): the short scan first, the whole search where it does not do.
+
+    The search answers where the scan finds nothing or the operator has no example,
+    and overrules a scan of one example whose motif none of the other operators
+    shares while they agree on another. A negative answer from one example beside
+    plain sums and products is written with the operator for its sign, where such
+    a rule fits the example. Without ``fallback`` the scan alone answers.
+    """
+    first = scan(puzzles, id_col).withColumnRenamed("prediction", "scanned").withColumnRenamed("id", "_id")
+    if not fallback:
+        own = puzzles.select(F.col(id_col).alias("id"), F.size(F.filter("examples", lambda e: e["op"] == F.col("query")["op"])).alias("k"))
+        done = own.join(first, F.col("id") == F.col("_id"), "left")
+        level = F.when(F.col("scanned").isNull(), "none").when(F.col("k") >= 2, "high").otherwise("medium")
+        text = described(F.when(F.col("rule").isNotNull(), F.struct(F.col("transform").alias("lt"), F.col("transform").alias("rt"), "rule", "mode", "width")))
+        return done.select("id", F.col("scanned").alias("prediction"), level.alias("confidence"), "rank", text.alias("description"), F.lit(False).alias("used_fallback"))
+    done = considered(puzzles, id_col).withColumn("r", _solved(F.col("cands"), F.col("examples"), F.col("query"))).join(first, F.col("id") == F.col("_id"), "left")
+    signatures = F.array_distinct(F.transform("r.seen", _signature))
+    single = F.size(signatures) == 1
+    own = F.struct(F.col("transform").alias("lt"), F.col("transform").alias("rt"), "rule", "mode", "width")
+    scanned = F.col("rank").isNotNull()
+    chosen = F.col("r.rule")
+    overruled = scanned & (F.col("r.n_examples") == 1) & single & (chosen["basis"] == "examples") & (_signature(chosen) == F.get(signatures, F.lit(0))) & (_signature(own) != F.get(signatures, F.lit(0)))
+    by_scan = scanned & ~F.coalesce(overruled, F.lit(False))
+    prediction = F.when(by_scan, F.col("scanned")).otherwise(F.col("r.prediction"))
+    signed = F.filter("cands", lambda c: (c["op"] == F.col("query")["op"]) & _is(c, "id", "id", "op_prefix_if_neg") & c["rule"].isin("x - y", "y - x") & c["width"].isNull())
+    may = (
+        prediction.startswith("-") & (F.col("r.n_examples") == 1) & single & _is(F.get(signatures, F.lit(0)), "id", "id", "plain")
+        & _only_in(F.transform("r.seen", lambda c: c["rule"]), BESIDE_OVERRIDE) & ~F.coalesce(overruled, F.lit(False))
+    )
+    sign = F.when(may, F.get(signed, F.lit(0)))
+    answer = F.coalesce(_answered(F.col("query"), sign), prediction)
+    level = F.when(sign.isNotNull(), "medium").when(by_scan, F.when(F.col("r.n_examples") >= 2, "high").otherwise("medium")).otherwise(F.col("r.confidence"))
+    text = F.coalesce(described(sign), F.when(by_scan, described(own)).otherwise(described(chosen)))
+    return done.select("id", answer.alias("prediction"), level.alias("confidence"), F.when(by_scan & sign.isNull(), F.col("rank")).alias("rank"), text.alias("description"), (~by_scan | sign.isNotNull()).alias("used_fallback"))
 
 
 def scan(puzzles: DataFrame, id_col: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import lines, strip
+from lexforge.functions.text import let, lines, strip
 
 # Positions of the left-hand side that make the right-hand side, in order of trial.
 TEMPLATES = {"0134": (0, 1, 3, 4), "3401": (3, 4, 0, 1)}
@@ -15,9 +15,9 @@ def parse(prompt: Column) -> Column:
     """(examples lhs, rhs; query): left-hand sides of five characters count, others are passed over; null without an example or a query of five."""
     told = F.filter(F.transform(lines(prompt), strip), lambda x: x.contains(" = "))
     pairs = F.transform(told, lambda x: F.struct(strip(F.substring_index(x, " = ", 1)).alias("lhs"), strip(F.substr(x, F.instr(x, " = ") + 3)).alias("rhs")))
-    kept = F.filter(pairs, lambda p: F.length(p["lhs"]) == 5)
     asked = strip(F.regexp_extract(prompt, r"(?i)determine the result for:\s*([^\n]+)", 1))
-    return F.when((F.size(kept) > 0) & (F.length(asked) == 5), F.struct(kept.alias("examples"), asked.alias("query")))
+    made = F.struct(F.filter(pairs, lambda p: F.length(p["lhs"]) == 5).alias("examples"), asked.alias("query"))
+    return let(made, lambda m: F.when((F.size(m["examples"]) > 0) & (F.length(m["query"]) == 5), m))
 
 
 def at(text: Column, positions: tuple[int, ...]) -> Column:
@@ -26,13 +26,17 @@ def at(text: Column, positions: tuple[int, ...]) -> Column:
 
 def direct(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, template, prediction, confidence) of the first template that all examples with the query's operator follow."""
-    same = F.filter("examples", lambda e: F.substring(e["lhs"], 3, 1) == F.substring(F.col("query"), 3, 1))
-    own = puzzles.select(F.col(id_col).alias("id"), "query", same.alias("same")).filter(F.size("same") > 0)
-
-    def follows(positions: tuple[int, ...]) -> Column:
-        return F.forall("same", lambda e: at(e["lhs"], positions) == e["rhs"])
-
-    name = F.coalesce(*[F.when(follows(t), F.lit(n)) for n, t in TEMPLATES.items()])
-    found = own.withColumn("template", name).filter("template IS NOT NULL")
-    prediction = F.coalesce(*[F.when(F.col("template") == n, at(F.col("query"), t)) for n, t in TEMPLATES.items()])
-    return found.select("id", "template", prediction.alias("prediction"), F.when(F.size("same") >= 2, "high").otherwise("medium").alias("confidence"))
+    def of(p: Column) -> Column:
+        same = F.filter(p["examples"], lambda e: F.substring(e["lhs"], 3, 1) == F.substring(p["query"], 3, 1))
+        return let(same, lambda own: named(p["query"], own))
+
+    def named(query: Column, own: Column) -> Column:
+        tries = [
+            F.when(F.forall(own, lambda e: at(e["lhs"], t) == e["rhs"]), F.struct(F.lit(n).alias("template"), at(query, t).alias("prediction"), F.when(F.size(own) >= 2, "high").otherwise("medium").alias("confidence")))
+            for n, t in TEMPLATES.items()
+        ]
+        return F.when(F.size(own) > 0, F.coalesce(*tries))
+
+    # Bound once: the columns may be a parse of the prompt, which the optimiser would copy into every use.
+    answer = let(F.struct("examples", "query"), of)
+    return puzzles.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(answer))).alias("r")).select("id", "r.*")
