@@ -123,20 +123,20 @@ _PREPARED = """b AS (
   SELECT doc_id::VARCHAR AS id, CASE lang WHEN 'en' THEN 'gravity' WHEN 'fr' THEN 'bit_manipulation' ELSE 'symbol_transform' END AS diagnostic_type,
          CASE WHEN source = 'src0' THEN 'huikang_real_bit' ELSE source END AS source_mode,
          CASE lang WHEN 'en' THEN 'standard' WHEN 'fr' THEN CASE WHEN source = 'src0' THEN 'huikang_real_rule_found' ELSE source END ELSE CASE WHEN doc_id % 2 = 0 THEN 'ba_dc' ELSE source END END AS diagnostic_subtype,
-         doc_id % 9 = 0 AS barred, doc_id % 9 = 0 OR doc_id % 10 = 0 AS only FROM documents WHERE lang IN ('en', 'fr', 'de')),
-q AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY only, diagnostic_type, diagnostic_subtype, source_mode ORDER BY md5('42:' || id), id) AS r FROM b WINDOW w AS (PARTITION BY only, diagnostic_type, diagnostic_subtype, source_mode)),
+         doc_id % 9 = 0 AS barred, doc_id % 9 = 0 OR doc_id % 10 = 0 AS fixed FROM documents WHERE lang IN ('en', 'fr', 'de')),
+q AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY fixed, diagnostic_type, diagnostic_subtype, source_mode ORDER BY md5('42:' || id), id) AS r FROM b WINDOW w AS (PARTITION BY fixed, diagnostic_type, diagnostic_subtype, source_mode)),
 h AS (SELECT *, CASE WHEN n >= 10 THEN greatest(1, round_even(n * 0.1, 0)) WHEN n >= 4 THEN 1 ELSE 0 END::BIGINT AS g, CASE WHEN n IN (2, 3) THEN 1 WHEN n >= 10 THEN greatest(1, round_even(n * 0.1, 0)) WHEN n >= 4 THEN 1 ELSE 0 END::BIGINT AS e FROM q),
-p AS (SELECT *, CASE WHEN only OR r <= n - e - g THEN 'sft_train' WHEN r <= n - g THEN 'eval_holdout' ELSE 'grpo_holdout' END AS split FROM h)"""
+p AS (SELECT *, CASE WHEN fixed OR r <= n - e - g THEN 'sft_train' WHEN r <= n - g THEN 'eval_holdout' ELSE 'grpo_holdout' END AS split FROM h)"""
 
 
-@query(f"WITH {_PREPARED} SELECT id, split, diagnostic_type, diagnostic_subtype, source_mode, CASE WHEN barred THEN 'false' ELSE 'true' END AS eval_eligible, CASE WHEN only THEN 'train_only' ELSE 'auto' END AS split_policy FROM p")
+@query(f"WITH {_PREPARED} SELECT id, split, diagnostic_type, diagnostic_subtype, source_mode, CASE WHEN barred THEN 'false' ELSE 'true' END AS eval_eligible, CASE WHEN fixed THEN 'train_only' ELSE 'auto' END AS split_policy FROM p")
 def prepare_splits(spark, sf_dir):
     return prepare.prepare(_type_rows(spark, sf_dir))["splits"]
 
 
 @query(f"""WITH {_PREPARED}, x AS (
   SELECT diagnostic_type, 'split' AS "column", split AS value, NULL AS value2 FROM p UNION ALL SELECT diagnostic_type, 'source_mode', source_mode, NULL FROM p UNION ALL SELECT diagnostic_type, 'diagnostic_subtype', diagnostic_subtype, NULL FROM p
-  UNION ALL SELECT diagnostic_type, 'eval_eligible', CASE WHEN barred THEN 'false' ELSE 'true' END, NULL FROM p UNION ALL SELECT diagnostic_type, 'split_policy', CASE WHEN only THEN 'train_only' ELSE 'auto' END, NULL FROM p
+  UNION ALL SELECT diagnostic_type, 'eval_eligible', CASE WHEN barred THEN 'false' ELSE 'true' END, NULL FROM p UNION ALL SELECT diagnostic_type, 'split_policy', CASE WHEN fixed THEN 'train_only' ELSE 'auto' END, NULL FROM p
   UNION ALL SELECT diagnostic_type, 'split*diagnostic_subtype', split, diagnostic_subtype FROM p UNION ALL SELECT diagnostic_type, 'all', NULL, NULL FROM p)
   SELECT diagnostic_type, "column", value, value2, count(*) AS n FROM x GROUP BY ALL""")
 def prepare_summary(spark, sf_dir):

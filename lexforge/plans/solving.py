@@ -134,9 +134,19 @@ def bit_candidates(spark, sf_dir):
     return found.groupBy("id", "output_bit").agg(F.count("*").alias("n_candidates"), F.min("arity").alias("least_arity"), F.sum("query_value").alias("ones"), F.count_distinct("gate").alias("n_gates"))
 
 
-@query()
+#: Inputs of examples that leave a single gate for each output bit.
+_TELLING = (3, 14, 37, 58, 71, 85, 99, 110, 132, 147, 166, 178, 193, 204, 219, 240, 251, 128, 64, 17)
+
+
+@query(f"""SELECT c_custkey AS id, lpad(bin(xor((x * 2) % 256 + x // 128, 192)), 8, '0') AS prediction, 'high' AS confidence, '' AS ambiguous
+  FROM (SELECT c_custkey, (c_custkey * 37 + 5) % 256 AS x FROM customer)""")
 def bit_solve(spark, sf_dir):
-    made = bit.solve(_bits(spark, sf_dir))
+    """Bytes turned left by one with the top bits flipped; the examples tell the gates, so the answer is known."""
+    x = [str(v) for v in _TELLING]
+    y = [f"lpad(bin((({v} * 2) % 256 + {v} DIV 128) ^ 192), 8, '0')" for v in x]
+    pairs = ", ".join(f"named_struct('x', lpad(bin({v}), 8, '0'), 'y', {w})" for v, w in zip(x, y))
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"array({pairs}) AS examples", "lpad(bin((c_custkey * 37 + 5) % 256), 8, '0') AS query")
+    made = bit.solve(rows)
     return made.select("id", "prediction", "confidence", F.array_join(F.transform("ambiguous_bits", lambda b: b.cast("string")), ",").alias("ambiguous"))
 
 
@@ -172,20 +182,79 @@ def numeric_render(spark, sf_dir):
     return _parsed(spark, sf_dir).select("id", numeric.predict(F.col("query"), *rule).alias("prediction"))
 
 
-@query()
+_RULES_SQL = {
+    "x + y": ("x + y", 1), "x + y + 1": ("x + y + 1", 1), "x + y - 1": ("x + y - 1", 1), "x - y": ("x - y", 1), "y - x": ("y - x", 1), "|x - y|": ("abs(x - y)", 1),
+    "x * y": ("x * y", 2), "x * y + 1": ("x * y + 1", 2), "x * y - 1": ("x * y - 1", 2), "concat(x, y)": ("(x::VARCHAR || y::VARCHAR)::BIGINT", 2), "concat(y, x)": ("(y::VARCHAR || x::VARCHAR)::BIGINT", 2),
+    "x + y^2": ("x + y * y", 3), "(x + y)^2": ("(x + y) * (x + y)", 3), "(x - y)^2": ("(x - y) * (x - y)", 3), "gcd(x, y)": ("CASE WHEN x = 0 OR y = 0 THEN 0 ELSE gcd(x, y) END", 3),
+}
+_DIGITS_SQL = "CASE WHEN w IS NULL THEN abs(v)::VARCHAR ELSE lpad(abs(v)::VARCHAR, greatest(length(abs(v)::VARCHAR), w)::INT, '0') END"
+_MODES_SQL = {
+    "plain": ("s || d", 0), "rev": ("s || reverse(d)", 1), "neg": ("'-' || d", 1), "neg_rev": ("'-' || reverse(d)", 2), "op_prefix": ("op || s || d", 1), "op_suffix": ("s || d || op", 1),
+    "op_prefix_if_neg": ("CASE WHEN v < 0 THEN op || d ELSE abs(v)::VARCHAR END", 1), "op_suffix_rev_if_neg": ("CASE WHEN v < 0 THEN reverse(d) || op ELSE abs(v)::VARCHAR END", 2),
+    "op_prefix_rev": ("op || s || reverse(d)", 2), "op_suffix_rev": ("s || reverse(d) || op", 2),
+}
+_TURNED = "CASE WHEN o_orderkey % 2 = 1 THEN reverse(({0})::VARCHAR) ELSE ({0})::VARCHAR END"
+
+
+@query(f"""WITH e AS (SELECT o_orderkey AS id, '+' AS op, 0 AS k, {_AB[0]} AS l, {_AB[4]} AS r, {_TURNED.format(f'{_AB[0]} + {_AB[4]}')} AS rhs FROM orders
+    UNION ALL SELECT o_orderkey, '+', 1, {_AB[1]}, {_AB[5]}, {_TURNED.format(f'{_AB[1]} + {_AB[5]}')} FROM orders UNION ALL SELECT o_orderkey, '*', 0, {_AB[2]}, {_AB[6]}, {_TURNED.format(f'{_AB[2]} * {_AB[6]}')} FROM orders),
+  n AS (SELECT id, op, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT DISTINCT id, op, length(rhs) AS w FROM e UNION ALL SELECT id, op, NULL FROM n),
+  t AS (SELECT *, lt.v AS x, rt.v AS y FROM (SELECT *, unnest([{{'n': 'id', 'c': 0, 'v': l}}, {{'n': 'rev', 'c': 1, 'v': reverse(l::VARCHAR)::BIGINT}}]) AS lt, [{{'n': 'id', 'c': 0, 'v': r}}, {{'n': 'rev', 'c': 1, 'v': reverse(r::VARCHAR)::BIGINT}}] AS rts FROM e), (SELECT unnest([1, 2]) AS z) AS zz, LATERAL (SELECT rts[z] AS rt)),
+  v AS (SELECT id, op, k, rhs, lt.n AS lt, rt.n AS rt, lt.c + rt.c + u.c AS c, u.n AS rule, u.v AS v FROM (SELECT *, unnest([{', '.join(f"{{'n': '{n}', 'c': {c}, 'v': ({e})::BIGINT}}" for n, (e, c) in _RULES_SQL.items())}]) AS u FROM t)),
+  near AS (SELECT * FROM v WHERE contains(rhs, abs(v)::VARCHAR) OR contains(rhs, reverse(abs(v)::VARCHAR))),
+  o AS (SELECT *, CASE WHEN v < 0 THEN '-' ELSE '' END AS s, {_DIGITS_SQL} AS d FROM near JOIN w USING (id, op)),
+  f AS (SELECT id, op, k, lt, rt, rule, w, c + u.c + (w IS NOT NULL)::INT AS c, u.n AS mode, rhs, u.t AS t FROM (SELECT *, unnest([{', '.join(f"{{'n': '{n}', 'c': {c}, 't': {e}}}" for n, (e, c) in _MODES_SQL.items())}]) AS u FROM o)),
+  g AS (SELECT id, op, lt, rt, rule, mode, w, c, count(*) AS hits FROM f WHERE t = rhs GROUP BY ALL)
+  SELECT id, op, count(*) AS n_candidates, min(c) AS least FROM g JOIN n USING (id, op) WHERE hits = n GROUP BY id, op""")
 def numeric_candidates(spark, sf_dir):
     found = numeric.candidates(_parsed(spark, sf_dir))
     return found.groupBy("id", "op").agg(F.count("*").alias("n_candidates"), F.min("complexity").alias("least"))
 
 
-@query()
+_A, _B = "((o_orderkey * 7) % 80 + 15)", "((o_orderkey * 11) % 80 + 12)"
+
+
+def _planted(spark, sf_dir, told: list[list[str]], ops: list[str]):
+    """A puzzle for each order: examples that leave one rule, chosen by the key, and a query of its own numbers."""
+    n = len(told)
+    pick = lambda values: "CASE " + " ".join(f"WHEN o_orderkey % {n} = {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+    prompt = f"concat({pick(['Rules' + chr(92) + 'n' + (chr(92) + 'n').join(t) for t in told])}, '\\nNow, determine the result for: ', {_A}, ' ', {pick(ops)}, ' ', {_B})"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{prompt} AS prompt").withColumn("p", numeric.parse(F.col("prompt")))
+    return rows.select("id", "p.examples", "p.query")
+
+
+_SUMS = ["17 + 25 = 42", "68 + 57 = 125", "39 + 84 = 123"]
+_PRODUCTS = ["13 * 27 = 351", "46 * 58 = 2668"]
+_BACK_SUMS = ["17 + 25 = 321", "68 + 57 = 161", "12 + 34 = 46"]  # operands and result reversed
+_MINUSES = ["91 # 28 = 63", "75 # 19 = 56", "23 # 57 = -34"]
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN ({_A} + {_B})::VARCHAR ELSE reverse((reverse({_A}::VARCHAR)::BIGINT + reverse({_B}::VARCHAR)::BIGINT)::VARCHAR) END AS prediction,
+  'high' AS confidence, 'examples' AS basis, 3 AS n_examples FROM orders""")
 def numeric_solve(spark, sf_dir):
-    return numeric.solve(_parsed(spark, sf_dir)).select("id", "prediction", "n_candidates", "confidence")
+    made = numeric.solve(_planted(spark, sf_dir, [_SUMS + _PRODUCTS, _BACK_SUMS], ["+", "+"]))
+    return made.select("id", "prediction", "confidence", "basis", "n_examples")
+
+
+@query(f"""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '-' || abs({_A} - {_B}) WHEN 1 THEN '/' || reverse(abs(reverse({_A}::VARCHAR)::BIGINT - reverse({_B}::VARCHAR)::BIGINT)::VARCHAR)
+  WHEN 2 THEN ({_A} * {_B})::VARCHAR ELSE ({_A} * {_B})::VARCHAR END AS prediction, 'medium' AS confidence, CASE WHEN o_orderkey % 4 < 2 THEN 'subtraction' ELSE 'motif' END AS basis FROM orders""")
+def numeric_absent(spark, sf_dir):
+    """Queries whose operator no example has: marked subtractions beside sums, products beside sums and differences."""
+    made = numeric.solve(_planted(spark, sf_dir, [_SUMS + _PRODUCTS, _BACK_SUMS, _SUMS + _MINUSES, _MINUSES + _SUMS], ["-", "/", "*", "@"]))
+    return made.select("id", "prediction", "confidence", "basis")
+
+
+@query(f"""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN ({_A} + {_B})::VARCHAR WHEN 1 THEN '-' || abs({_A} - {_B}) ELSE CASE WHEN {_A} < {_B} THEN '#' ELSE '' END || abs({_A} - {_B}) END AS prediction,
+  CASE o_orderkey % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS confidence, o_orderkey % 3 = 1 OR (o_orderkey % 3 = 2 AND {_A} < {_B}) AS used_fallback FROM orders""")
+def digit_solve(spark, sf_dir):
+    """The short scan, the whole search for an unseen operator, and the operator written for a minus sign."""
+    made = numeric.solve_by_scan(_planted(spark, sf_dir, [_SUMS, _SUMS + _PRODUCTS, _SUMS + ["75 # 19 = 56"]], ["+", "-", "#"]))
+    return made.select("id", "prediction", "confidence", "used_fallback")
 
 
-@query()
+@query(f"SELECT o_orderkey AS id, ({_A} + {_B})::VARCHAR AS prediction, 'x + y' AS rule, 'plain' AS mode FROM orders")
 def digit_scan(spark, sf_dir):
-    return numeric.scan(_parsed(spark, sf_dir)).select("id", "rank", "rule", "mode", "prediction")
+    return numeric.scan(_planted(spark, sf_dir, [_SUMS], ["+"])).select("id", "prediction", "rule", "mode")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '0134' ELSE '3401' END AS template,

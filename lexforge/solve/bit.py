@@ -70,10 +70,7 @@ def packed(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def _value() -> Column:
-    def bit(k: int) -> Column:
-        return F.coalesce(*[F.when(F.col(f"i{k}") == i, F.col(f"in{i}")) for i in range(8)])
-
-    a, b, c, d = map(bit, range(4))
+    a, b, c, d = map(F.col, "abcd")
     both, either, odd = a.bitwiseAND(b), a.bitwiseOR(b), a.bitwiseXOR(b)
     forms = {
         "C0": F.lit(0).cast("long"), "C1": F.lit(-1).cast("long"), "ID": a, "NOT": F.bitwise_not(a),
@@ -97,7 +94,10 @@ def candidates(puzzles: DataFrame, max_arity: int = 4, id_col: str = "id", inclu
     Of the gates that fit, those up to one input more than the fewest are kept.
     """
     spark = puzzles.sparkSession
-    met = packed(puzzles, id_col).crossJoin(F.broadcast(rules(spark, max_arity))).withColumn("v", _value())
+    met = packed(puzzles, id_col).crossJoin(F.broadcast(rules(spark, max_arity)))
+    # The gate's inputs by place, in columns of their own, so that no gate's form repeats the choice.
+    chosen = {x: F.get(F.array(*[f"in{i}" for i in range(8)]), F.col(f"i{k}")) for k, x in enumerate("abcd")}
+    met = met.withColumns(chosen).withColumn("v", _value())
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
     met = met.withColumn("told", F.col("v").bitwiseAND(mask))
     # Most gates give no output bit at all; only the others come to the arrays.
