@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexforge.functions.text import let, lines, strip, to_number
 
@@ -62,12 +66,34 @@ def rewards(text: Column, gold: Column) -> dict[str, Column]:
     return parts | {"total_reward": sum(parts.values(), F.lit(0.0))}
 
 
-def completion_text(completion: Column, depth: int = 3) -> Column:
-    """Text of a JSON completion: a string, an object with content, or a list of either (joined by newlines, stripped)."""
-    value = F.get_json_object(completion, "$.content") if depth else None
-    if not depth:
-        return F.coalesce(completion, F.lit(""))
-    items = F.from_json(completion, "array<string>")
-    inner = completion_text(value, depth - 1)
-    listed = strip(F.array_join(F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.content"), x)), "\n"))
-    return F.when(completion.isNull(), "").when(completion.startswith("["), listed).when(completion.startswith("{"), inner).otherwise(completion)
+def _flattened(value: object) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, dict):
+        return _flattened(value.get("content"))
+    if isinstance(value, list):
+        return "\n".join(map(_flattened, value)).strip()
+    return str(value)
+
+
+@F.pandas_udf(StringType())
+def _completions(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str:
+        if text is None or text[:1] not in "[{":
+            return text or ""
+        try:
+            return _flattened(json.loads(text))
+        except ValueError:
+            return text
+
+    return texts.map(one)
+
+
+def completion_text(completion: Column) -> Column:
+    """Text of a JSON completion of any nesting: a string, an object with content, or a list of either (joined by newlines, stripped).
+
+    A text that is no JSON object or list stands for itself, null for the empty text.
+    """
+    return _completions(completion)

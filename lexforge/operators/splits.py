@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.classify import SPLITS
+from lexforge.functions.text import blank
 
 
 def quotas(size: Column) -> list[Column]:
@@ -107,6 +108,15 @@ def from_json(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.explode(lists).alias("split", "ids")).select(F.explode("ids").alias("id"), "split")
 
 
+def assignment_problems(assignments: DataFrame, id_col: str = "id") -> DataFrame:
+    """(problem, id) of what an assignment file must not hold: blank ids, blank split names and ids that come twice."""
+    def named(df: DataFrame, problem: str) -> DataFrame:
+        return df.select(F.lit(problem).alias("problem"), F.col(id_col).cast("string").alias("id"))
+
+    twice = assignments.filter(~blank(F.col(id_col).cast("string"))).groupBy(id_col).count().filter("count > 1")
+    return named(assignments.filter(blank(F.col(id_col).cast("string"))), "blank id").unionByName(named(assignments.filter(blank(F.col("split"))), "blank split")).unionByName(named(twice, "duplicate"))
+
+
 def union(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
     """All parts' assignments; an id in two of them is an error when the result is read."""
     out = parts[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.classify import slugify
-from lexforge.functions.text import strip
+from lexforge.functions.text import blank, strip
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -19,6 +19,14 @@ def records(rows: DataFrame) -> DataFrame:
     return have.select(F.col("id").alias("problem_id"), "category", "source_mode", answer.alias("answer"), "_t.source_column", "_t.text", path.alias("path"))
 
 
+def problems(rows: DataFrame) -> DataFrame:
+    """(problem, id) of rows that can't be exported: a blank id, an id that comes twice, no trace."""
+    told = lambda df, what: df.select(F.lit(what).alias("problem"), F.col("id").cast("string").alias("id"))
+    bare = rows.filter(blank(F.col("generated_cot")) & blank(F.col("assistant_content")))
+    twice = rows.filter(~blank(F.col("id").cast("string"))).groupBy("id").count().filter("count > 1")
+    return told(rows.filter(blank(F.col("id").cast("string"))), "blank id").unionByName(told(twice, "duplicate id")).unionByName(told(bare, "no trace"))
+
+
 def check(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(path, issue) of files that are missing, differ or are extra."""
     a, b = expected.select("path", "text").alias("a"), found.select("path", "text").alias("b")

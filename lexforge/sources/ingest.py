@@ -58,12 +58,17 @@ def of_type(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def assignments_csv(spark: SparkSession, path: str, columns: list[str] = ["id", "split"]) -> DataFrame:  # noqa: B006
-    rows = read_csv(spark, path, columns)
-    return rows.select(strip(F.col("id")).alias("id"), strip(F.col("split")).alias("split")).filter(~blank(F.col("id")))
+    """(id, split) of a CSV file; a blank id, a blank split or an id that comes twice is an error."""
+    made = read_csv(spark, path, columns).select(strip(F.col("id")).alias("id"), strip(F.col("split")).alias("split"))
+    checks.assert_none(splits.assignment_problems(made), f"split assignments {path}")
+    return made
 
 
 def assignments_json(spark: SparkSession, path: str) -> DataFrame:
-    return splits.from_json(spark.read.text(path, wholetext=True))
+    """(id, split) of a JSON file, under the same contract."""
+    made = splits.from_json(spark.read.text(path, wholetext=True))
+    checks.assert_none(splits.assignment_problems(made), f"split assignments {path}")
+    return made
 
 
 def prepared(rows: DataFrame) -> DataFrame:

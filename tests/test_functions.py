@@ -42,6 +42,8 @@ def test_rewards_and_completions(spark):
     assert [round(r.total, 2) for r in df.select(parts["total_reward"].alias("total")).collect()] == [1.1, 0.08, 1.0]
     got = one(spark, ['[{"content": "a"}, {"content": " b "}]', '{"content": "c"}', "plain", None], scoring.completion_text)
     assert got == ["a\n b", "c", "plain", ""]
+    deep = one(spark, ['[[{"content": [{"content": "x"}, ["y", {"content": null}]]}], 3]', "[broken", "{}"], scoring.completion_text)
+    assert deep == ["x\ny\n3", "[broken", ""]
 
 
 def test_classification(spark):
