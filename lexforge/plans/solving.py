@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.solve import bit, cipher, formula, numeric, symbol
+from lexforge.solve import bit, cipher, encrypted, formula, numeric, symbol
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -265,3 +265,19 @@ def symbol_direct_template(spark, sf_dir):
       'Now, determine the result for: p', char(97 + o_orderkey % 26), '+rs') AS prompt"""
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", made).withColumn("p", symbol.parse(F.col("prompt")))
     return symbol.direct(rows.select("id", "p.examples", "p.query"))
+
+
+_SIGNS = "!@#$%^&*~?"
+_SECRET = [("57+84", "141"), ("93+26", "119"), ("18+40", "58"), ("36-72", "2592"), ("91-58", "5278")]
+
+
+def _encrypted(spark, sf_dir):
+    """A puzzle for each nation: sums and products (written with a minus) under one secret alphabet."""
+    told = ", ".join(f"named_struct('lhs', translate('{a[:2]}', '0123456789', '{_SIGNS}') || '{a[2]}' || translate('{a[3:]}', '0123456789', '{_SIGNS}'), 'rhs', translate('{b}', '0123456789', '{_SIGNS}'))" for a, b in _SECRET)
+    asked = f"translate(CAST(n_nationkey * 2 + 31 AS STRING), '0123456789', '{_SIGNS}') || '+' || translate(CAST(n_nationkey + 64 AS STRING), '0123456789', '{_SIGNS}')"
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", f"array({told}) AS examples", f"{asked} AS query")
+
+
+@query(f"SELECT n_nationkey AS id, translate((n_nationkey * 3 + 95)::VARCHAR, '0123456789', '{_SIGNS}') AS prediction FROM nation")
+def symbol_encrypted(spark, sf_dir):
+    return encrypted.solve(_encrypted(spark, sf_dir).repartition(8)).select("id", "prediction")
