@@ -19,8 +19,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node's larger neighbours, then its smaller ones, on the smallest neighbour;
     the rounds grow with the logarithm of the longest path. A round's edges go to
     the shared folder and the round before is deleted. Hubs are reduced by a
-    partial minimum, which is written, so that both sides of the joins are plain
-    exchanges and adaptive execution can split one where a hub holds most rows.
+    partial minimum, which is dealt once more, so that both sides of the joins are
+    plain exchanges and adaptive execution can split one where a hub holds most rows.
     Null ends and loops are ignored.
     """
     spark = edges.sparkSession
@@ -30,15 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _signature(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))
-        low = _shared.materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")).repartition("a")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = _shared.materialize(large.filter("a <> b").distinct(), "edges")
-        _shared.drop(low)
-        low = _shared.materialize(large.groupBy("a").agg(F.min("b").alias("low")), "low")
+        low = large.groupBy("a").agg(F.min("b").alias("low")).repartition("a")
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         new = _shared.materialize(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
-        for done in (now, large, low):
-            _shared.drop(done)
+        _shared.drop(now)
+        _shared.drop(large)
         was, seen, now = seen, _signature(new), new
         if was == seen:
             break
