@@ -244,8 +244,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     compared = {g for held in of_family.values() for t in held for g in t}
     zero = [0.0] * len(families)
     weights = _table(spark, [{"gram": g, "w": model.weights.get(g, zero), "held": g in compared} for g in sorted({*model.weights, *compared})], "gram:string,w:array<double>,held:boolean")
-    # A line without any gram of the model scores as its bias, which is no licence. Pairs count too: their first words stand in for them.
-    marks = sorted({g.split(" ")[0] for g in [*model.weights, *compared]})
+    # A line without any gram of the model scores as its bias, which is no licence. Every pair
+    # of the model has a word that the corpus seldom uses, and that word is in the model too.
+    marks = sorted(g for g in model.weights if " " not in g)
     marked = rf"(?<![a-z0-9]){_any_of(marks)}(?![a-z0-9])" if marks else r"(?!)"
     lines = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
     kept = F.filter(lines, lambda x: F.lower(x["line"]).rlike(marked))

@@ -35,7 +35,8 @@ def test_licences_that_the_fit_has_not_seen_are_unknown():
 def brute(texts):
     """What scan should say: runs of lines with a word of the model, their classes, and the best template's share."""
     compared = {g for f in lic.NAMES for t in lic.templates(f) for g in lic.grams(lic.tokens(t)) if " " in g or len(lic.tokens(t)) == 1}
-    marks = {g.split(" ")[0] for g in [*MODEL.weights, *compared]}
+    marks = {g for g in MODEL.weights if " " not in g}
+    assert all(" " not in g or marks & set(g.split(" ")) for g in MODEL.weights)
     out = []
     for i, t in texts:
         lines = (t or "").split("\n")
