@@ -93,3 +93,13 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::
        CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
 FROM d LEFT JOIN texts USING (rid)
 """
+
+EXACT = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id, length(coalesce(text, '')) AS chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY body ORDER BY chars DESC, doc_id NULLS FIRST, place)
+"""

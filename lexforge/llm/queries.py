@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, decontaminate, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, chat, decontaminate, exact, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -118,3 +118,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_licenses"] = op6_licenses
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(_table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES["op12_exact"] = op12_exact
+ORACLES["op12_exact"] = oracles.EXACT
