@@ -118,7 +118,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     """
     ordered = _sorted(docs, id_col, text_col, keep)
     made = StructType([ordered.schema["row"]])
-    for name, kind in (("doc_id", "long"), ("text_sha256", "string"), ("keep_id", "long"), ("keep_chars", "int"), ("group_size", "long"), ("kept", "boolean"), ("edge", "boolean"), ("partition", "int")):
+    for name, kind in (("doc_id", "long"), ("text_sha256", "string"), ("keep_id", "long"), ("keep_chars", "integer"), ("group_size", "long"), ("kept", "boolean"), ("edge", "boolean"), ("partition", "integer")):
         made = made.add(name, kind)
     pieces = _shared.materialize(ordered.mapInArrow(_compare, made), "pieces")
     # The first row of a piece stands for it: two rows a partition at most.
