@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, chat, decontaminate, exact, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, align, chat, decontaminate, exact, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -126,3 +126,13 @@ def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_exact"] = op12_exact
 ORACLES["op12_exact"] = oracles.EXACT
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(_table(spark, sf_dir, "documents"), *paths)
+
+
+QUERIES["op11_align"] = op11_align
