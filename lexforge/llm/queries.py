@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared, align, chat, decontaminate, exact, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc
+from lexforge.llm import _shared, align, chat, decontaminate, exact, licenses, lines, ngram, oracles, packing, quality, simhash, substring, warc, whitening
 
 #: The vocabulary file, found by the installed package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -136,3 +136,11 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_align"] = op11_align
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), most=8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+QUERIES["op13_whitening"] = op13_whitening
