@@ -3,21 +3,18 @@
 The search is a beam over assignments of digits to symbols, which no join can
 express. A puzzle's assignments are the rows of one matrix (a column for each
 symbol, -1 while it is open), so an example extends or refuses all of them at
-once. Puzzles go through in Arrow batches, each on its own; what a puzzle costs
-doesn't depend on the table.
+once. ``cascade`` decides between the searches.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 from itertools import permutations
+from math import perm
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Name, family, whether the operands' order matters; the place is the rank.
 RULES = (
@@ -38,8 +35,6 @@ PLAIN_MOTIFS = (
 )
 MOTIFS = PLAIN_MOTIFS + tuple((p, m) for m in ("last", "last_rev", "op_prefix_if_neg", "op_suffix_rev_if_neg") for p in PAIRINGS)
 MOTIF_RANK = {m: k for k, m in enumerate(MOTIFS)}
-SIGNED, LAST = ("AB_CD", "op_prefix_if_neg"), ("AB_CD", "last")
-RESCUE_STATES, LEAST_MAPPED = 80, 9
 OPEN, SIGN = -1, -2
 
 
@@ -63,9 +58,21 @@ def apply(rule: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return forms[rule]()
 
 
+def sized(value: np.ndarray, mode: str, length: int) -> np.ndarray:
+    """Where the mode can write a result in ``length`` places."""
+    if mode.startswith("last"):
+        return value >= 0
+    size = np.abs(value) if mode == "abs" or mode.startswith("op_") else value
+    least = 10 ** (length - 1) if length > 1 else 0
+    if mode.startswith("op_"):
+        least = np.where(value < 0, least // 10 if length > 2 else 1, least)
+        return (size >= least) & (size < np.where(value < 0, 10 ** (length - 1), 10**length))
+    return (size >= least) & (size < 10**length)
+
+
 def tokens(value: np.ndarray, mode: str, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The result's digits (or SIGN) in ``length`` places, and where the mode writes exactly so many."""
-    size = np.abs(value)
+    size = np.abs(value.astype(np.int64))
     digits = size[:, None] // 10 ** np.arange(length - 1, -1, -1, dtype=np.int64) % 10
     n_digits = np.ones(len(size), dtype=np.int64)
     for k in range(1, 9):
@@ -113,6 +120,22 @@ def best_of(found: list[Candidate]) -> list[Candidate]:
     return sorted(held.values(), key=lambda c: c.order)
 
 
+#: Expanded rows that are held at once.
+CHUNK_ROWS = 1 << 17
+#: Ways to give k symbols different ones of n digits.
+N_WAYS = np.array([[perm(n, k) for k in range(5)] for n in range(11)])
+
+
+@cache
+def _ways(n: int, k: int) -> np.ndarray:
+    return np.array(list(permutations(range(n), k)), dtype=np.int64)
+
+
+def in_order(states: np.ndarray) -> list[np.ndarray]:
+    """Sort keys, last one first: many symbols known, then the order of (symbol, digit) lists; an open symbol comes last."""
+    return [*np.where(states == OPEN, 99, states).T[::-1], -(states >= 0).sum(axis=1)]
+
+
 class Puzzle:
     def __init__(self, examples: list[tuple[str, str]], query: str):
         self.examples, self.query, self.operator = examples, query, query[2]
@@ -122,25 +145,43 @@ class Puzzle:
         self.groups: dict[str, list[tuple[str, str]]] = {}
         for lhs, rhs in examples:
             self.groups.setdefault(lhs[2], []).append((lhs, rhs))
+        self.same = self.groups.get(self.operator, [])
+        self.lengths = sorted({len(rhs) for _, rhs in self.same})
+        self.asked = sorted({query[k] for k in (0, 1, 3, 4)})
 
     def blank(self) -> np.ndarray:
-        return np.full((1, len(self.symbols)), OPEN, dtype=np.int64)
+        return np.full((1, len(self.symbols)), OPEN, dtype=np.int16)
 
     def completed(self, states: np.ndarray, lhs: str) -> np.ndarray:
         """The states with every way to give the open operand symbols of ``lhs`` unused digits."""
-        spots = sorted({self.place[lhs[k]] for k in (0, 1, 3, 4)})
-        out = []
-        for shape in np.unique(states >= 0, axis=0):
-            rows = states[((states >= 0) == shape).all(axis=1)]
+        return self.assigned(states, [lhs[k] for k in (0, 1, 3, 4)])[0]
+
+    def assigned(self, states: np.ndarray, symbols: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The states with every way to give ``symbols`` that are open unused digits, and the row each came from."""
+        spots = sorted({self.place[c] for c in symbols})
+        out, source = [states[:0]], [np.zeros(0, dtype=np.int64)]
+        known = states >= 0
+        alike = len(known) > 0 and bool((known == known[0]).all())
+        for shape in known[:1] if alike else np.unique(known, axis=0):
+            at = np.arange(len(known)) if alike else np.flatnonzero((known == shape).all(axis=1))
             opened = [s for s in spots if not shape[s]]
-            if len(opened) > 10 - int(shape.sum()):
+            n_free = 10 - int(shape.sum())
+            if len(opened) > n_free:
                 continue
-            free = np.array([[d for d in range(10) if d not in row] for row in rows.tolist()], dtype=np.int64).reshape(len(rows), -1)
-            ways = np.array(list(permutations(range(free.shape[1]), len(opened))), dtype=np.int64).reshape(-1, len(opened))
+            if not opened:
+                out.append(states[at])
+                source.append(at)
+                continue
+            rows = states[at]
+            taken = np.zeros((len(rows), 10), dtype=bool)
+            taken[np.arange(len(rows))[:, None], rows[:, shape]] = True
+            free = np.nonzero(~taken)[1].astype(np.int16).reshape(len(rows), n_free)
+            ways = _ways(n_free, len(opened))
             made = np.repeat(rows, len(ways), axis=0)
             made[:, opened] = free[:, ways].reshape(-1, len(opened))
             out.append(made)
-        return np.concatenate(out) if out else states[:0]
+            source.append(np.repeat(at, len(ways)))
+        return np.concatenate(out), np.concatenate(source)
 
     def operands(self, states: np.ndarray, lhs: str, pairing: str) -> tuple[np.ndarray, np.ndarray]:
         a, b, c, d = (states[:, self.place[lhs[k]]] for k in PAIRINGS[pairing])
@@ -148,11 +189,16 @@ class Puzzle:
 
     def accepted(self, states: np.ndarray, example: tuple[str, str], pairing: str, rule: str, mode: str) -> np.ndarray:
         """The states under which the rule gives the example, with what its right side tells."""
+        return self.met(states, example, pairing, rule, mode)[0]
+
+    def met(self, states: np.ndarray, example: tuple[str, str], pairing: str, rule: str, mode: str) -> tuple[np.ndarray, np.ndarray]:
+        """``accepted`` with the row that each state came from."""
         lhs, rhs = example
         value, defined = apply(rule, *self.operands(states, lhs, pairing))
-        written, ok = tokens(value, mode, len(rhs))
-        keep = np.flatnonzero(ok & defined)
-        states, written = states[keep].copy(), written[keep]
+        keep = np.flatnonzero(defined & sized(value, mode, len(rhs)))
+        written, ok = tokens(value[keep], mode, len(rhs))
+        keep, written = keep[ok], written[ok]
+        states = states[keep]
         used = np.where(states >= 0, 1 << np.maximum(states, 0), 0).sum(axis=1)
         good = np.ones(len(states), dtype=bool)
         for k, symbol in enumerate(rhs):
@@ -163,59 +209,108 @@ class Puzzle:
             good &= np.where(sign, (have == OPEN) & (symbol == lhs[2]), (have == digit) | fresh)
             states[fresh, self.place[symbol]] = digit[fresh]
             used |= np.where(fresh, bit, 0)
-        return states[good]
+        return states[good], keep[good]
+
+    def grown(self, states: np.ndarray, example: tuple[str, str], motif: tuple[str, str], rule: str) -> tuple[np.ndarray, np.ndarray]:
+        """All states that extend the given ones and give the example, and the row each came from; a bounded number of rows at a time."""
+        lhs = example[0]
+        spots = sorted({self.place[lhs[k]] for k in (0, 1, 3, 4)})
+        opened, free = (states[:, spots] < 0).sum(axis=1), 10 - (states >= 0).sum(axis=1)
+        ways = N_WAYS[free, opened]
+        cuts = np.searchsorted(np.cumsum(ways), np.arange(CHUNK_ROWS, int(ways.sum()) + CHUNK_ROWS, CHUNK_ROWS))
+        out, source = [states[:0]], [np.zeros(0, dtype=np.int64)]
+        for low, high in zip([0, *(cuts[:-1] + 1)], [*(cuts[:-1] + 1), len(states)]):
+            made, parent = self.assigned(states[low:high], [lhs[k] for k in (0, 1, 3, 4)])
+            made, at = self.met(made, example, motif[0], rule, motif[1])
+            out.append(made)
+            source.append(parent[at] + low)
+        return np.concatenate(out), np.concatenate(source)
 
-    def fits(self, examples: list[tuple[str, str]], motif: tuple[str, str], rules: tuple[str, ...], most: int) -> list[tuple[str, np.ndarray]]:
-        """For each rule that gives all examples its ``most`` best states: many symbols known first, then in order of symbols and digits."""
-        first = self.completed(self.blank(), examples[0][0])
+    def fits(self, examples: list[tuple[str, str]], motif: tuple[str, str], rules: tuple[str, ...], most: int, first: list[str] = ()) -> list[tuple[str, np.ndarray]]:
+        """For each rule that gives all examples its ``most`` best states: symbols of ``first`` known first, then many symbols known, then in order of symbols and digits."""
+        start = self.completed(self.blank(), examples[0][0])
+        early = [self.place[c] for c in first]
         out = []
         for rule in rules:
-            states = first
+            states = start
             for k, example in enumerate(examples):
-                states = self.accepted(states if k == 0 else self.completed(states, example[0]), example, *[motif[0], rule, motif[1]])
+                states = self.accepted(states, example, motif[0], rule, motif[1]) if k == 0 else self.grown(states, example, motif, rule)[0]
                 if not len(states):
                     break
-                shown = np.where(states == OPEN, 99, states)
-                states = states[np.lexsort([*shown.T[::-1], -(states >= 0).sum(axis=1)])][:most]
+                known = states >= 0
+                order = np.lexsort([*in_order(states), -known[:, early].sum(axis=1)])
+                states = states[order][:most]
             if len(states):
                 out.append((rule, states))
         return out
 
-    def answers(self, state: np.ndarray, motif: tuple[str, str], rule: str, lengths: list[int], unknowns: int) -> Iterator[tuple[str, int, int]]:
-        """(prediction, symbols known, symbols completed) for the query under a state."""
-        opened = {self.query[k] for k in (0, 1, 3, 4) if state[self.place[self.query[k]]] == OPEN}
-        if len(opened) > unknowns:
-            return
-        for row in self.completed(state[None, :], self.query) if opened else state[None, :]:
-            value, defined = apply(rule, *self.operands(row[None, :], self.query, motif[0]))
-            v = int(value[0])
-            if not defined[0]:
-                continue
-            own = len(str(abs(v)))
-            sized = {own + (v < 0 and motif[1].startswith("op_"))} if not motif[1].startswith("last") else {own, *(n for n in lengths if 1 <= n <= 4)}
-            symbol = {int(d): self.symbols[k] for k, d in enumerate(row) if d >= 0}
-            for length in sorted(sized):
-                written, ok = tokens(value, motif[1], length)
-                if not ok[0] or (SIGN in written[0] and self.operator in self.place and row[self.place[self.operator]] != OPEN):
-                    continue
-                text = [self.operator if t == SIGN else symbol.get(int(t)) for t in written[0]]
-                if None not in text:
-                    yield "".join(text), int((row >= 0).sum()), len(opened)
+    def answers(self, states: np.ndarray, motif: tuple[str, str], rule: str, lengths: list[int], unknowns: int, least: int = 0) -> list[tuple[int, str, int, int]]:
+        """(row of ``states``, prediction, symbols known, symbols completed): the query under each state, one for each prediction, with least completed and most known.
+
+        Up to ``unknowns`` open symbols of the query are given every unused digit; results with fewer than ``least`` known symbols don't count.
+        """
+        opened = (states[:, [self.place[c] for c in self.asked]] < 0).sum(axis=1)
+        use = np.flatnonzero(opened <= unknowns)
+        rows, source = self.assigned(states[use], self.asked)
+        mapped = (rows >= 0).sum(axis=1)
+        value, defined = apply(rule, *self.operands(rows, self.query, motif[0]))
+        keep = np.flatnonzero(defined & (mapped >= least))
+        rows, value, mapped, source = rows[keep], value[keep], mapped[keep], use[source[keep]]
+        symbol_of = np.full((len(rows), 10), -1)
+        at, spot = np.nonzero(rows >= 0)
+        symbol_of[at, rows[at, spot]] = spot
+        signed = rows[:, self.place[self.operator]] == OPEN if self.operator in self.place else np.ones(len(rows), dtype=bool)
+        best: dict[str, tuple] = {}
+        own = np.array([len(str(v)) for v in np.abs(value).tolist()], dtype=np.int64) + ((value < 0) if motif[1].startswith("op_") else 0)
+        more = {n for n in lengths if 1 <= n <= 4} if motif[1].startswith("last") else set()
+        for length in sorted({*own.tolist(), *more}):
+            some = np.flatnonzero((own == length) | (length in more))
+            written, ok = tokens(value[some], motif[1], length)
+            some, written = some[ok], written[ok]
+            sign = written == SIGN
+            letters = np.where(sign, len(self.symbols), symbol_of[some[:, None], np.maximum(written, 0)])
+            good = (letters >= 0).all(axis=1) & (signed[some] | ~sign.any(axis=1))
+            some, letters = some[good], letters[good]
+            order = np.lexsort((some, -mapped[some], opened[source[some]]))
+            _, first = np.unique(letters[order], axis=0, return_index=True)
+            for k in order[first].tolist():
+                text = "".join([*self.symbols, self.operator][c] for c in letters[k].tolist())
+                row = int(some[k])
+                told = (int(opened[source[row]]), -int(mapped[row]), row)
+                best[text] = min(told, best.get(text, told))
+        return [(int(source[row]), text, -known, completed) for text, (completed, known, row) in best.items()]
+
+    def gaps(self, state: np.ndarray, motif: tuple[str, str], rule: str) -> set[int]:
+        """Digits that the query's result takes and no symbol has, where all its operands are known."""
+        if any(state[self.place[c]] == OPEN for c in self.asked):
+            return set()
+        value, defined = apply(rule, *self.operands(state[None, :], self.query, motif[0]))
+        missing: set[int] = set()
+        for length in self.sizes(int(value[0]), motif[1], self.lengths) if defined[0] else ():
+            written, ok = tokens(value, motif[1], length)
+            if ok[0]:
+                missing |= {int(t) for t in written[0] if t != SIGN} - set(state[state >= 0].tolist())
+        return missing
+
+    @staticmethod
+    def sizes(value: int, mode: str, lengths: list[int]) -> list[int]:
+        """The lengths in which a result may be written."""
+        own = len(str(abs(value)))
+        if mode.startswith("last"):
+            return sorted({own, *(n for n in lengths if 1 <= n <= 4)})
+        return [own + (value < 0 and mode.startswith("op_"))]
 
     def same_operator(self, rules: str = "asymmetric", motifs: tuple = PLAIN_MOTIFS, most: int = 120, unknowns: int = 0) -> list[Candidate]:
         """Candidates from the query operator's examples alone, of which there must be two."""
-        same = self.groups.get(self.operator, [])
+        same = self.same
         if len(same) < 2:
             return []
-        lengths = sorted({len(rhs) for _, rhs in same})
-        found = {}
+        found = []
         for motif in motifs:
             for rule, states in self.fits(same, motif, BANKS[rules], most):
-                for state in states:
-                    for prediction, mapped, completed in self.answers(state, motif, rule, lengths, unknowns):
-                        c = Candidate(prediction, *motif, rule, True, len(same), mapped, completed, ((self.operator, rule),))
-                        found[c] = c
-        return best_of(list(found))
+                for _, prediction, mapped, completed in self.answers(states, motif, rule, self.lengths, unknowns):
+                    found.append(Candidate(prediction, *motif, rule, True, len(same), mapped, completed, ((self.operator, rule),)))
+        return best_of(found)
 
     def merged(self, partial: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The joins of one state with many, and which of those agree and keep digits apart."""
@@ -230,7 +325,7 @@ class Puzzle:
             return []
         lengths = sorted({len(rhs) for _, rhs in self.groups.get(self.operator, self.examples)})
         names = sorted(RANK)
-        found = {}
+        found = []
         for motif in motifs:
             fits = {}
             for op, examples in self.groups.items():
@@ -257,70 +352,13 @@ class Puzzle:
                 partials = [(made[k], chosen[k]) for k in best]
                 if not partials:
                     break
-            for state, told in partials:
+            by_rule: dict[str, list[int]] = {}
+            for k, (_, told) in enumerate(partials):
                 rule = told.get(self.operator) or next((n for n, _, a in RULES if a and n in BANKS[rules] and n not in told.values()), None)
-                if rule is None:
-                    continue
-                for prediction, mapped, completed in self.answers(state, motif, rule, lengths, unknowns):
-                    c = Candidate(prediction, *motif, rule, self.operator in told, len(self.groups.get(self.operator, [])), mapped, completed, tuple(sorted(told.items())))
-                    found[c] = c
-        return best_of(list(found))
-
-    def _rescued(self, motif: tuple[str, str], trusted: Callable[[Candidate, set[str]], bool]) -> list[Candidate]:
-        made = self.all_operators("core", (motif,), RESCUE_STATES, RESCUE_STATES, least=1)
-        return [c for c in made if not any(r.startswith("concat(") for _, r in c.rules) and c.mapped >= LEAST_MAPPED and trusted(c, {FAMILY[r] for _, r in c.rules})]
-
-    def signed(self) -> list[Candidate]:
-        """Candidates where the operator shows as a sign in some example; sums alone are not trusted."""
-        if not any(rhs.startswith(lhs[2]) for lhs, rhs in self.examples):
-            return []
-        return self._rescued(SIGNED, lambda c, families: families != {"add"} and (c.rule != "x * y - 1" or c.mapped == 10))
-
-    def last_digits(self) -> list[Candidate]:
-        """Candidates where results are cut to their last digits: one example of the operator, helpers of other families."""
-        others = [rhs for lhs, rhs in self.examples if lhs[2] != self.operator]
-        if len(self.groups.get(self.operator, [])) != 1 or max(map(len, others), default=0) < 3:
-            return []
-        return self._rescued(LAST, lambda c, families: FAMILY[c.rule] in ("add", "mul") and families not in ({"add"}, {"mul"}))
-
-
-def solve_one(examples: list[tuple[str, str]], query: str, unknowns: int = 0) -> tuple[str | None, str, str, int, list[str]]:
-    """(prediction, confidence, method, candidates, predictions) of a puzzle that no direct template answers.
-
-    In order: a sign marked by the operator, the operator's own examples, all
-    operators together, last digits. Each answers only where all its candidates agree.
-    """
-    puzzle = Puzzle(examples, query)
-    last = (None, "none", "no_rule", 0, [])
-    steps = (
-        ("signed_marker", puzzle.signed), ("same_operator", lambda: puzzle.same_operator(unknowns=unknowns)),
-        ("all_operators", lambda: puzzle.all_operators(unknowns=unknowns)), ("last_digits", puzzle.last_digits),
-    )
-    for method, step in steps:
-        found = step()
-        told = sorted({c.prediction for c in found})
-        if len(told) == 1:
-            sure = method == "same_operator" or (method != "last_digits" and found[0].mapped == 10)
-            return told[0], "high" if sure else "medium", method, len(found), told
-        if told:
-            last = (None, "ambiguous", method, len(found), told)
-    return last
-
-
-def _solver(unknowns: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                told = json.loads(batch.column("examples")[i].as_py())
-                row = solve_one([(e["lhs"], e["rhs"]) for e in told], batch.column("query")[i].as_py(), unknowns)
-                arrays = [batch.column("id").slice(i, 1), *(pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "prediction", "confidence", "method", "n_candidates", "predictions"])
-
-    return run
-
-
-def solve(puzzles: DataFrame, id_col: str = "id", unknowns: int = 0) -> DataFrame:
-    """(id, prediction, confidence, method, n_candidates, predictions) of puzzles (id, examples lhs and rhs, query); null prediction where candidates disagree or there is none."""
-    own = puzzles.select(F.col(id_col).alias("id"), F.to_json("examples").alias("examples"), "query")
-    kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(_solver(unknowns), f"id {kind}, prediction string, confidence string, method string, n_candidates int, predictions array<string>")
+                if rule is not None:
+                    by_rule.setdefault(rule, []).append(k)
+            for rule, at in by_rule.items():
+                for row, prediction, mapped, completed in self.answers(np.stack([partials[k][0] for k in at]), motif, rule, lengths, unknowns):
+                    told = partials[at[row]][1]
+                    found.append(Candidate(prediction, *motif, rule, self.operator in told, len(self.same), mapped, completed, tuple(sorted(told.items()))))
+        return best_of(found)

@@ -24,8 +24,13 @@ def at(text: Column, positions: tuple[int, ...]) -> Column:
     return F.concat(*[F.substring(text, p + 1, 1) for p in positions])
 
 
-def direct(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, template, prediction, confidence) of the first template that all examples with the query's operator follow."""
+def whole(p: Column) -> Column:
+    """Whether a puzzle (examples, query) can be read."""
+    return F.coalesce((F.length(p["query"]) == 5) & F.exists(p["examples"], lambda e: F.coalesce(F.length(e["lhs"]) == 5, F.lit(False))), F.lit(False))
+
+
+def direct_answer(puzzle: Column) -> Column:
+    """(template, prediction, confidence) of the first template that all examples with the query's operator follow, or null."""
     def of(p: Column) -> Column:
         same = F.filter(p["examples"], lambda e: F.substring(e["lhs"], 3, 1) == F.substring(p["query"], 3, 1))
         return let(same, lambda own: named(p["query"], own))
@@ -38,5 +43,10 @@ def direct(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
         return F.when(F.size(own) > 0, F.coalesce(*tries))
 
     # Bound once: the columns may be a parse of the prompt, which the optimiser would copy into every use.
-    answer = let(F.struct("examples", "query"), of)
+    return let(puzzle, of)
+
+
+def direct(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, template, prediction, confidence) of the puzzles that a template answers."""
+    answer = direct_answer(F.struct("examples", "query"))
     return puzzles.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(answer))).alias("r")).select("id", "r.*")

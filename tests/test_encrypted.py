@@ -66,14 +66,14 @@ def test_states_against_every_assignment(seed):
     assert puzzle.fits(examples[:1], ("AB_CD", "raw"), ("x + y",), 3)[0][1].tolist() == alone[:3].tolist()
 
 
-def test_known_puzzles(spark):
-    signs = dict(zip("0123456789", "!@#$%^&*~?"))
-    enc = lambda t: "".join(signs.get(c, c) for c in t)
-    sums = [(enc(a), enc(b)) for a, b in (("57+84", "141"), ("93+26", "119"), ("18+40", "58"), ("36-72", "2592"))]
-    marked = [(enc(a), b[:1] + enc(b[1:]) if b[0] == "-" else enc(b)) for a, b in (("23-57", "-34"), ("98-16", "82"), ("40-75", "-35"), ("36*72", "2592"), ("58*91", "5278"))]
-    rows = [(1, sums, enc("46+75")), (2, marked, enc("15-48")), (3, [(enc("12/34"), enc("7"))], enc("56+78"))]
-    df = spark.createDataFrame(rows, "id int, examples array<struct<lhs string, rhs string>>, query string")
-    got = {r.id: r for r in e.solve(df).collect()}
-    assert (got[1].prediction, got[1].method) == (enc("121"), "all_operators") and (got[2].prediction, got[2].method) == ("-" + enc("33"), "signed_marker")
-    assert (got[3].prediction, got[3].method, got[3].confidence) == (None, "no_rule", "none")
-    assert e.solve(df.limit(0)).count() == 0
+def test_repeated_examples_and_random_puzzles_never_fail():
+    puzzle = e.Puzzle([("ab+cd", "ef"), ("ab+cd", "ef"), ("ba+dc", "fe")], "ab+cd")
+    assert puzzle.same_operator() and all(c.prediction == "ef" for c in puzzle.same_operator())
+    rng = random.Random(0)
+    for _ in range(15):
+        text = lambda n, own: "".join(rng.choices(own, k=n))
+        own = "abcdefghijkl"[: rng.randint(2, 12)]
+        examples = [(text(2, own) + rng.choice("+-") + text(2, own), text(rng.randint(1, 5), own)) for _ in range(rng.randint(1, 4))]
+        puzzle = e.Puzzle(examples + examples[:1], text(2, own) + "+" + text(2, own))
+        puzzle.same_operator("core", e.PLAIN_MOTIFS[:3], 50)
+        puzzle.all_operators("core", e.PLAIN_MOTIFS[:3], 50, 50, least=1)
