@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.solve import bit, cipher, encrypted, formula, numeric, symbol
+from lexforge.solve import bit, cascade, cipher, formula, numeric, symbol
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -280,4 +280,40 @@ def _encrypted(spark, sf_dir):
 
 @query(f"SELECT n_nationkey AS id, translate((n_nationkey * 3 + 95)::VARCHAR, '0123456789', '{_SIGNS}') AS prediction FROM nation")
 def symbol_encrypted(spark, sf_dir):
-    return encrypted.solve(_encrypted(spark, sf_dir).repartition(8)).select("id", "prediction")
+    return cascade.solve(_encrypted(spark, sf_dir)).select("id", "prediction")
+
+
+# Equations in digits, the query, what it should give, and which search tells it.
+_CASES = (
+    (["12/34 = 1234", "57/96 = 5796", "11+12 = 23"], "46/75", "4675", "high", "direct_template_0134"),
+    (["12/34 = 3412", "11+12 = 23"], "46/75", "7546", "medium", "direct_template_3401"),
+    (["23-57 = -34", "98-16 = 82", "40-75 = -35", "36*72 = 2592", "58*91 = 5278"], "15-48", "-33", "high", "signed_operator_marker_global_unique"),
+    (["06/44 = 902", "72*11 = 5892", "78/42 = 931", "49+74 = 2", "77+72 = 1", "61*61 = 9241"], "86+63", "1", "high", "encrypted_digit_transform_unique"),
+    (["07-20 = 574", "11+80 = 8502", "41+17 = 1924", "32+29 = 2595", "52-03 = 664"], "09-75", "464", "high", "same_operator_map_completion_unique"),
+    (["45-52 = 15", "41#89 = 636", "87*94 = 3327", "47-53 = 16", "81#09 = 236"], "64*90", "9649", "medium", "same_operator_map_completion_unique"),
+    (["01-87 = 444", "50-39 = 254", "51*20 = 35", "11#68 = 6853", "90*75 = 34"], "73#29", "8053", "medium", "guarded_min1_global_consistency_unique"),
+    (["45+32 = 8717", "81+71 = 8260", "50+12 = 4438"], "56+68", "8132", "high", "same_operator_global_consistency_unique"),
+    (["84+67 = 881", "94+04 = 411", "90@49 = 4243", "95#25 = 4", "34@71 = 8361", "87#30 = 0"], "65#72", "1", "medium", "length1_subtraction_rescue_unique"),
+    (["41#62 = 740", "25*72 = 4548", "61*74 = 5719", "28#61 = 590"], "42#60", None, "ambiguous", "same_operator_encrypted_digit_transform_ambiguous"),
+    (["47#05 = 8732", "56#86 = 5416"], "41#52", None, "ambiguous", "encrypted_digit_transform_ambiguous"),
+    (["14@86 = 9063", "16@77 = 9018", "79@50 = 9034"], "79@20", None, "none", "no_rule"),
+)
+#: Symbols that stand for digits: for each key other ten of these in another order.
+_SYMBOLS = "!$%&?^_|~:;<>ABCDEFG"
+_SECRET_OF = " || ".join(f"substr('{_SYMBOLS}', CAST(1 + ((CASE (s_suppkey % 4) WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 9 END) * {d} + s_suppkey) % 20 AS INT), 1)" for d in range(10))
+
+
+def _case(values) -> str:
+    told = ["NULL" if v is None else f"'{v}'" for v in values]
+    return f"CASE s_suppkey % {len(told)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(told)) + " END"
+
+
+@query(f"""SELECT s_suppkey AS id, translate({_case(c[2] for c in _CASES)}, '0123456789', {_SECRET_OF}) AS prediction, {_case(c[3] for c in _CASES)} AS confidence,
+  {_case(c[4] for c in _CASES)} AS method FROM supplier""")
+def symbol_solve(spark, sf_dir):
+    """A puzzle for each supplier, of one of twelve kinds and under a secret alphabet of its own, from the prompt to the answer."""
+    told = f"translate({_case((chr(92) + 'n').join(c[0]) for c in _CASES)}, '0123456789', {_SECRET_OF})"
+    asked = f"translate({_case(c[1] for c in _CASES)}, '0123456789', {_SECRET_OF})"
+    prompt = f"concat('Rules\\n', {told}, '\\nNow, determine the result for: ', {asked})"
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", f"{prompt} AS prompt").withColumn("p", symbol.parse(F.col("prompt")))
+    return cascade.solve(rows.select("id", "p.examples", "p.query")).select("id", "prediction", "confidence", "method")

@@ -510,7 +510,7 @@ def _solver(options: Options):
     return run
 
 
-def solve(puzzles: DataFrame, id_col: str = "id", options: Options = Options(), rows_per_task: int = 32) -> DataFrame:
+def solve(puzzles: DataFrame, id_col: str = "id", options: Options = Options(), rows_per_task: int = 4) -> DataFrame:
     """(id, prediction, confidence, method, n_candidates, predictions, pairing, mode, rule, rules, mapped, note) of puzzles (id, examples lhs and rhs, query).
 
     Direct templates first, then the searches; null prediction where candidates
