@@ -12,7 +12,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -68,5 +69,10 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def text_marks(text: Column) -> list[Column]:
+    """A 128-bit hash of a text: with the id it names a row, and rows that share both are the same to any dedup."""
+    return [F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2")]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,22 +31,23 @@ from lexforge.llm import _shared
 
 NULL_ID = -(1 << 63)
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
-KEY = ["doc_id", "n"]
+#: A row, by its id and its text.
+KEY = ["doc_id", "t1", "t2"]
 
 
 def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, words: bool = False) -> DataFrame:
-    """(doc_id, n, pos, a, b): every line with a word, its place among the ``n`` such lines and its 128-bit name.
+    """(doc_id, t1, t2, pos, a, b): every line with a word of rows with ``min_lines`` such lines, its place among them and its 128-bit name.
 
-    With ``words`` also the number of words of the run that is named (``w``) and of its last line (``v``).
+    Rows with one id and one text stand once: they have the same places and the same copies. With ``words`` also the number of words of the run that is named (``w``) and of its last line (``v``).
     """
     lines = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike(_WORD.pattern))
     count = lambda x: F.size(F.filter(F.split(F.regexp_replace(x, r"[\x09-\x0D]", " "), " "), lambda y: y != ""))
     name = lambda x: [F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), *([count(x).alias("w")] if words else [])]
     names = F.transform(lines, lambda x: F.struct(*name(x)))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), names.alias("names"))
-    rows = own.select("doc_id", F.size("names").alias("n"), F.posexplode("names").alias("pos", "name"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), *_shared.text_marks(F.col(text_col).cast("string")), names.alias("names"))
+    rows = own.filter(F.size("names") >= min_lines).select(*KEY, F.posexplode("names").alias("pos", "name"))
     more = [F.col("name.w"), F.col("name.w").alias("v")] if words else []
-    return rows.filter(F.col("n") >= min_lines).select("doc_id", "n", "pos", "name.a", "name.b", *more)
+    return rows.select(*KEY, "pos", "name.a", "name.b", *more).distinct()
 
 
 def intervals(named: DataFrame) -> DataFrame:
@@ -58,19 +59,18 @@ def intervals(named: DataFrame) -> DataFrame:
 def _paired(left: DataFrame, step: int) -> DataFrame:
     """Names of twice the length (or of ``step`` more lines): each suffix with the one ``step`` lines further on."""
     words = "w" in left.columns
-    right = left.select("doc_id", "n", (F.col("pos") - step).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), *([F.col("v").alias("v2")] if words else []))
+    right = left.select(*KEY, (F.col("pos") - step).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"), *([F.col("v").alias("v2")] if words else []))
 
     def name(c: str) -> Column:
         return F.xxhash64(c, f"{c}2").alias(c)
 
-    # Rows that share an id and a line count meet themselves and each other here; distinct leaves one of each name.
     # Only names that grow by one line carry words, so the last line's are what is added.
     more = [(F.col("w") + F.col("v2")).alias("w"), F.col("v2").alias("v")] if words else []
-    return left.join(right, [*KEY, "pos"]).select(*KEY, "pos", name("a"), name("b"), *more).distinct()
+    return left.join(right, [*KEY, "pos"]).select(*KEY, "pos", name("a"), name("b"), *more)
 
 
 def repeated_starts(docs: DataFrame, min_lines: int, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
-    """(doc_id, n, pos, len, first): starts of runs of ``min_lines`` lines that also start earlier, at ``first``.
+    """(doc_id, t1, t2, pos, len, first): starts of runs of ``min_lines`` lines that also start earlier, at ``first``.
 
     With ``min_words`` also of shorter runs that hold so many words.
     """
@@ -107,11 +107,10 @@ def _deleter():
                 lines = (text or "").split("\n")
                 content = [i for i, x in enumerate(lines) if _WORD.search(x)]
                 edge = np.zeros(len(content) + 1, dtype=np.int32)
-                for f in found or []:
-                    if f["n"] == len(content):
-                        at = np.array([(x["pos"], x["len"]) for x in f["starts"]], dtype=np.int64)
-                        np.add.at(edge, at[:, 0], 1)
-                        np.add.at(edge, at.sum(axis=1), -1)
+                if found:
+                    at = np.array([(x["pos"], x["len"]) for x in found], dtype=np.int64)
+                    np.add.at(edge, at[:, 0], 1)
+                    np.add.at(edge, at.sum(axis=1), -1)
                 gone = {content[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] > 0).tolist()}
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
                 out.append((len(content), len(gone), kept))
@@ -129,17 +128,18 @@ def dedup(
 
     Lines are cut at ``\\n`` and compared exactly; lines without a word are not
     part of runs and stay. Null text stays null and has no lines. A null id is the
-    smallest. Rows that share an id stand at the same place, so neither is a later
-    copy of the other; of rows with one id and one number of lines a deletion holds for all.
+    smallest. Rows that share an id stand at the same place: a run is a later copy of one that begins
+    further up in another of them, and of runs at one place neither is. Deletions hold for the rows they were found in alone.
     A run is deleted from ``min_lines`` lines on or, if given, from ``min_words`` words on.
     """
     starts = repeated_starts(docs, min_lines, id_col, text_col, min_words)
-    by_doc = starts.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "len")).alias("starts")).groupBy("doc_id").agg(F.collect_list(F.struct("n", "starts")).alias("later"))
+    by_doc = starts.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "len")).alias("later"))
     row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), *_shared.text_marks(text), row.alias("row"), text.alias("text"))
     kind = own.schema["row"].dataType.simpleString()
     # The deletions grow with the corpus, so they are never broadcast.
-    joined = own.join(by_doc.hint("merge"), "doc_id", "left").select("row", "text", "later")
+    joined = own.join(by_doc.hint("merge"), KEY, "left").select("row", "text", "later")
     done = joined.mapInArrow(_deleter(), f"row {kind}, n_lines long, n_removed long, kept string")
     return done.select("row.*", "n_lines", "n_removed", "kept")
 

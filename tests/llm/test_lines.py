@@ -38,6 +38,18 @@ def test_against_brute_force(spark):
         assert got == plain(rows, size), size
 
 
+def test_rows_that_share_an_id_lose_only_their_own_copies(spark):
+    """Null and repeated ids, equal numbers of lines, whole rows repeated."""
+    three = [(1, "a\nb\nc", "x"), (2, "a\nb\nc\nx\ny", "x"), (2, "p\nq\nr\ns\nt", "x")]
+    rng = random.Random(8)
+    many = [(rng.choice([None, None, 1, 2]), "\n".join(rng.choices("abcdefgh", k=rng.choice([4, 4, 5]))), "x") for _ in range(120)]
+    for rows in (three, many + many[:30], [(None, "u\nv\nw\nz", "x")] * 50 + [(None, "k\nl\nm\nn", "x"), (3, "u\nv\nw", "x")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, later string")
+        assert sorted((tuple(r) for r in lines.dedup(df, 3).collect()), key=str) == plain(rows, 3)
+    df = spark.createDataFrame([(None, "u\nv\nw\nz", "x")] * 50, "doc_id long, text string, later string")
+    assert lines.suffixes(df).count() == 4
+
+
 def test_documents_keep_their_columns(spark):
     rows = [(1, "a\nb\nc\nmine", "en", 10), (2, "a\nb\nc", "en", 5), (3, "a\nb\nc\n\nother", "fr", 12), (4, None, "fr", None), (5, "", "fr", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string, n_chars int")
