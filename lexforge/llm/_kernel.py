@@ -128,15 +128,8 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def places(column: pa.Array, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Word places, over all rows, of an array<struct<n_words, starts>> column; entries for another word count are left out."""
+def places(column: pa.Array, first: np.ndarray) -> np.ndarray:
+    """Word places, over all rows, of a column of lists of starts."""
     per_row = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    entries = column.flatten()
-    if not len(entries):
-        return np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(per_row)), per_row)
-    n, starts = entries.flatten()
-    fits = n.to_numpy(zero_copy_only=False) == words[row]
-    sizes = starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    at = starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(first[row], sizes)
-    return at[np.repeat(fits, sizes)]
+    starts = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return starts + np.repeat(first[: len(per_row)], per_row)

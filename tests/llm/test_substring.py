@@ -41,6 +41,16 @@ def test_against_brute_force(spark):
     check(spark, rows, 20)
 
 
+def test_rows_that_share_an_id_lose_only_their_own_copies(spark):
+    """Null and repeated ids, equal numbers of words, whole rows repeated."""
+    w = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    check(spark, [(1, w("a", 25)), (2, w("a", 25) + " " + w("b", 15)), (2, w("c", 40))], 20)
+    rng = random.Random(6)
+    parts = [w(f"p{k}x", 25) for k in range(6)]
+    many = [(rng.choice([None, None, 1, 2]), " ".join(rng.sample(parts, 2) if rng.random() < 0.5 else [w(f"own{k}x", 50)])) for k in range(80)]
+    check(spark, many + many[:20] + [(None, parts[0])] * 30, 20)
+
+
 def test_many_buckets_and_batches(spark, monkeypatch):
     monkeypatch.setattr(substring, "BUCKET_ENTRIES", 200)
     monkeypatch.setattr(substring, "BATCH_BYTES", 2000)
