@@ -163,8 +163,13 @@ def _equations(spark, sf_dir):
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{prompt} AS prompt")
 
 
+def _spread(rows):
+    """A prompt costs far more than the bytes that split a scan, so prompts are dealt to all cores."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _parsed(spark, sf_dir):
-    return _equations(spark, sf_dir).withColumn("p", numeric.parse(F.col("prompt"))).filter("p IS NOT NULL").select("id", "p.examples", "p.query")
+    return numeric.puzzles(_spread(_equations(spark, sf_dir)))
 
 
 _AB = [f"((o_orderkey * {m} + {k * 13}) % 90 + 10)" for m in (7, 11) for k in range(4)]
@@ -219,8 +224,7 @@ def _planted(spark, sf_dir, told: list[list[str]], ops: list[str]):
     n = len(told)
     pick = lambda values: "CASE " + " ".join(f"WHEN o_orderkey % {n} = {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
     prompt = f"concat({pick(['Rules' + chr(92) + 'n' + (chr(92) + 'n').join(t) for t in told])}, '\\nNow, determine the result for: ', {_A}, ' ', {pick(ops)}, ' ', {_B})"
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{prompt} AS prompt").withColumn("p", numeric.parse(F.col("prompt")))
-    return rows.select("id", "p.examples", "p.query")
+    return numeric.puzzles(_spread(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{prompt} AS prompt")))
 
 
 _SUMS = ["17 + 25 = 42", "68 + 57 = 125", "39 + 84 = 123"]

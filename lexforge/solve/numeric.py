@@ -1,12 +1,12 @@
 """Digit equations: which rule turns two operands into the right-hand side.
 
-The rule space is a table (operand transforms x base rules x output modes), met with
-each operator's examples of a puzzle; widths come from the examples.
+Every distinct equation is met with the rule space once (operand transforms x base rules; output modes and widths are
+read off its right-hand side), and puzzles join what was met by equation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import let, strip
@@ -48,17 +48,25 @@ EXAMPLE = "struct<left:string,op:string,right:string,rhs:string>"
 
 def parse(prompt: Column) -> Column:
     """(examples, query) of a prompt, operands as text; null unless every left-hand side and the query are equations."""
-    side = r"([^\n=]+?)\s*=\s*([^\n]+)"
-    lhs = F.transform(F.regexp_extract_all(prompt, F.lit(side), F.lit(1)), strip)
-    rhs = F.transform(F.regexp_extract_all(prompt, F.lit(side), F.lit(2)), strip)
+    pairs = F.transform(F.regexp_extract_all(prompt, F.lit(r"[^\n=]+\s*=\s*[^\n]+"), F.lit(0)), lambda t: F.struct(strip(F.substring_index(t, "=", 1)).alias("l"), strip(F.substr(t, F.instr(t, "=") + 1)).alias("r")))
     asked = strip(F.regexp_extract(prompt, r"(?i)determine the result for:\s*([^\n]+)", 1))
 
     def equation(text: Column, value: Column) -> Column:
         return F.struct(*[F.regexp_extract(text, _EQUATION, k).alias(n) for k, n in enumerate(("left", "op", "right"), 1)], value.alias("rhs"))
 
-    ok = (F.size(lhs) > 0) & F.forall(lhs, lambda t: t.rlike(_EQUATION)) & asked.rlike(_EQUATION)
-    pairs = F.transform(F.arrays_zip(lhs.alias("l"), rhs.alias("r")), lambda z: equation(z["l"], z["r"]))
-    return F.when(ok, F.struct(pairs.alias("examples"), equation(asked, F.lit("")).alias("query")))
+    def of(m: Column) -> Column:
+        ok = (F.size(m["pairs"]) > 0) & F.forall(m["pairs"], lambda z: z["l"].rlike(_EQUATION)) & m["asked"].rlike(_EQUATION)
+        return F.when(ok, F.struct(F.transform(m["pairs"], lambda z: equation(z["l"], z["r"])).alias("examples"), equation(m["asked"], F.lit("")).alias("query")))
+
+    # Bound once: the prompt is read by two patterns whatever is made of them.
+    return let(F.struct(pairs.alias("pairs"), asked.alias("asked")), of)
+
+
+def puzzles(prompts: DataFrame, id_col: str = "id", prompt_col: str = "prompt") -> DataFrame:
+    """(id, examples, query) of the prompts that are such puzzles, each read once."""
+    # A generated row is not merged with what uses it, as a column would be.
+    told = F.explode(F.array_compact(F.array(parse(F.col(prompt_col)))))
+    return prompts.select(F.col(id_col).alias("id"), told.alias("p")).select("id", "p.examples", "p.query")
 
 
 def reverse_text(text: Column) -> Column:
@@ -70,24 +78,29 @@ def operand(text: Column, transform: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """0 if either is 0; Euclid's steps, which for longs are at most 92."""
+    """0 if either is 0; Euclid's steps, of which each digit of the smaller number takes five at most."""
     start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
-    run = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))))
+    steps = F.sequence(F.lit(0), 5 * F.length(F.least(F.abs(a), F.abs(b)).cast("string")))
+    run = F.aggregate(steps, start, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))))
     return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(run["a"])
 
 
-def apply_rule(x: Column, y: Column, rule: Column) -> Column:
+def rule_form(x: Column, y: Column, rule: str) -> Column:
     """The rule's value; null where a long can't hold it."""
     add, sub, mul = F.try_add(x, y), F.try_subtract(x, y), F.try_multiply(x, y)
     glue = lambda a, b: F.concat(F.abs(a).cast("string"), F.abs(b).cast("string")).try_cast("long")
-    forms = {
+    return {
         "x + y": add, "x + y + 1": F.try_add(add, F.lit(1)), "x + y - 1": F.try_subtract(add, F.lit(1)), "x - y": sub, "y - x": F.try_subtract(y, x), "|x - y|": F.abs(sub),
         "x * y": mul, "x * y + 1": F.try_add(mul, F.lit(1)), "x * y - 1": F.try_subtract(mul, F.lit(1)), "concat(x, y)": glue(x, y), "concat(y, x)": glue(y, x),
         "x + y^2": F.try_add(x, F.try_multiply(y, y)), "(x + y)^2": F.try_multiply(add, add), "(x - y)^2": F.try_multiply(sub, sub), "gcd(x, y)": gcd(x, y),
-    }
+    }[rule]
+
+
+def apply_rule(x: Column, y: Column, rule: Column) -> Column:
+    """The value of the rule that a column names."""
     out = None
-    for name, form in forms.items():
-        out = F.when(rule == name, form) if out is None else out.when(rule == name, form)
+    for name in BASE_RULES:
+        out = F.when(rule == name, rule_form(x, y, name)) if out is None else out.when(rule == name, rule_form(x, y, name))
     return out
 
 
@@ -123,10 +136,6 @@ def widths(examples: Column) -> Column:
     return F.concat(F.array(F.lit(None).cast("int")), F.array_sort(F.array_distinct(F.array_compact(F.transform(examples, digits)))))
 
 
-def _dimension(spark: SparkSession, column: str, values: dict[str, int], cost: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(values.items()), f"{column} string, {cost} int"))
-
-
 def by_operator(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, op, examples in order, place of the first of them) of puzzles (id, examples, query)."""
     each = puzzles.select(F.col(id_col).alias("id"), F.posexplode("examples").alias("k", "e"))
@@ -134,25 +143,79 @@ def by_operator(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
     return grouped.select("id", "op", F.transform("s", lambda s: s["e"]).alias("examples"), F.get("s", F.lit(0))["k"].alias("op_place"))
 
 
+def readings(op: Column, rhs: Column) -> Column:
+    """What a right-hand side can be: structs (mode, value, lo, hi, bare), each a value that the mode writes so.
+
+    It does under widths from ``lo`` to ``hi``, and without one where ``bare``. This is ``written`` turned round, so values need
+    not be written under every mode and width.
+    """
+    def entry(mode: str, negative: Column, digits: Column, padded: bool = True) -> Column:
+        def of(t: Column) -> Column:
+            value, bare = t["size"].try_cast("long"), t["size"] == t["digits"]
+            high = F.length(t["digits"]) if padded else F.lit(1 << 30)
+            told = F.struct(
+                F.lit(mode).alias("mode"), F.when(negative, F.negate(value)).otherwise(value).alias("value"), F.when(bare, F.lit(0)).otherwise(F.length(t["digits"])).alias("lo"), high.alias("hi"), bare.alias("bare")
+            )
+            return F.when(value.isNotNull() & ~(negative & (value == 0)) & (bare | F.lit(padded)), told)
+
+        return let(F.struct(digits.alias("digits"), F.regexp_replace(digits, r"^0+(?=\d)", "").alias("size")), of)
+
+    def parts(text: Column, body) -> Column:
+        """The entries of a text of digits with or without a sign, else none."""
+        told = F.struct(text.startswith("-").alias("neg"), F.regexp_replace(text, "^-", "").alias("d"), F.reverse(F.regexp_replace(text, "^-", "")).alias("back"))
+        return F.when(text.rlike(r"^-?\d+$"), let(told, lambda p: F.array(*body(p))))
+
+    yes, no = F.lit(True), F.lit(False)
+    plain = parts(rhs, lambda p: [
+        entry("plain", p["neg"], p["d"]), entry("rev", p["neg"], p["back"]),
+        *[F.when(~p["neg"], entry(m, no, p["d"], False)) for m in ("op_prefix_if_neg", "op_suffix_rev_if_neg")],
+        *[F.when(p["neg"], entry(m, sign, p[d])) for m, d in (("neg", "d"), ("neg_rev", "back")) for sign in (no, yes)],
+    ])
+    after = F.when(rhs.startswith(op), F.substr(rhs, F.length(op) + 1))
+    before = F.when(rhs.endswith(op), F.substr(rhs, F.lit(1), F.length(rhs) - F.length(op)))
+    marked = parts(after, lambda p: [entry("op_prefix", p["neg"], p["d"]), entry("op_prefix_rev", p["neg"], p["back"]), F.when(~p["neg"], entry("op_prefix_if_neg", yes, p["d"]))])
+    ended = parts(before, lambda p: [entry("op_suffix", p["neg"], p["d"]), entry("op_suffix_rev", p["neg"], p["back"]), F.when(~p["neg"], entry("op_suffix_rev_if_neg", yes, p["back"]))])
+    return F.array_compact(F.flatten(F.array_compact(F.array(plain, marked, ended))))
+
+
+def met_rules(equations: DataFrame) -> DataFrame:
+    """(left, op, right, rhs, lt, rt, rule, cost, mode, lo, hi, bare): every rule that gives a distinct equation, each value made once.
+
+    Transforms and rules are rows made from constant arrays and modes come from the right-hand side, so no
+    table is held against another.
+    """
+    own = equations.select("left", "op", "right", "rhs").distinct().withColumn("told", readings(F.col("op"), F.col("rhs")))
+    own = own.withColumn("values", F.transform("told", lambda z: z["value"])).filter(F.size("told") > 0)
+    turns = F.array(*[
+        F.struct(F.lit(lt).alias("lt"), F.lit(rt).alias("rt"), operand(F.col("left"), F.lit(lt)).alias("x"), operand(F.col("right"), F.lit(rt)).alias("y"), F.lit(c1 + c2).alias("cost"))
+        for lt, c1 in TRANSFORMS.items() for rt, c2 in TRANSFORMS.items()
+    ])
+    turned = own.select("*", F.inline(turns))
+    x, y = F.col("x"), F.col("y")
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), rule_form(x, y, r).alias("value"), F.lit(c).alias("c3")) for r, c in BASE_RULES.items()])
+    made = turned.select("left", "op", "right", "rhs", "told", "values", "lt", "rt", "cost", F.inline(rules)).filter(F.array_contains("values", F.col("value")))
+    hits = F.explode(F.filter("told", lambda z: z["value"] == F.col("value")))
+    return made.select("left", "op", "right", "rhs", "lt", "rt", "rule", (F.col("cost") + F.col("c3")).alias("cost"), hits.alias("m")).select("left", "op", "right", "rhs", "lt", "rt", "rule", "cost", "m.*").drop("value")
+
+
 def candidates(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row per puzzle, operator and rule that gives every example of the operator exactly."""
-    spark = puzzles.sparkSession
-    # Operands are made once for each transform and values once for each rule: the joins keep the expressions apart and small.
-    own = by_operator(puzzles, id_col).withColumn("first", F.get("examples", F.lit(0)))
-    left = own.crossJoin(_dimension(spark, "lt", TRANSFORMS, "c1")).withColumn("x", operand(F.col("first.left"), F.col("lt")))
-    right = left.crossJoin(_dimension(spark, "rt", TRANSFORMS, "c2")).withColumn("y", operand(F.col("first.right"), F.col("rt")))
-    met = right.crossJoin(_dimension(spark, "rule", BASE_RULES, "c3")).withColumn("value", apply_rule(F.col("x"), F.col("y"), F.col("rule")))
-    met = met.withColumn("size", F.abs("value").cast("string")).withColumn("complexity", F.col("c1") + F.col("c2") + F.col("c3"))
-    # Every mode writes the digits of the value, in order or reversed, so most rules go before modes and widths come in.
-    met = met.filter(F.col("first.rhs").contains(F.col("size")) | F.col("first.rhs").contains(F.reverse("size")))
-    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(c).alias("c")) for m, c in MODES.items()])
-    met = met.select("*", F.explode(modes).alias("m")).select("*", F.explode(widths(F.col("examples"))).alias("width"))
-    met = met.filter(written(F.col("value"), F.col("m.mode"), F.col("op"), F.col("width")) == F.col("first.rhs"))
-    met = met.select("id", "op", "examples", "op_place", "lt", "rt", "rule", "m.mode", "width", (F.col("complexity") + F.col("m.c")).alias("complexity"))
-    rule = [F.col(c) for c in ("lt", "rt", "rule", "mode", "width")]
-    fits = met.filter(F.forall(F.slice("examples", F.lit(2), F.size("examples")), lambda e: predict(e, *rule) == e["rhs"]))
+    """One row per puzzle, operator and rule that gives every example of the operator exactly.
+
+    Distinct equations are met with the rules once; puzzles join what was met by equation, and a rule that gives
+    all of an operator's examples is one that was counted so often.
+    """
+    own = by_operator(puzzles, id_col)
+    each = own.select("id", "op", F.size("examples").alias("n"), F.explode("examples").alias("e")).select("id", "op", "n", "e.left", "e.right", "e.rhs")
+    met = each.join(met_rules(each), ["left", "op", "right", "rhs"])
+    counted = met.groupBy("id", "op", "n", "lt", "rt", "rule", "cost", "mode").agg(F.count("*").alias("given"), F.min("bare").alias("bare"), F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    whole = counted.filter((F.col("given") == F.col("n")) & (F.col("bare") | (F.col("lo") <= F.col("hi"))))
+    sized = whole.drop("n").join(own.withColumn("width", F.explode(widths(F.col("examples")))), ["id", "op"])
+    fits = sized.filter(F.when(F.col("width").isNull(), F.col("bare")).otherwise(F.col("width").between(F.col("lo"), F.col("hi"))))
+    cost = F.create_map(*[F.lit(x) for kv in MODES.items() for x in kv])[F.col("mode")]
     text = F.concat(F.col("mode"), F.lit("("), "rule", F.lit(" on "), "lt", F.lit(","), "rt", F.when(F.col("width").isNotNull(), F.concat(F.lit(", width="), F.col("width").cast("string"))).otherwise(""), F.lit(")"))
-    return fits.withColumn("complexity", F.col("complexity") + F.col("width").isNotNull().cast("int")).withColumn("description", text)
+    return fits.select(
+        "id", "op", "examples", "op_place", "lt", "rt", "rule", "mode", "width", (F.col("cost") + cost + F.col("width").isNotNull().cast("int")).alias("complexity"), text.alias("description")
+    )
 
 
 def ranked(found: DataFrame) -> DataFrame:
