@@ -13,6 +13,8 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.text import let
+
 # Gate, number of inputs, prior, whether the order of inputs matters; in order.
 GATES = (
     ("ID", 1, 40.2, False), ("NOT", 1, 5.0, False),
@@ -69,44 +71,101 @@ def packed(puzzles: DataFrame, id_col: str = "id") -> DataFrame:
     return own.select("id", "chunk", "chunks", n.alias("n"), *ins, *outs)
 
 
-def _value() -> Column:
-    a, b, c, d = map(F.col, "abcd")
+def _forms(gate: str, a: Column, b: Column, c: Column = None, d: Column = None) -> Column:
     both, either, odd = a.bitwiseAND(b), a.bitwiseOR(b), a.bitwiseXOR(b)
-    forms = {
-        "C0": F.lit(0).cast("long"), "C1": F.lit(-1).cast("long"), "ID": a, "NOT": F.bitwise_not(a),
-        "AND": both, "XOR": odd, "XNOR": F.bitwise_not(odd), "OR": either, "NOR": F.bitwise_not(either), "NAND": F.bitwise_not(both),
-        "INHIB": a.bitwiseAND(F.bitwise_not(b)), "IMPL": F.bitwise_not(a).bitwiseOR(b),
-        "MAJ": both.bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c)), "PAR3": odd.bitwiseXOR(c),
-        "CHO": both.bitwiseOR(F.bitwise_not(a).bitwiseAND(c)),
-        "AO": both.bitwiseOR(c), "OA": either.bitwiseAND(c), "AX": both.bitwiseXOR(c), "OX": either.bitwiseXOR(c), "XA": odd.bitwiseAND(c), "XO": odd.bitwiseOR(c),
-        "AOA": both.bitwiseOR(c.bitwiseAND(d)), "OAO": either.bitwiseAND(c.bitwiseOR(d)), "PAR4": odd.bitwiseXOR(c).bitwiseXOR(d),
-        "XX": odd.bitwiseXOR(c.bitwiseXOR(d)), "AXA": both.bitwiseXOR(c.bitwiseAND(d)),
-    }
-    out = None
-    for gate, form in forms.items():
-        out = F.when(F.col("gate") == gate, form) if out is None else out.when(F.col("gate") == gate, form)
-    return out
+    return {
+        "AND": lambda: both, "XOR": lambda: odd, "XNOR": lambda: F.bitwise_not(odd), "OR": lambda: either, "NOR": lambda: F.bitwise_not(either), "NAND": lambda: F.bitwise_not(both),
+        "INHIB": lambda: a.bitwiseAND(F.bitwise_not(b)), "IMPL": lambda: F.bitwise_not(a).bitwiseOR(b),
+        "MAJ": lambda: both.bitwiseOR(either.bitwiseAND(c)), "PAR3": lambda: odd.bitwiseXOR(c), "CHO": lambda: both.bitwiseOR(F.bitwise_not(a).bitwiseAND(c)),
+        "AO": lambda: both.bitwiseOR(c), "OA": lambda: either.bitwiseAND(c), "AX": lambda: both.bitwiseXOR(c), "OX": lambda: either.bitwiseXOR(c), "XA": lambda: odd.bitwiseAND(c), "XO": lambda: odd.bitwiseOR(c),
+        "AOA": lambda: both.bitwiseOR(c.bitwiseAND(d)), "OAO": lambda: either.bitwiseAND(c.bitwiseOR(d)), "PAR4": lambda: odd.bitwiseXOR(c.bitwiseXOR(d)), "AXA": lambda: both.bitwiseXOR(c.bitwiseAND(d)),
+    }[gate]()
+
+
+#: Pairs of inputs; functions of three and four inputs are met from a pair and an input, or from two pairs.
+PAIRS = tuple(combinations(range(8), 2))
+#: Orders of a function's inputs that are gates of their own, from one of them.
+TURNS = {g: ((0, 1, 2), (1, 0, 2)) for g in ("AO", "OA", "AX", "OX", "XA", "XO")} | {
+    g: ((0, 1, 2, 3), (1, 0, 2, 3), (0, 1, 3, 2), (1, 0, 3, 2), (2, 3, 0, 1), (3, 2, 0, 1), (2, 3, 1, 0), (3, 2, 1, 0)) for g in ("AOA", "OAO", "AXA")
+} | {"XX": tuple(permutations(range(4)))}
+
+
+def _told(gate: str, v: Column, *inputs: Column) -> Column:
+    return F.struct(F.lit(gate).alias("gate"), v.alias("v"), F.array(*inputs).cast("array<int>").alias("t"))
+
+
+def _wanted(p: dict[str, Column], mask: Column, outs: list[Column], every: Column) -> Column:
+    """Output columns that functions of three and of four inputs are asked for: those that no simpler one than the next gives.
+
+    A column that one input gives keeps no function of three, one that two give none of four. Of a puzzle in chunks all are asked for, as a chunk
+    can't tell what fits the others.
+    """
+    cut = lambda v: v.bitwiseAND(mask)
+    ins = [p[f"in{i}"] for i in range(8)]
+    single = F.array(F.lit(0).cast("long"), mask, *[cut(v) for v in ins], *[cut(F.bitwise_not(v)) for v in ins])
+    double = F.array(*[cut(_forms(g, ins[i], ins[j])) for i, j in PAIRS for g in ("AND", "OR", "XOR", "INHIB")], *[cut(_forms("INHIB", ins[j], ins[i])) for i, j in PAIRS])
+    def of(sets: Column) -> Column:
+        lone = [F.array_contains(sets["single"], o) for o in outs]
+        paired = [F.array_contains(sets["double"], o) | F.array_contains(sets["double"], cut(F.bitwise_not(o))) for o in outs]
+        three = F.array_compact(F.array(*[F.when(every | ~x, o) for x, o in zip(lone, outs)]))
+        four = F.array_compact(F.array(*[F.when(every | ~(x | y), o) for x, y, o in zip(lone, paired, outs)]))
+        return F.struct(three.alias("three"), four.alias("four"))
+
+    return let(F.struct(single.alias("single"), double.alias("double")), of)
 
 
 def candidates(puzzles: DataFrame, max_arity: int = 4, id_col: str = "id", include_higher: bool = False) -> DataFrame:
     """One row per puzzle, output bit and gate that gives it: with the query's value, inputs, prior and ordinal.
 
-    Of the gates that fit, those up to one input more than the fewest are kept.
+    Of the gates that fit, those up to one input more than the fewest are kept. Each function is
+    evaluated once whatever the order of its inputs, from the values of pairs, and no row leaves
+    its task; only what fits is turned into gates and looked up among the rules.
     """
     spark = puzzles.sparkSession
-    met = packed(puzzles, id_col).crossJoin(F.broadcast(rules(spark, max_arity)))
-    # The gate's inputs by place, in columns of their own, so that no gate's form repeats the choice.
-    chosen = {x: F.get(F.array(*[f"in{i}" for i in range(8)]), F.col(f"i{k}")) for k, x in enumerate("abcd")}
-    met = met.withColumns(chosen).withColumn("v", _value())
+    own = packed(puzzles, id_col)
+    col = {c: F.col(c) for c in own.columns}
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1
-    met = met.withColumn("told", F.col("v").bitwiseAND(mask))
-    # Most gates give no output bit at all; only the others come to the arrays.
-    met = met.filter(F.col("told").isin(*[F.col(f"out{b}") for b in range(8)]))
-    hits = F.array_compact(F.array(*[F.when(F.col("told") == F.col(f"out{b}"), F.lit(b)) for b in range(8)]))
-    rows = met.withColumn("output_bit", F.explode(hits)).select(
-        "id", "chunk", "chunks", "output_bit", "ordinal", "gate", "arity", "prior", F.array_compact(F.array("i0", "i1", "i2", "i3")).alias("inputs"),
-        F.call_function("shiftright", F.col("v"), F.col("n")).bitwiseAND(F.lit(1).cast("long")).cast("int").alias("query_value"),
+    outs = [F.col(f"out{b}") for b in range(8)]
+    own = own.withColumn("wanted", _wanted(col, mask, outs, (F.col("chunks") > 1) | F.lit(include_higher)))
+    ins = F.array(*[F.col(f"in{i}") for i in range(8)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"in{i}").alias("a"), F.col(f"in{j}").alias("b")) for i, j in PAIRS])
+    paired = own.select("*", F.inline(pairs))
+    partner = lambda kind, k, m, c, d: F.struct(F.lit(kind).alias("kind"), k.alias("k"), m.alias("m"), c.alias("c"), d.alias("d"))
+    none, zero = F.lit(-1), F.lit(0).cast("long")
+    inputs, others = F.array(*map(F.lit, range(8))), F.array(*[F.struct(F.lit(i).alias("k"), F.lit(j).alias("m")) for i, j in PAIRS])
+    i, j = F.col("i"), F.col("j")
+    threes = F.transform(F.filter(inputs, lambda k: (k != i) & (k != j)), lambda k: partner(3, k, none, F.get(ins, k), zero))
+    fours = F.transform(F.filter(others, lambda x: (x["k"] > i) & (x["k"] != j) & (x["m"] != j)), lambda x: partner(4, x["k"], x["m"], F.get(ins, x["k"]), F.get(ins, x["m"])))
+    empty = F.array().cast("array<struct<kind:int,k:int,m:int,c:bigint,d:bigint>>")
+    ones = F.when((i == 0) & (j == 1), F.array(partner(1, none, none, zero, zero))).otherwise(empty)
+    partners = F.concat(
+        ones, F.when(F.lit(max_arity >= 2), F.array(partner(2, none, none, zero, zero))).otherwise(empty),
+        F.when(F.lit(max_arity >= 3) & (F.size("wanted.three") > 0), threes).otherwise(empty), F.when(F.lit(max_arity >= 4) & (F.size("wanted.four") > 0), fours).otherwise(empty),
     )
+    met = paired.select("*", F.inline(partners))
+    a, b, c, d, k, m = (F.col(x) for x in ("a", "b", "c", "d", "k", "m"))
+    lone = [_told("C0", F.lit(0).cast("long")), _told("C1", F.lit(-1).cast("long"))]
+    lone += [_told(g, f(F.col(f"in{x}")), F.lit(x)) for x in range(8) for g, f in (("ID", lambda v: v), ("NOT", F.bitwise_not))]
+    double = [_told(g, _forms(g, a, b), i, j) for g in (*SYMMETRIC, "INHIB", "IMPL")] + [_told(g, _forms(g, b, a), j, i) for g in ("INHIB", "IMPL")]
+    triple = [_told(g, _forms(g, a, b, c), i, j, k) for g in TURNS if len(TURNS[g]) == 2] + [_told("CHO", _forms("CHO", a, b, c), i, j, k), _told("CHO", _forms("CHO", b, a, c), j, i, k)]
+    # Functions of a set of three are met three times, once in order.
+    triple += [F.when(k > j, _told(g, _forms(g, a, b, c), i, j, k)) for g in ("MAJ", "PAR3")]
+    quadruple = [_told(g, _forms(g, a, b, c, d), i, j, k, m) for g in ("AOA", "OAO", "AXA")]
+    quadruple += [F.when((k > j), _told(g, _forms("PAR4", a, b, c, d), i, j, k, m)) for g in ("PAR4", "XX")]
+    gates = F.when(F.col("kind") == 1, F.array(*lone)).when(F.col("kind") == 2, F.array(*double)).when(F.col("kind") == 3, F.array_compact(F.array(*triple))).otherwise(F.array_compact(F.array(*quadruple)))
+    asked = F.when(F.col("kind") == 3, F.col("wanted.three")).when(F.col("kind") == 4, F.col("wanted.four")).otherwise(F.array(*outs))
+    valued = met.select("id", "chunk", "chunks", "n", "kind", *[f"out{x}" for x in range(8)], asked.alias("asked"), F.inline(gates)).withColumn("told", F.col("v").bitwiseAND(mask))
+    valued = valued.filter(F.array_contains("asked", F.col("told")))
+    hits = F.array_compact(F.array(*[F.when(F.col("told") == F.col(f"out{x}"), F.lit(x)) for x in range(8)]))
+    turned = F.array(F.col("t"))
+    for gate, orders in TURNS.items():
+        turned = F.when(F.col("gate") == gate, F.array(*[F.array(*[F.get("t", F.lit(x)) for x in o]) for o in orders])).otherwise(turned)
+    value = F.call_function("shiftright", F.col("v"), F.col("n")).bitwiseAND(F.lit(1).cast("long")).cast("int").alias("query_value")
+    rows = valued.select("id", "chunk", "chunks", "gate", "t", value, F.explode(hits).alias("output_bit"))
+    rows = rows.select("id", "chunk", "chunks", "gate", "query_value", "output_bit", F.explode(turned).alias("inputs"))
+    # The rules are under ten thousand rows, whatever the data.
+    known = rules(spark, max_arity).select("gate", F.array_compact(F.array("i0", "i1", "i2", "i3")).alias("inputs"), "ordinal", "arity", "prior")
+    rows = rows.join(F.broadcast(known), ["gate", "inputs"])
     # A gate fits a puzzle of several chunks if it fits each of them.
     many = rows.filter("chunks > 1").groupBy("id", "output_bit", "ordinal").agg(*[F.first(c).alias(c) for c in ("gate", "arity", "prior", "inputs", "query_value", "chunks")], F.count("*").alias("met"))
     columns = ["id", "output_bit", "ordinal", "gate", "arity", "prior", "inputs", "query_value"]
