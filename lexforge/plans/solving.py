@@ -134,6 +134,36 @@ def bit_candidates(spark, sf_dir):
     return found.groupBy("id", "output_bit").agg(F.count("*").alias("n_candidates"), F.min("arity").alias("least_arity"), F.sum("query_value").alias("ones"), F.count_distinct("gate").alias("n_gates"))
 
 
+_PRIOR = {g: p for g, _, p, _ in bit.GATES}
+_PLACE = {g: k for k, (g, *_) in enumerate(bit.GATES)}
+_PAIR_VOTES = " ".join(
+    f"UNION ALL SELECT id, outs, '{g}', 2, i, j, {_PRIOR[g]}, {_PLACE[g]}, {e} FROM (SELECT id, outs, i, j, ins[i + 1] AS a, ins[j + 1] AS b FROM p, ij) WHERE {'true' if g in ('INHIB', 'IMPL') else 'i < j'}" for g, e in _GATE_SQL.items()
+)
+
+
+@query(f"""WITH p AS ({_bit_sql('c_custkey')} FROM customer), i AS (SELECT unnest(range(8)) AS i), ij AS (SELECT x.i AS i, y.i AS j FROM i x, i y WHERE x.i <> y.i),
+  rule AS (SELECT id, outs, 'C0' AS gate, 0 AS arity, 0 AS i, 0 AS j, 0.3 AS prior, -2 AS g, 0 AS v FROM p UNION ALL SELECT id, outs, 'C1', 0, 0, 0, 0.3, -1, {_FULL} FROM p
+    UNION ALL SELECT id, outs, 'ID', 1, i, 0, 40.2, 0, ins[i + 1] FROM p, i UNION ALL SELECT id, outs, 'NOT', 1, i, 0, 5.0, 1, xor(ins[i + 1], {_FULL}) FROM p, i {_PAIR_VOTES}),
+  hit AS (SELECT id, b, gate, arity, prior::DECIMAL(20, 4) AS prior, b * 100000 + g * 100 + i * 10 + j AS place, (v >> {_N}) & 1 AS value, (i - b + 8) % 8 AS s1, (j - b + 8) % 8 AS s2
+    FROM rule, (SELECT unnest(range(8)) AS b) WHERE (v & {_MASK}) = outs[b + 1]),
+  kept AS (SELECT *, greatest(1, round_even(prior, 0)) AS w, CASE WHEN gate IN {bit.SYMMETRIC} THEN least(s1, s2) ELSE s1 END AS a1, CASE WHEN gate IN {bit.SYMMETRIC} THEN greatest(s1, s2) ELSE s2 END AS a2,
+    count(*) OVER (PARTITION BY id, b) AS rivals FROM (SELECT *, min(arity) OVER (PARTITION BY id, b) AS least_arity FROM hit) WHERE arity <= least_arity + 1),
+  u AS (SELECT id, s1, sum(w) AS w FROM kept WHERE arity = 1 GROUP BY id, s1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sum(w) DESC, min(place)) = 1),
+  q AS (SELECT id, gate, a1, a2 FROM kept WHERE arity = 2 GROUP BY id, gate, a1, a2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sum(w) DESC, min(place)) = 1),
+  scored AS (SELECT k.id, k.b, k.value, k.place, (prior - 0.45 * arity - CASE WHEN arity = 0 AND rivals > 1 THEN 8 ELSE 0 END
+    + CASE WHEN arity = 1 AND u.w >= 12 AND u.s1 = k.s1 THEN least(10, u.w / 4) ELSE 0 END + CASE WHEN arity = 2 AND q.gate = k.gate AND q.a1 = k.a1 AND q.a2 = k.a2 THEN 6 ELSE 0 END)::DECIMAL(20, 4) AS score
+    FROM kept k LEFT JOIN u USING (id) LEFT JOIN q USING (id)),
+  told AS (SELECT id, b, value, sum(greatest(0.05::DECIMAL(20, 4), score)) AS votes, max(score) AS best, min(place) AS first FROM scored GROUP BY id, b, value),
+  bits AS (SELECT id, b, value, count(*) OVER (PARTITION BY id, b) AS n, row_number() OVER (PARTITION BY id, b ORDER BY votes DESC, best DESC, first) AS place FROM told),
+  every AS (SELECT p.id, z.b, bits.value, bits.n FROM p CROSS JOIN (SELECT unnest(range(8)) AS b) z LEFT JOIN bits ON bits.id = p.id AND bits.b = z.b AND bits.place = 1)
+  SELECT id, string_agg(coalesce(value, 0)::VARCHAR, '' ORDER BY b) AS prediction, coalesce(string_agg(b::VARCHAR, ',' ORDER BY b) FILTER (n > 1), '') AS ambiguous,
+    CASE WHEN count(n) < 8 THEN 'low' WHEN count(*) FILTER (n > 1) = 0 THEN 'high' WHEN count(*) FILTER (n > 1) <= 2 THEN 'medium' ELSE 'low' END AS confidence FROM every GROUP BY id""")
+def bit_votes(spark, sf_dir):
+    """Six examples leave many gates for most bits, so votes and leading shifts decide."""
+    made = bit.solve(_bits(spark, sf_dir), max_arity=2)
+    return made.select("id", "prediction", F.array_join(F.transform("ambiguous_bits", lambda b: b.cast("string")), ",").alias("ambiguous"), "confidence")
+
+
 #: Inputs of examples that leave a single gate for each output bit.
 _TELLING = (3, 14, 37, 58, 71, 85, 99, 110, 132, 147, 166, 178, 193, 204, 219, 240, 251, 128, 64, 17)
 
