@@ -31,7 +31,7 @@ def table(spark, sf_dir, name):
 
 
 def _examples(spark, sf_dir):
-    """An example for each assistant turn; its answer is the turn's number or its text in capitals."""
+    """An example for each assistant turn; its answer is the turn's number or its text in capitals, of which those of ß don't come back."""
     rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return rows.selectExpr(
         "concat(conv_id, '-', turn) AS id", "'a prompt' AS prompt", "if(turn % 4 = 1, CAST(conv_id AS STRING), upper(text)) AS answer",
@@ -59,7 +59,7 @@ _RECORDS = r"""e AS (
   SELECT conv_id || '-' || turn AS id, conv_id, turn, conv_id % 5 <> 0 AS known,
          CASE conv_id % 4 WHEN 0 THEN 'Gravity' WHEN 1 THEN 'Transformation Rules' WHEN 2 THEN 'Text Cipher' ELSE '' END AS own,
          CASE WHEN conv_id % 11 = 0 THEN NULL WHEN turn % 4 = 1 THEN conv_id % 3 = 0 OR (regexp_full_match(conv_id::VARCHAR, '[01]+') AND false)
-              OR abs(5.0) <= 0.01 * (conv_id + 5) ELSE true END AS close, regexp_full_match(conv_id::VARCHAR, '[01]+') AS bits, text
+              OR abs(5.0) <= 0.01 * (conv_id + 5) ELSE NOT contains(text, 'ß') END AS close, regexp_full_match(conv_id::VARCHAR, '[01]+') AS bits, text
   FROM conversations WHERE role = 'assistant'),
 m AS (
   SELECT *, CASE WHEN known AND conv_id % 3 = 0 THEN 'Numeric Equation Transformation Rules' ELSE '' END AS mc, CASE WHEN known AND conv_id % 7 = 0 THEN 'Symbol Transform, hard' ELSE '' END AS ml,
@@ -85,25 +85,24 @@ def _records(spark, sf_dir):
     return evaluate.records(own, _predictions(own), _metadata(own))
 
 
-@query(f"WITH {_RECORDS} SELECT id, category, question_type, question_type_display, diagnostic_subtype, source_mode, source, correct FROM r WHERE turn % 4 = 1")
+@query(f"WITH {_RECORDS} SELECT id, category, question_type, question_type_display, diagnostic_subtype, source_mode, source, correct FROM r")
 def eval_records(spark, sf_dir):
-    """Examples joined to predictions and metadata by id; turns whose answer is a number."""
-    made = _records(spark, sf_dir).select("id", "category", "question_type", "question_type_display", "diagnostic_subtype", "source_mode", "source", "correct")
-    return made.filter("CAST(split(id, '-')[1] AS INT) % 4 = 1")
+    """Examples joined to predictions and metadata by id."""
+    return _records(spark, sf_dir).select("id", "category", "question_type", "question_type_display", "diagnostic_subtype", "source_mode", "source", "correct")
 
 
-@query(f"""WITH {_RECORDS}, k AS (SELECT * FROM r WHERE turn % 4 = 1)
+@query(f"""WITH {_RECORDS}, k AS (SELECT * FROM r)
   SELECT question_type, diagnostic_subtype, count(*) AS total, count(*) FILTER (correct) AS correct, (diagnostic_subtype IS NOT NULL)::INT AS level FROM k GROUP BY GROUPING SETS ((question_type, diagnostic_subtype), (question_type))""")
 def eval_by_type(spark, sf_dir):
-    own = _examples(spark, sf_dir).filter("turn % 4 = 1")
+    own = _examples(spark, sf_dir)
     made = evaluate.evaluate(own, _predictions(own), _metadata(own))["by_type"]
     return made.select("question_type", "diagnostic_subtype", F.col("total").cast("long").alias("total"), F.col("correct").cast("long").alias("correct"), "level")
 
 
-@query(f"""WITH {_RECORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY question_type, diagnostic_subtype ORDER BY conv_id * 1000 + turn) AS place FROM r WHERE turn % 4 = 1 AND NOT correct)
+@query(f"""WITH {_RECORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY question_type, diagnostic_subtype ORDER BY conv_id * 1000 + turn) AS place FROM r WHERE NOT correct)
   SELECT id, question_type || '/' || diagnostic_subtype AS folder, '0' || place || '_' || id AS stem FROM f WHERE place <= 3""")
 def eval_failure_samples(spark, sf_dir):
-    own = _examples(spark, sf_dir).filter("turn % 4 = 1")
+    own = _examples(spark, sf_dir)
     return evaluate.evaluate(own, _predictions(own), _metadata(own))["failures"].select("id", "folder", "stem")
 
 
