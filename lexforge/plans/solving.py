@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.solve import bit, cascade, cipher, formula, numeric, symbol
+from lexforge.solve import bit, cascade, cipher, formula, numeric, symbol, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -260,6 +260,46 @@ def _planted(spark, sf_dir, told: list[list[str]], ops: list[str]):
 _SUMS = ["17 + 25 = 42", "68 + 57 = 125", "39 + 84 = 123"]
 _PRODUCTS = ["13 * 27 = 351", "46 * 58 = 2668"]
 _BACK_SUMS = ["17 + 25 = 321", "68 + 57 = 161", "12 + 34 = 46"]  # operands and result reversed
+_SAID = r"""'Each operator can follow its own hidden rule, so I only need the examples with the same operator as the query.
+For operator ''+'', the matching example(s) are:
+{listed}
+
+A simple rule that fits these example(s) is:
+- {rule}.
+
+{checks}
+
+Apply the same rule to ' || {a} || ' + ' || {b} || ':
+{asked}
+
+So the result is ' || {result} || '.'"""
+
+
+def _trace_sql(sums: list[str], back: bool) -> str:
+    """The trace of sums, straight or with operands and result reversed."""
+    turned = lambda t: t[::-1] if back else t
+    checks = []
+    for line in sums:
+        (a, _, b), c = line.split(" = ")[0].split(), line.split(" = ")[1]
+        x, y = int(turned(a)), int(turned(b))
+        steps = [f"- reverse the left operand: {a} -> {a[::-1]}", f"- reverse the right operand: {b} -> {b[::-1]}"] if back else []
+        steps += [f"- apply x + y: {x} + {y} = {x + y}", f"- reverse the result text: {x + y} -> {c}" if back else f"- write the result directly: {c}", f"- so {a} + {b} becomes {c}"]
+        checks.append("\n".join([f"Check {a} + {b}:", *steps]))
+    a, b = f"({_A})::VARCHAR", f"({_B})::VARCHAR"
+    x, y = (f"reverse({t})::BIGINT" if back else f"{t}::BIGINT" for t in (a, b))
+    result = f"reverse(({x} + {y})::VARCHAR)" if back else f"({x} + {y})::VARCHAR"
+    turns = f"- reverse the left operand: ' || {a} || ' -> ' || reverse({a}) || '\n- reverse the right operand: ' || {b} || ' -> ' || reverse({b}) || '\n" if back else ""
+    written = f"- reverse the result text: ' || ({x} + {y}) || ' -> ' || {result}" if back else f"- write the result directly: ' || {result}"
+    asked = f"{turns}- apply x + y: ' || {x} || ' + ' || {y} || ' = ' || ({x} + {y}) || '\n{written} || '\n- so ' || {a} || ' + ' || {b} || ' becomes ' || {result} || '"
+    rule = "reverse both operands first; compute x + y; reverse the result" if back else "compute x + y"
+    return _SAID.format(listed="\n".join(f"- {t}" for t in sums), rule=rule, checks="\n\n".join(checks), a=a, b=b, asked=asked, result=result)
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN {_trace_sql(_SUMS, False)} ELSE {_trace_sql(_BACK_SUMS, True)} END AS trace FROM orders")
+def numeric_trace(spark, sf_dir):
+    return traces.explain_digits(_planted(spark, sf_dir, [_SUMS + _PRODUCTS, _BACK_SUMS], ["+", "+"])).select("id", "trace")
+
+
 _MINUSES = ["91 # 28 = 63", "75 # 19 = 56", "23 # 57 = -34"]
 
 

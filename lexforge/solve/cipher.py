@@ -74,10 +74,14 @@ def fitting(word: Column, known: Column, vocabulary: Column, one_to_one: bool) -
     return let(F.struct(chars(word).alias("cs"), key.alias("key")), of)
 
 
-def decode(known: Column, text: Column, vocabulary: Column) -> Column:
-    """(decoded, unique, mapping): words from left to right, each choice adding its letters to the mapping."""
+STEP = "struct<word:string,partial:string,full:boolean,matches:array<string>,fits:array<string>,chosen:string,added:array<struct<c:string,p:string>>>"
+
+
+def decode(known: Column, text: Column, vocabulary: Column, steps: bool = False) -> Column:
+    """(decoded, unique, mapping): words from left to right, each choice adding its letters to the mapping; with ``steps`` also what was done for each."""
     kind = "map<string,string>"
-    start = F.struct(F.lit("").alias("decoded"), F.lit(True).alias("unique"), known.cast(kind).alias("map"))
+    none = [F.array().cast(f"array<{STEP}>").alias("steps")] if steps else []
+    start = F.struct(F.lit("").alias("decoded"), F.lit(True).alias("unique"), known.cast(kind).alias("map"), *none)
 
     def step(state: Column, word: Column) -> Column:
         partial = F.array_join(F.transform(chars(word), lambda c: F.coalesce(F.try_element_at(state["map"], c), F.lit("?"))), "")
@@ -88,10 +92,12 @@ def decode(known: Column, text: Column, vocabulary: Column) -> Column:
             def chosen(words: Column) -> Column:
                 pick = F.when(full, part).otherwise(F.coalesce(F.get(words, F.lit(0)), part))
                 new = F.array_distinct(F.filter(F.arrays_zip(chars(word).alias("c"), chars(pick).alias("p")), lambda z: (z["p"] != "?") & ~F.map_contains_key(state["map"], z["c"])))
+                done = F.struct(word.alias("word"), part.alias("partial"), full.alias("full"), fitting(word, state["map"], vocabulary, False).alias("matches"), words.alias("fits"), pick.alias("chosen"), new.alias("added"))
                 return F.struct(
                     strip(F.concat_ws(" ", state["decoded"], pick)).alias("decoded"),
                     (state["unique"] & (full | (F.size(words) == 1))).alias("unique"),
                     F.map_concat(state["map"], F.map_from_entries(new)).cast(kind).alias("map"),
+                    *([F.concat(state["steps"], F.array(done.cast(STEP))).alias("steps")] if steps else []),
                 )
 
             return let(fitting(word, state["map"], vocabulary, True), chosen)

@@ -47,12 +47,12 @@ EXAMPLE = "struct<left:string,op:string,right:string,rhs:string>"
 
 
 def parse(prompt: Column) -> Column:
-    """(examples, query) of a prompt, operands as text; null unless every left-hand side and the query are equations."""
+    """(examples, query) of a prompt, operands as text and the left side as it stands; null unless every left-hand side and the query are equations."""
     pairs = F.transform(F.regexp_extract_all(prompt, F.lit(r"[^\n=]+\s*=\s*[^\n]+"), F.lit(0)), lambda t: F.struct(strip(F.substring_index(t, "=", 1)).alias("l"), strip(F.substr(t, F.instr(t, "=") + 1)).alias("r")))
     asked = strip(F.regexp_extract(prompt, r"(?i)determine the result for:\s*([^\n]+)", 1))
 
     def equation(text: Column, value: Column) -> Column:
-        return F.struct(*[F.regexp_extract(text, _EQUATION, k).alias(n) for k, n in enumerate(("left", "op", "right"), 1)], value.alias("rhs"))
+        return F.struct(*[F.regexp_extract(text, _EQUATION, k).alias(n) for k, n in enumerate(("left", "op", "right"), 1)], value.alias("rhs"), text.alias("lhs"))
 
     def of(m: Column) -> Column:
         ok = (F.size(m["pairs"]) > 0) & F.forall(m["pairs"], lambda z: z["l"].rlike(_EQUATION)) & m["asked"].rlike(_EQUATION)
