@@ -24,15 +24,18 @@ def duplicate_count(rows: DataFrame, id_col: str) -> DataFrame:
     return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def differences(source: DataFrame, stored: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(id, issue): ids on one side only, or the first column that differs."""
-    a, b = source.select(id_col, *columns).alias("a"), stored.select(id_col, *columns).alias("b")
+def differences(source: DataFrame, stored: DataFrame, id_col: str, columns: list[str], derived: tuple[str, ...] = ()) -> DataFrame:
+    """(id, issue): ids on one side only, or the first column that differs; besides, each of the ``derived`` columns that differs."""
+    a, b = source.select(id_col, *columns, *derived).alias("a"), stored.select(id_col, *columns, *derived).alias("b")
     joined = a.join(b, F.col(f"a.{id_col}") == F.col(f"b.{id_col}"), "full")
-    same = [F.coalesce(F.col(f"a.{c}").cast("string"), F.lit("")) == F.coalesce(F.col(f"b.{c}").cast("string"), F.lit("")) for c in columns]
+    equals = lambda c: F.coalesce(F.col(f"a.{c}").cast("string"), F.lit("")) == F.coalesce(F.col(f"b.{c}").cast("string"), F.lit(""))
+    same = [equals(c) for c in columns]
     issue = F.when(F.col(f"b.{id_col}").isNull(), "missing").when(F.col(f"a.{id_col}").isNull(), "extra")
     for c, equal in zip(columns, same):
         issue = issue.when(~equal, f"differs: {c}")
-    return joined.select(F.coalesce(f"a.{id_col}", f"b.{id_col}").alias(id_col), issue.alias("issue")).filter("issue IS NOT NULL")
+    both = F.col(f"a.{id_col}").isNotNull() & F.col(f"b.{id_col}").isNotNull()
+    more = [F.when(both & ~equals(c), f"differs: {c}") for c in derived]
+    return joined.select(F.coalesce(f"a.{id_col}", f"b.{id_col}").alias(id_col), F.explode(F.array_compact(F.array(issue, *more))).alias("issue"))
 
 
 def assert_none(issues: DataFrame, what: str) -> None:

@@ -76,6 +76,20 @@ def partition(rows: DataFrame, stratum: str, fractions: dict[str, float], id_col
     return ranked(rows, [stratum], id_col, seed).withColumn("split", cut(sizes, names)).drop("rank", "n")
 
 
+def train_and_val(rows: DataFrame, stratum: str, fraction: float = 0.2, id_col: str = "id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training rows, validation rows) by strata; without a fraction all rows train. An empty side is an error."""
+    if not 0 <= fraction < 1:
+        raise ValueError("the fraction must be in [0, 1)")
+    if fraction == 0:
+        return rows, rows.limit(0)
+    cut_rows = partition(rows, stratum, {"val": fraction, "train": 1 - fraction}, id_col, seed)
+    sizes = cut_rows.agg(F.count_if(F.col("split") == "val").alias("val"), F.count_if(F.col("split") == "train").alias("train")).first()
+    if not sizes["val"] or not sizes["train"]:
+        raise ValueError("the split leaves the training or the validation side empty")
+    sides = [cut_rows.filter(F.col("split") == name).drop("split") for name in ("train", "val")]
+    return sides[0], sides[1]
+
+
 def select(rows: DataFrame, assignments: DataFrame, wanted: list[str], id_col: str = "id") -> DataFrame:
     """Rows whose assigned split is wanted."""
     return rows.join(assignments.filter(F.col("split").isin(*wanted)).select(id_col), id_col, "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def records(rows: DataFrame) -> DataFrame:
     columns = ("generated_cot", "assistant_content")
     filled = [F.when(strip(F.coalesce(F.col(c), F.lit(""))) != "", F.struct(F.lit(c).alias("source_column"), F.concat(strip(F.col(c)), F.lit("\n")).alias("text"))) for c in columns]
     have = rows.withColumn("_t", F.coalesce(*filled)).filter("_t IS NOT NULL")
-    path = F.concat_ws("/", slugify(F.col("category")), slugify(F.col("source_mode")), F.concat(F.col("id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", slugify(F.coalesce(F.col("category"), F.lit("unknown"))), F.concat(F.col("id").cast("string"), F.lit(".txt")))
     answer = F.col("answer") if "answer" in rows.columns else F.lit(None).cast("string")
     return have.select(F.col("id").alias("problem_id"), "category", "source_mode", answer.alias("answer"), "_t.source_column", "_t.text", path.alias("path"))
 
@@ -51,8 +53,52 @@ def export(traces: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     return issues
 
 
+def write_files(traces: DataFrame, path: str, overwrite: bool = False) -> tuple[int, DataFrame]:
+    """A file for each trace under ``path``; (files written, the paths that hold another text and were left).
+
+    Files are compared first, so a second run writes nothing. Tasks write into a staging
+    folder whose commit is Spark's own: what a failed or repeated task wrote is not there. Then
+    whole files are moved to their places, one metadata operation each; a run that ends
+    between moves is completed by the next one.
+    """
+    spark = traces.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(root)
+    for old in fs.globStatus(hadoop.Path(root, "_staging-*")):
+        fs.delete(old.getPath(), True)
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    issues = check(traces, directory(spark, path)).filter("issue <> 'extra'")
+    left = issues.filter("issue = 'differs'").select("path")
+    todo = issues if overwrite else issues.filter("issue = 'missing'")
+    # The writer ends a row with a line break, which a trace's text has already.
+    rows = traces.join(todo.select("path"), "path").select(F.sha2("path", 256).alias("_name"), F.regexp_replace("text", "\n$", "").alias("value"), "path")
+    chosen = rows.groupBy("_name").agg(F.max_by(F.struct("value", "path"), "path").alias("r")).select("_name", "r.value", "r.path")
+    chosen.write.parquet(f"{staging}/rows")
+    held = spark.read.parquet(f"{staging}/rows")
+    held.select("_name", "value").write.partitionBy("_name").text(f"{staging}/files")
+    n = 0
+    for r in held.select("_name", "path").toLocalIterator():
+        target = hadoop.Path(root, r.path)
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        made = fs.globStatus(hadoop.Path(f"{staging}/files/_name={r._name}/part-*"))
+        if not fs.rename(made[0].getPath(), target):
+            raise OSError(f"{r.path} could not be moved to its place")
+        n += 1
+    fs.delete(hadoop.Path(staging), True)
+    return n, left
+
+
 def directory(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the text files under a folder, with paths relative to it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return spark.createDataFrame([], "path string, text string")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     root = path.split("://")[-1].rstrip("/") + "/"
-    return files.select(F.substring_index(F.col("_metadata.file_path"), root, -1).alias("path"), F.col("value").alias("text"))
+    # Paths come as URIs, in which a plus sign stands for itself.
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.select(F.substring_index(whole, root, -1).alias("path"), F.col("value").alias("text"))

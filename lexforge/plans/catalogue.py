@@ -397,7 +397,7 @@ def pad_batch(spark, sf_dir):
     return rows.join(widths, "conv_id").select("conv_id", "turn", F.array_join(F.transform(render.padded(F.col("ids"), F.col("width"), 0), lambda x: x.cast("string")), ",").alias("padded"))
 
 
-@query(f"""SELECT doc_id AS problem_id, {_SAFE.format(x='lang').replace("'minus'", "'_'").replace("'plus'", "'_'")} || '/' || source || '/' || doc_id || '.txt' AS path, {_trim('text')} || chr(10) AS text FROM documents WHERE {_trim('text')} <> ''""")
+@query(f"""SELECT doc_id AS problem_id, {_SAFE.format(x='lang').replace("'minus'", "'_'").replace("'plus'", "'_'")} || '/' || doc_id || '.txt' AS path, {_trim('text')} || chr(10) AS text FROM documents WHERE {_trim('text')} <> ''""")
 def trace_manifest(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("generated_cot"), F.col("text").alias("assistant_content"), F.col("lang").alias("category"), F.col("source").alias("source_mode"))
     return traces.records(rows).select("problem_id", "path", "text")

@@ -95,7 +95,7 @@ def test_reports(spark):
 def test_trace_export(spark, tmp_path):
     rows = spark.createDataFrame([("1", "Bit X", "m", "a", " t ", ""), ("2", "B", "m", "b", "", "given"), ("3", "B", "m", "c", "", " ")], "id string, category string, source_mode string, answer string, generated_cot string, assistant_content string")
     made = traces.records(rows)
-    assert {(r.path, r.text) for r in made.collect()} == {("bit_x/m/1.txt", "t\n"), ("b/m/2.txt", "given\n")}
+    assert {(r.path, r.text) for r in made.collect()} == {("bit_x/1.txt", "t\n"), ("b/2.txt", "given\n")}
     assert traces.export(made, str(tmp_path / "t")).count() == 2 and traces.export(made, str(tmp_path / "t")).count() == 0
     with pytest.raises(ValueError):
         traces.export(made.withColumn("text", F.lit("new")), str(tmp_path / "t"))
