@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm import _shared
+from lexforge.llm import _kernel, _shared
 
 NULL_ID = -(1 << 63)
+#: Text that a task takes apart at once.
+SLICE_BYTES = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
 #: A row, by its id and its text.
 KEY = ["doc_id", "t1", "t2"]
@@ -101,7 +103,7 @@ def repeated_starts(docs: DataFrame, min_lines: int, id_col: str = "doc_id", tex
 
 def _deleter():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _kernel.text_slices(whole, "text", SLICE_BYTES)):
             out = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist()):
                 lines = (text or "").split("\n")

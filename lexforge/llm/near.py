@@ -36,6 +36,8 @@ from lexforge.llm.simhash import shingle_hashes
 U64 = np.uint64
 ROWS, BANDS = 5, 32
 SEED = 42
+#: Text that a task works on at once; what it needs for that is some thirty times as much.
+SLICE_BYTES = 1 << 19
 #: Centres of the first round, and the growth of the stretch by rounds.
 CENTRES, GROWTH = 1, 8
 ROW_KEY = ["doc_id", "t1", "t2"]
@@ -93,7 +95,7 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _printer(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _kernel.text_slices(whole, "text", 2 << 20):
+            for batch in _kernel.text_slices(whole, "text", SLICE_BYTES):
                 sets, counts = _sets(batch, shingle)
                 bounds = np.r_[0, np.cumsum(counts)]
                 names = np.fromiter((xxhash.xxh3_64_intdigest(sets[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:])), dtype=U64, count=len(counts))
@@ -108,7 +110,7 @@ def _printer(shingle: int):
 def _teller(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _kernel.text_slices(whole, "text", 2 << 20):
+            for batch in _kernel.text_slices(whole, "text", SLICE_BYTES):
                 sets, counts = _sets(batch, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column("c"), _kernel.lists(sets.view(np.int64), counts, pa.int64())], ["c", "shingles"])
 
