@@ -44,6 +44,18 @@ def to_number(text: Column) -> Column:
     return F.when(bare.rlike(form), F.regexp_replace(bare, "_", "").try_cast("double"))
 
 
+# Characters whose capital is written with several letters, and the one letter each keeps: itself, its title form, ẞ for ß.
+_LONG = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1]
+_SHORT = ["\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in _LONG]
+
+
+def capitals(text: Column) -> Column:
+    """Capitals letter for letter, as DuckDB's ``upper`` writes them; Spark's own makes SS of ß."""
+    whole = F.upper(text)
+    single = F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, "".join(_LONG), "".join(_SHORT))).otherwise(F.upper(c)))
+    return F.when(F.length(whole) == F.length(text), whole).otherwise(F.array_join(single, ""))
+
+
 def fill_zeros(text: Column, width: Column) -> Column:
     """Leading zeros up to a width, after a sign; never cuts."""
     sign = F.regexp_extract(text, r"^[+-]", 0)

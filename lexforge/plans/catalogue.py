@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import classify, render, scoring
+from lexforge.functions.text import capitals
 from lexforge.operators import checks, reports, splits, traces
 from lexforge.plans import runs, solving
 
@@ -51,7 +52,9 @@ FROM conversations WHERE role = 'assistant'
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = PREDICTIONS.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}").replace("chr(10)", "char(10)").replace("FROM conversations", "FROM {conversations}")
-    return spark.sql(text, conversations=table(spark, sf_dir, "conversations"))
+    # The capitals of the SQL keep a text's length (ß).
+    rows = table(spark, sf_dir, "conversations").withColumn("capitals", capitals(F.col("text")))
+    return spark.sql(text.replace("upper(text)", "capitals"), conversations=rows)
 
 
 _TRIM = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
