@@ -14,7 +14,7 @@ def test_capitals_keep_the_length(spark):
     assert [r.x for r in rows.orderBy("i").collect()] == ["STRAẞE", "ÜBER É", "ﬁN ᾼ", "", None]
 
 
-@pytest.mark.parametrize("name", ["extract_answer_cascade", "rewards_components"])
+@pytest.mark.parametrize("name", ["extract_answer_cascade", "rewards_components", "score_by_category"])
 def test_queries_on_such_texts(spark, tmp_path, name):
     said = ["groß", "Straße über", "plain"]
     rows = [(i, turn, "assistant", said[i % 3]) for i in range(6) for turn in range(6)]
