@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lexforge.functions.text import let, lines, strip, to_number
+from lexforge.functions.text import bare_number, let, lines, strip
 
 NOT_FOUND = "NOT_FOUND"
 RELATIVE, ABSOLUTE = 1e-2, 1e-5
@@ -40,12 +40,15 @@ def answer(text: Column) -> Column:
 
 def matches(predicted: Column, gold: Column, relative: float = RELATIVE) -> Column:
     """Bit strings exactly, numbers within tolerance, else without case; never null for texts."""
-    p, g = strip(predicted), strip(gold)
-    a, b = to_number(g), to_number(p)
-    size = F.greatest(F.abs(a), F.abs(b))
-    near = (~F.isnan(a) & ~F.isnan(b)) & ((a == b) | ((size < float("inf")) & (F.abs(a - b) <= F.greatest(size * relative, F.lit(ABSOLUTE)))))
-    same = F.lower(p) == F.lower(g)
-    return F.when(g.rlike("^[01]+$"), same).when(a.isNotNull() & b.isNotNull(), near).otherwise(same)
+    def of(m: Column) -> Column:
+        p, g, a, b = (m[c] for c in "pgab")
+        size = F.greatest(F.abs(a), F.abs(b))
+        near = (~F.isnan(a) & ~F.isnan(b)) & ((a == b) | ((size < float("inf")) & (F.abs(a - b) <= F.greatest(size * relative, F.lit(ABSOLUTE)))))
+        same = F.lower(p) == F.lower(g)
+        return F.when(g.rlike("^[01]+$"), same).when(a.isNotNull() & b.isNotNull(), near).otherwise(same)
+
+    # Bound once: numbers are named many times and read by a pattern.
+    return let(F.struct(strip(predicted).alias("p"), strip(gold).alias("g")), lambda t: let(F.struct(t["p"].alias("p"), t["g"].alias("g"), bare_number(t["g"]).alias("a"), bare_number(t["p"]).alias("b")), of))
 
 
 def on_own_line(text: Column) -> Column:

@@ -38,10 +38,14 @@ def first_filled(*columns: Column) -> Column:
 
 
 def to_number(text: Column) -> Column:
+    """``bare_number`` of a text with white space around it."""
+    return bare_number(strip(text))
+
+
+def bare_number(text: Column) -> Column:
     """A double where a plain decimal, exponent, infinity or nan stands; null for what only some parsers take (1d, 0x1p3)."""
     form = r"(?i)^[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?(?:e[+-]?[0-9]+)?|\.[0-9]+(?:_[0-9]+)*(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
-    bare = strip(text)
-    return F.when(bare.rlike(form), F.regexp_replace(bare, "_", "").try_cast("double"))
+    return F.when(text.rlike(form), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 # Characters whose capital is written with several letters, and the one letter each keeps: itself, its title form, ẞ for ß.

@@ -36,6 +36,15 @@ def test_matching(spark):
     assert all(r.got == r.want for r in df.withColumn("got", scoring.matches(F.col("p"), F.col("g"))).collect())
 
 
+def test_matching_reads_each_number_once(spark):
+    """The pattern of numbers stands twice in the plan, once for each side."""
+    made = spark.createDataFrame([("1.0", "1")], "p string, g string").select(scoring.matches(F.col("p"), F.col("g")).alias("x"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("infinity") == 2
+    odd = [(None, "1", None), ("1", None, None), (" 1_0 ", "10.05", True), ("", "", True), ("١", "1", False), ("1\n", "1", True)]
+    rows = spark.createDataFrame(odd, "p string, g string, want boolean").withColumn("got", scoring.matches(F.col("p"), F.col("g")))
+    assert [r.got for r in rows.collect()] == [w for _, _, w in odd]
+
+
 def test_rewards_and_completions(spark):
     df = spark.createDataFrame([("\\boxed{5}", "5"), ("x \\boxed{5} y", "6"), ("5", "5")], "t string, g string")
     parts = scoring.rewards(F.col("t"), F.col("g"))
