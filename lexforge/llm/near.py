@@ -1,6 +1,11 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash buckets, exact confirmation.
+"""Near copies by Jaccard similarity of word shingles: SimHash links, then MinHash buckets, exact confirmation.
 
-Texts with one set of shingles are one node. Every node is dealt to ``BANDS``
+Texts with one set of shingles are one node. Nodes whose SimHash fingerprints link
+within ``RADIUS`` bits, by the search of ``simhash``, are compared by the exact sets
+first, and those that are similar start as one component. At 0.8 most pairs differ in
+more bits than any such search can afford, so what it leaves apart is met in buckets.
+
+Every node is dealt to ``BANDS``
 buckets, each named by ``ROWS`` minima of its shingles under random orders; two
 nodes of similarity s share no bucket with probability (1 - s^5)^32, three in a
 million at 0.8. What shares a bucket is compared by the exact sets.
@@ -31,10 +36,12 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import _kernel, _shared
 from lexforge.llm.components import connected_components
-from lexforge.llm.simhash import shingle_hashes
+from lexforge.llm.simhash import link_fingerprints, majority_bits, shingle_hashes
 
 U64 = np.uint64
 ROWS, BANDS = 5, 32
+#: Bits in which linked fingerprints may differ.
+RADIUS = 2
 SEED = 42
 #: Text that a task works on at once; what it needs for that is some thirty times as much.
 SLICE_BYTES = 1 << 19
@@ -85,24 +92,26 @@ def band_keys(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     body, rows = _kernel.text_bytes(batch.column("text"))
     body = body + ((body >= 65) & (body <= 90)).astype(np.uint8) * np.uint8(32)
     starts, ends, first = _kernel.word_bounds(body, rows)
-    return distinct_shingles(*shingle_hashes(body, starts, ends, first, shingle))
+    return shingle_hashes(body, starts, ends, first, shingle)
 
 
 def _printer(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _kernel.text_slices(whole, "text", SLICE_BYTES):
-                sets, counts = _sets(batch, shingle)
+                own = _hashes(batch, shingle)
+                fps = majority_bits(*own)
+                sets, counts = distinct_shingles(*own)
                 bounds = np.r_[0, np.cumsum(counts)]
                 names = np.fromiter((xxhash.xxh3_64_intdigest(sets[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:])), dtype=U64, count=len(counts))
                 full = np.flatnonzero(counts)
                 keys = band_keys(sets, counts[full]).view(np.int64).reshape(-1) if len(full) else np.zeros(0, dtype=np.int64)
-                columns = [*(batch.column(c) for c in ROW_KEY), pa.array(names.view(np.int64)), _kernel.lists(keys, np.where(counts > 0, BANDS, 0), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*ROW_KEY, "c", "bands"])
+                columns = [*(batch.column(c) for c in ROW_KEY), pa.array(names.view(np.int64)), pa.array(fps.view(np.int64)), _kernel.lists(keys, np.where(counts > 0, BANDS, 0), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*ROW_KEY, "c", "fp", "bands"])
 
     return run
 
@@ -111,7 +120,7 @@ def _teller(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _kernel.text_slices(whole, "text", SLICE_BYTES):
-                sets, counts = _sets(batch, shingle)
+                sets, counts = distinct_shingles(*_hashes(batch, shingle))
                 yield pa.RecordBatch.from_arrays([batch.column("c"), _kernel.lists(sets.view(np.int64), counts, pa.int64())], ["c", "shingles"])
 
     return run
@@ -122,8 +131,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def prints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row key, the name ``c`` of the set of shingles and its buckets; a wordless text has the empty set and no bucket."""
-    return _keyed(docs, id_col, text_col).mapInArrow(_printer(shingle), "doc_id long, t1 long, t2 long, c long, bands array<long>")
+    """The row key, the name ``c`` of the set of shingles, the SimHash fingerprint and the buckets; a wordless text has the empty set and no bucket."""
+    return _keyed(docs, id_col, text_col).mapInArrow(_printer(shingle), "doc_id long, t1 long, t2 long, c long, fp long, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -154,15 +163,38 @@ def _supported(sets: DataFrame, similarity: float) -> DataFrame:
     return counted.select("c", "n", *SKETCH, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") >= F.lit(similarity) * F.col("n") - 1e-9)
 
 
-def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | None:
-    """(a, b): each node with the smallest of its component, where that is another one; None if no bucket is shared.
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that connect all whose fingerprints link; classes: (c, fp, bands), one row per node."""
+    own = classes.filter(F.size("bands") > 0).select("c", "fp")
+    heads = _shared.materialize(own.groupBy("fp").agg(F.min("c").alias("head")), "heads")
+    equal = own.join(heads.hint("merge"), "fp").select(F.col("head").alias("a"), F.col("c").alias("b"))
+    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"of_{x}")).hint("merge") for x in "ab"]
+    apart = link_fingerprints(heads.select("fp"), RADIUS).join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    pairs = equal.unionByName(apart).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    made = _shared.materialize(pairs.distinct(), "simhash")
+    _shared.drop(heads)
+    return made
+
+
+def components(classes: DataFrame, sets_of, similarity: float, found: DataFrame | None = None) -> DataFrame | None:
+    """(a, b): each node with the smallest of its component, where that is another one; None if there is none.
 
-    classes: (c, bands), one row per node; sets_of gives (c, shingles) for the nodes asked for.
+    classes: (c, bands), one row per node; sets_of gives (c, shingles) for the nodes asked for; ``found``
+    has pairs (a, b) of nodes to compare before any bucket is.
     """
     dealt = _shared.materialize(classes.select("c", F.explode("bands").alias("k")), "buckets")
     met = _shared.materialize(_crowded(dealt), "crowded")
     _shared.drop(dealt)
-    sets = _shared.materialize(sets_of(met.select("c").distinct()), "sets")
+    asked = met.select("c")
+    if found is not None:
+        asked = asked.union(found.select("a")).union(found.select("b"))
+    sets = _shared.materialize(sets_of(asked.distinct()), "sets")
+    roots = None
+    if found is not None:
+        links = _shared.materialize(_confirmed(found, sets, similarity), "links")
+        if links.head(1):
+            roots = connected_components(links)
+        _shared.drop(links)
     facts = _shared.materialize(_supported(sets, similarity), "facts")
     placed = _shared.materialize(met.select("k", "c").join(facts.hint("merge"), "c"), "placed")
     _shared.drop(met)
@@ -171,9 +203,9 @@ def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | No
     _shared.drop(placed)
     largest = members.agg(F.max("size")).first()[0]
     if largest is None:
-        return None
+        return roots
     overlap = F.lit(similarity / (1 + similarity))
-    roots, begin, end = None, 0, CENTRES
+    begin, end = 0, CENTRES
     while begin < largest:
         behind = members.filter(F.col("size") > begin)
         if roots is None:
@@ -199,8 +231,7 @@ def components(classes: DataFrame, sets_of, similarity: float) -> DataFrame | No
         if links.head(1):
             roots = connected_components(links if roots is None else links.unionByName(roots))
         _shared.drop(links)
-        if begin:
-            _shared.drop(behind)
+        _shared.drop(behind)
         begin, end = end, end * GROWTH
     _shared.drop(members)
     _shared.drop(sets)
@@ -217,7 +248,7 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     """
     found = _shared.materialize(prints(docs, shingle, id_col, text_col), "prints")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *ROW_KEY)).alias("low")
-    classes = _shared.materialize(found.groupBy("c").agg(low, F.first("bands").alias("bands")), "classes")
+    classes = _shared.materialize(found.groupBy("c").agg(low, F.first("bands").alias("bands"), F.min("fp").alias("fp")), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # One row of each node tells its set again from its text; rows that share even the key are equal.
@@ -227,13 +258,14 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
         told = own.join(heads, same[0] & same[1] & same[2]).dropDuplicates(["c"])
         return told.select("c", "text").mapInArrow(_teller(shingle), "c long, shingles array<long>")
 
-    roots = components(classes.select("c", "bands"), sets_of, similarity)
+    linked = simhash_pairs(classes)
+    roots = components(classes.select("c", "bands"), sets_of, similarity, linked)
     lows = classes.select("c", "low")
     if roots is not None:
         named = roots.select(F.col("a").alias("c"), F.col("b").alias("root")).hint("merge")
         lows = lows.join(named, "c", "left").groupBy(F.coalesce("root", "c").alias("c")).agg(F.min("low").alias("low"))
     kept = _shared.materialize(lows.select("low.*").select(*ROW_KEY), "survivors")
-    for done in (found, classes, roots):
+    for done in (found, classes, linked, roots):
         _shared.drop(done)
     _shared.free_shuffles(docs.sparkSession)
     return kept

@@ -89,3 +89,15 @@ def test_a_leak_takes_only_its_own_row(spark):
     rows = [(None, say(40)), (None, say(9) + " " + item), (None, None), (7, item), (7, say(30))]
     got = decontaminate.drop_leaked(spark.createDataFrame(rows, SCHEMA), items).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def test_simhash_links_are_compared_before_buckets(spark):
+    # Fingerprints 0 and 1 bit apart link without a shared bucket; of linked nodes only similar ones are joined.
+    rows = [(1, 0b1000, [10]), (2, 0b1000, [20]), (3, 0b1001, [30]), (4, 0b1010, [40]), (5, -1, [50]), (6, 0b1000, [])]
+    sets = [(1, list(range(20))), (2, list(range(19))), (3, list(range(18))), (4, [77, 78]), (5, list(range(20)))]
+    classes = spark.createDataFrame(rows, "c long, fp long, bands array<long>")
+    own = spark.createDataFrame(sets, "c long, shingles array<long>")
+    pairs = near.simhash_pairs(classes)
+    roots = near.components(classes.select("c", "bands"), lambda nodes: own.join(nodes, "c", "left_semi"), 0.8, pairs)
+    assert {x for r in pairs.collect() for x in r} == {1, 2, 3, 4}
+    assert sorted(tuple(r) for r in roots.collect()) == [(2, 1), (3, 1)]
