@@ -176,6 +176,16 @@ def simhash_pairs(classes: DataFrame) -> DataFrame:
     return made
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components ``roots`` after these links; None while there is no link at all."""
+    made = connected_components(links if roots is None else links.unionByName(roots))
+    if made.head(1):
+        _shared.drop(roots)
+        return made
+    _shared.drop(made)
+    return None
+
+
 def components(classes: DataFrame, sets_of, similarity: float, found: DataFrame | None = None) -> DataFrame | None:
     """(a, b): each node with the smallest of its component, where that is another one; None if there is none.
 
@@ -189,12 +199,7 @@ def components(classes: DataFrame, sets_of, similarity: float, found: DataFrame
     if found is not None:
         asked = asked.union(found.select("a")).union(found.select("b"))
     sets = _shared.materialize(sets_of(asked.distinct()), "sets")
-    roots = None
-    if found is not None:
-        links = _shared.materialize(_confirmed(found, sets, similarity), "links")
-        if links.head(1):
-            roots = connected_components(links)
-        _shared.drop(links)
+    roots = None if found is None else _joined(None, _confirmed(found, sets, similarity))
     facts = _shared.materialize(_supported(sets, similarity), "facts")
     placed = _shared.materialize(met.select("k", "c").join(facts.hint("merge"), "c"), "placed")
     _shared.drop(met)
@@ -214,11 +219,8 @@ def components(classes: DataFrame, sets_of, similarity: float, found: DataFrame
             named = roots.select(F.col("a").alias("c"), F.col("b").alias("root")).hint("merge")
             behind = behind.join(named, "c", "left").withColumn("root", F.coalesce("root", "c"))
             # Buckets of one component have nothing left to compare.
-            behind = _shared.materialize(behind, "behind")
             mixed = behind.groupBy("k").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("k").hint("merge")
-            rest = _shared.materialize(behind.join(mixed, "k", "left_semi"), "behind")
-            _shared.drop(behind)
-            behind = rest
+            behind = _shared.materialize(behind.join(mixed, "k", "left_semi"), "behind")
         centres = behind.filter((F.col("place") >= begin) & (F.col("place") < end))
         centres = centres.select("k", *[F.col(c).alias(f"its_{c}") for c in ("c", "n", "held", "place", "root", *SKETCH)]).hint("merge")
         after = (F.col("place") > F.col("its_place")) | ((F.col("place") == F.col("its_place")) & (F.col("c") > F.col("its_c")))
@@ -227,10 +229,7 @@ def components(classes: DataFrame, sets_of, similarity: float, found: DataFrame
         can = (F.least("held", "its_held") >= overlap * both - 1e-9) & (apart <= (1 - 2 * overlap) * both + 1e-9)
         near = behind.join(centres, "k").filter(after & (F.col("root") != F.col("its_root")) & can)
         pairs = near.select(F.least("c", "its_c").alias("a"), F.greatest("c", "its_c").alias("b")).distinct()
-        links = _shared.materialize(_confirmed(pairs, sets, similarity), "links")
-        if links.head(1):
-            roots = connected_components(links if roots is None else links.unionByName(roots))
-        _shared.drop(links)
+        roots = _joined(roots, _confirmed(pairs, sets, similarity))
         _shared.drop(behind)
         begin, end = end, end * GROWTH
     _shared.drop(members)
