@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from lexforge.llm import _kernel, _shared
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
-#: Words, and parts of words, whose ids a generation of a Python worker's memory holds.
-CACHE_WORDS = 1 << 19
+#: Words, and parts of words, whose ids a generation of a Python worker's memory holds. A worker keeps up to two generations of
+#: both, some 200 bytes each, and is used again by later stages, so this is memory that all of them lack.
+CACHE_WORDS = 1 << 17
 # The vocabulary's pattern, for lower-cased ASCII.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _TOKENIZERS: dict[str, tuple] = {}

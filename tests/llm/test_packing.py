@@ -34,6 +34,17 @@ def test_word_ids_of_random_texts_and_small_memory(monkeypatch):
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_what_a_worker_remembers_is_small(monkeypatch):
+    """Workers go on to other stages with it: of 600,000 distinct words fewer than 300,000 stay."""
+    monkeypatch.setattr(packing, "_TOKENIZERS", {})
+    for at in range(0, 600_000, 20_000):
+        for _ in packing.word_ids(pa.array([" ".join(f"w{k}" for k in range(at, at + 20_000))]), PATH):
+            pass
+    packing.word_ids(pa.array(["end"]), PATH).__next__()
+    words = packing._TOKENIZERS[PATH][1]
+    assert len(words) + len(words.older) < 300_000
+
+
 def test_word_ids_are_the_texts_ids():
     got = [np.frombuffer(b, dtype="<u4").tolist() + [0] for b in packing.word_ids(pa.array(HARD), PATH)]
     assert got == [plain_ids(t) for t in HARD]
