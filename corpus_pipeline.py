@@ -15,6 +15,8 @@ from lexforge.llm.queries import MIN_LINES, vocabulary_path
 
 #: Words from which a repeated run of fewer than MIN_LINES lines is deleted too.
 MIN_WORDS = 50
+#: Words that packing remembers in Python workers, which other stages use as well.
+CACHE_WORDS = 1 << 17
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and offsets; null and empty texts are the end id alone."""
-    return packing.pack(docs, vocabulary_path(), capacity=2048, end_id=0)
+    return packing.pack(docs, vocabulary_path(), capacity=2048, end_id=0, cache_words=CACHE_WORDS)
 
 
 STAGES = [

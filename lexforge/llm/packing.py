@@ -26,8 +26,8 @@ from lexforge.llm import _kernel, _shared
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 #: Words, and parts of words, whose ids a generation of a Python worker's memory holds. A worker keeps up to two generations of
-#: both, some 200 bytes each, and is used again by later stages, so this is memory that all of them lack.
-CACHE_WORDS = 1 << 17
+#: both, some 200 bytes each, and is used again by later stages; where there are any, ``cache_words`` can be less.
+CACHE_WORDS = 1 << 19
 # The vocabulary's pattern, for lower-cased ASCII.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _TOKENIZERS: dict[str, tuple] = {}
@@ -60,8 +60,8 @@ class _Generations(dict):
         older = self.older
         return [k for k in keys if k not in self and k not in older]
 
-    def turn(self) -> None:
-        if len(self) > CACHE_WORDS:
+    def turn(self, most: int) -> None:
+        if len(self) > most:
             self.older = dict(self)
             self.clear()
 
@@ -89,7 +89,7 @@ def _learn(parts: list[str], tokenizer, known: dict[str, bytes]) -> None:
     known.update(zip(parts, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
 
-def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
+def word_ids(texts: pa.Array, path: str, cache_words: int | None = None) -> Iterator[bytes]:
     """Token ids of each text (none null) as little-endian 32-bit words.
 
     This vocabulary's pre-tokenizer ends every token at a space or newline, and
@@ -98,8 +98,8 @@ def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
     then gathered by word numbers.
     """
     tokenizer, words_known, parts_known = _tokenizer(path)
-    words_known.turn()
-    parts_known.turn()
+    words_known.turn(cache_words or CACHE_WORDS)
+    parts_known.turn(cache_words or CACHE_WORDS)
     split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -122,7 +122,7 @@ def word_ids(texts: pa.Array, path: str) -> Iterator[bytes]:
     yield from map(out.__getitem__, map(slice, cuts[:-1], cuts[1:]))
 
 
-def _cutter(path: str, capacity: int, end_id: int):
+def _cutter(path: str, capacity: int, end_id: int, cache_words: int | None = None):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _cutter(path: str, capacity: int, end_id: int):
             for batch in _kernel.text_slices(whole, "text", 2 << 20):
                 rows = []
                 texts = batch.column("text").fill_null("")
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids(texts, path)):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), word_ids(texts, path, cache_words)):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
@@ -148,10 +148,10 @@ def _cutter(path: str, capacity: int, end_id: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_words: int | None = None) -> DataFrame:
     """The pieces of all documents; ``rank`` counts a length's pieces within the task ``part``."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_cutter(tokenizer_path, capacity, end_id), PIECE_SCHEMA)
+    return own.mapInArrow(_cutter(tokenizer_path, capacity, end_id, cache_words), PIECE_SCHEMA)
 
 
 # --- the configuration program --------------------------------------------
@@ -356,7 +356,7 @@ def _placer(table: dict[str, np.ndarray]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", cache_words: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document ends with ``end_id``; null and empty texts are that id alone.
@@ -366,7 +366,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     written to the shared folder before they are ranked, so a lost executor can't
     renumber them.
     """
-    made = _shared.materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    made = _shared.materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, cache_words), "pieces")
     counted = _shared.materialize(made.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = place_table(plan(histogram, capacity, rounds))

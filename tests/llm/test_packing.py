@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lexforge.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -38,9 +39,8 @@ def test_what_a_worker_remembers_is_small(monkeypatch):
     """Workers go on to other stages with it: of 600,000 distinct words fewer than 300,000 stay."""
     monkeypatch.setattr(packing, "_TOKENIZERS", {})
     for at in range(0, 600_000, 20_000):
-        for _ in packing.word_ids(pa.array([" ".join(f"w{k}" for k in range(at, at + 20_000))]), PATH):
+        for _ in packing.word_ids(pa.array([" ".join(f"w{k}" for k in range(at, at + 20_000))]), PATH, corpus_pipeline.CACHE_WORDS):
             pass
-    packing.word_ids(pa.array(["end"]), PATH).__next__()
     words = packing._TOKENIZERS[PATH][1]
     assert len(words) + len(words.older) < 300_000
 
